@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from corpusgrid.llm.bpe import op9_bpe
 from corpusgrid.llm.fingerprints import op7_fingerprints
 from corpusgrid.llm.lines import OP2_SQL, op2_line_dedup
 from corpusgrid.llm.mixing import OP6_SQL, op6_mixing
+from corpusgrid.llm.tokenfiles import op5_token_files
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_fingerprints": op7_fingerprints,
+    "op9_bpe": op9_bpe,
 }
 ORACLES = {"op2_line_dedup": OP2_SQL, "op6_mixing": OP6_SQL}

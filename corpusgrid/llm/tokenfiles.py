@@ -220,7 +220,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
         write_once(uri, file_chunks((x for y in ([first], it) for x in y), totals, block_ids))
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "uri": [uri], **{k: [v] for k, v in totals.items()}})
 
-    manifest = table(rows.mapInArrow(run, "shard int, uri string, n_docs long, n_ids long"), "manifest")
+    manifest = table(rows.mapInArrow(run, "shard long, uri string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

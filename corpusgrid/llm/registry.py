@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpusgrid.llm.bpe import op9_bpe
 from corpusgrid.llm.fingerprints import op7_fingerprints
+from corpusgrid.llm.langid import op4_language_id
 from corpusgrid.llm.lines import OP2_SQL, op2_line_dedup
 from corpusgrid.llm.media import op1_media
 from corpusgrid.llm.mixing import OP6_SQL, op6_mixing
@@ -13,6 +14,7 @@ from corpusgrid.llm.warc import OP8_SQL, op8_warc
 QUERIES = {
     "op1_media": op1_media,
     "op2_line_dedup": op2_line_dedup,
+    "op4_language_id": op4_language_id,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_fingerprints": op7_fingerprints,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgrid.llm.common import documents, slices, text_of
+from corpusgrid.llm.common import bounded, documents, slices, text_of
 
 #: Before a space that a character other than white space follows, the split pattern always starts a word; so the pieces
 #: between such spaces can be encoded apart. These texts have spaces of another kind, or code points on which the white space
@@ -36,7 +36,7 @@ class PieceCache:
     """ids of texts, by a cache of their pieces' ids (little-endian int32 as bytes). encode_pieces: from new pieces to such bytes;
     encode_whole: the same for a text that can't be cut or that holds a special token's string. The cache is emptied at limit."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], specials: list[str], limit: int = 400_000):
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], specials: list[str], limit: int = 200_000):
         self.encode_pieces, self.encode_whole, self.specials, self.limit = encode_pieces, encode_whole, specials, limit
         self.cache: dict[str, bytes] = {}
 
@@ -99,7 +99,7 @@ class TrieBPE:
         """Whether the merges leave tokens a and b apart."""
         known = self.apart.get((a, b))
         if known is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > 200_000:
                 self.apart.clear()
             known = self.apart[a, b] = self.merge(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
         return known
@@ -190,7 +190,7 @@ def extended(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Record
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *fn(part)], out_names)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def texts_of(part: pa.RecordBatch, column: str) -> list[str]:
@@ -223,7 +223,7 @@ def decode(df: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[part.column(n) for n in kept], texts], [*kept, "decoded"])
 
     kept = [c for c in df.columns if c != "decoded"]
-    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], DECODED]))
+    return bounded(df).mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], DECODED]))
 
 
 def encode_decode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:

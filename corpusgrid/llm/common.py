@@ -68,7 +68,15 @@ def wide_hash(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns), F.xxhash64(F.lit(0x5EED), *columns)]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(df: DataFrame) -> DataFrame:
+    """df, for Python operators: its session sends them small Arrow batches, so that neither the executor's buffers nor its
+    Python workers hold many long texts at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return df
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about limit bytes of the column, at least a row each, so that memory is bounded by the longest text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(sizes), 0

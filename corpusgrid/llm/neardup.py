@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.common import LOWER, cut, documents, slices, small, table, text_of
+from corpusgrid.llm.common import LOWER, bounded, cut, documents, slices, small, table, text_of
 
 #: Words of a shingle, similarity of a link, components of a signature, components of a band: at 0.8 a pair shares a band with
 #: probability 0.9998.
@@ -34,7 +34,7 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(WORD_HASH) > 500_000:
+    if len(WORD_HASH) > 200_000:
         WORD_HASH.clear()
     for w in words:
         if w not in WORD_HASH:
@@ -59,10 +59,10 @@ def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(parts)), n)
     first = np.full(len(parts) * COMPONENTS, np.inf)
     winner = np.zeros(len(parts) * COMPONENTS, np.uint64)
-    time, draw = np.zeros(len(item)), np.uint64(0)
+    time, draw = np.zeros(len(item)), 0
     while len(item):
-        draw += np.uint64(0x9E3779B97F4A7C15)
-        r = mixed(item + draw)
+        draw = (draw + 0x9E3779B97F4A7C15) % (1 << 64)
+        r = mixed(item + np.uint64(draw))
         time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / rate
         last = first.reshape(-1, COMPONENTS).max(axis=1)
         on = time < last[owner]
@@ -109,13 +109,13 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t", 2 << 20):
+            for part in slices(batch, "t"):
                 sig, some = signatures(part.column("t").to_pylist())
                 rows = [b.tolist() if s else [] for b, s in zip(bands(sig), some)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), pa.array(rows, pa.list_(pa.int64()))], ["id", "node", "bands"])
 
     rows = df.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t")).withColumn("node", F.md5("t"))
-    return rows.mapInArrow(run, "id long, node string, bands array<long>")
+    return bounded(rows).mapInArrow(run, "id long, node string, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -137,7 +137,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     one = texts.select(F.col("node").alias("a"), F.col("t").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
+    return bounded(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")).mapInArrow(run, "a string, b string")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, pivot_rounds: int = 4, broadcast_rows: int = 250_000) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.common import LOWER, documents, slices, table, text_of
+from corpusgrid.llm.common import LOWER, bounded, documents, slices, table, text_of
 from corpusgrid.llm.langid import fold
 from corpusgrid.llm.neardup import mixed
 
@@ -27,7 +27,7 @@ WORD_HASH: dict[bytes, int] = {}
 def token_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the text's words (ASCII white space apart, A-Z lower-cased), then END."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if len(WORD_HASH) > 500_000:
+    if len(WORD_HASH) > 200_000:
         WORD_HASH.clear()
     for w in words:
         if w not in WORD_HASH:
@@ -86,7 +86,7 @@ def arrow(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def count_ngrams(df: DataFrame, text: str, n_buckets: int, least: dict[int, int], flush: int = 6_000_000) -> DataFrame:
+def count_ngrams(df: DataFrame, text: str, n_buckets: int, least: dict[int, int], flush: int = 3_000_000) -> DataFrame:
     """kind (1: words, 2: bigrams), bucket, and the bucket's ascending keys and counts as bytes, over all texts of df. Tasks count
     before anything moves; a bucket is a range of hashes, so none is hot. Bigrams rarer than least[2] aren't kept."""
     kinds, names = [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["kind", "bucket", "keys", "counts"]
@@ -119,7 +119,7 @@ def count_ngrams(df: DataFrame, text: str, n_buckets: int, least: dict[int, int]
         keep = total >= least[kind]
         return pa.table({"kind": [kind], "bucket": [bucket], "keys": [packed(keys[heads][keep], WIDTH[kind])], "counts": [packed(total[keep], 6)]}, pa.schema(list(zip(names, kinds))))
 
-    rows = df.select(text_of(text).alias("t")).mapInArrow(run, COUNTS)
+    rows = bounded(df.select(text_of(text).alias("t"))).mapInArrow(run, COUNTS)
     return table(rows.groupBy("kind", "bucket").applyInArrow(merge, COUNTS), "counts")
 
 
@@ -286,7 +286,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, "t", 2 << 20):
+            for part in slices(batch, "t"):
                 n, known, base, logs, words, times = of_slice(part.column("t").to_pylist())
                 rows = pa.array(np.arange(row, row + len(n)))
                 row += len(n)
@@ -295,7 +295,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     names = ["row", "id", "n_tokens", "known", "base", "score", "words", "times"]
     rows = df.select(F.col(key).alias("id"), text_of(text).alias("t"))
     kind = df.schema[key].dataType.simpleString()
-    rows = table(rows.mapInArrow(run, f"row long, id {kind}, n_tokens long, known long, base double, score double, words array<long>, times array<int>"), "scored")
+    rows = table(bounded(rows).mapInArrow(run, f"row long, id {kind}, n_tokens long, known long, base double, score double, words array<long>, times array<int>"), "scored")
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("h"), F.col("w.times").alias("n"))
     rare = rare.join(word_counts(counts, None, 1 << log), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(unit)))).alias("rest"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.llm.bpe import PieceCache, default_tokenizer, texts_of
-from corpusgrid.llm.common import documents, open_store, scratch, slices, table, text_of, write_once
+from corpusgrid.llm.common import bounded, documents, open_store, scratch, slices, table, text_of, write_once
 
 #: Simple-8b's selectors, by number: values in a word and bits of each, in the word's low 60 bits, lowest first.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -220,7 +220,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
         write_once(uri, file_chunks((x for y in ([first], it) for x in y), totals, block_ids))
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "uri": [uri], **{k: [v] for k, v in totals.items()}})
 
-    manifest = table(rows.mapInArrow(run, "shard long, uri string, n_docs long, n_ids long"), "manifest")
+    manifest = table(bounded(rows).mapInArrow(run, "shard long, uri string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -246,7 +246,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = manifest.select("uri", "base").repartition(n, "uri")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return bounded(spread).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.common import documents, open_store, scratch, slices, small, table
+from corpusgrid.llm.common import bounded, documents, open_store, scratch, slices, small, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -119,7 +119,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             done.append((uri, n))
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["uri", "n_records"])
 
-    return table(rows.mapInArrow(run, "uri string, n_records long"), "archives")
+    return table(bounded(rows).mapInArrow(run, "uri string, n_records long"), "archives")
 
 
 def parse(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:

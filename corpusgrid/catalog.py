@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from corpusgrid.operators import planning, selection
+from corpusgrid.operators import dedup, hierarchy, planning, selection
 from corpusgrid.oracles import layout
 
-MODULES = [planning, selection]
+MODULES = [planning, selection, dedup, hierarchy]
 ORACLES = [layout]
 
 

@@ -135,3 +135,79 @@ SQL = {
       e as (select *, least(greatest(greatest(least(64, inflight, n), 1), adaptive, decode_q), inflight, n)::bigint as write_q from d)
       select n, max_raw, max_enc, p95, inflight, decode_q, write_q, greatest(least(write_q * 8, inflight, n), 1)::bigint as reorder_limit from e""",
 }
+
+DOC_BLOCKS = """db as (
+  select doc_id, length(lang) % 3 + 1 as flags, doc_id % 17 = 0 as raw, case when lang = 'en' then 1 else 0 end as dictionary_id,
+         octet_length(encode(text))::bigint as raw_len, least(octet_length(encode(text)), 4096)::bigint as encoded_len, sha256(left(text, 4096)) as digest
+  from documents)"""
+TREE = CORPUS + """,
+nodes as (select size, array_to_string(p[1:i], '/') as path, i, len(p) as n from (select size, p, unnest(range(1, len(p) + 1)) as i from (select size, string_split(path, '/') as p from corpus))),
+tree as (select path, max(i)::int as depth, bool_or(i < n) as is_dir, count(*) as files, sum(size)::bigint as bytes from nodes group by path)"""
+FAULTY = ENCODED + """,
+faulty as (
+  select * replace (case when block_id % 13 = 5 then raw_offset + 7 else raw_offset end as raw_offset, case when block_id % 19 = 8 then 0 else raw_len end as raw_len) from encoded),
+lagged as (
+  select f.*, coalesce(lag(f.raw_offset + f.raw_len) over (order by f.block_id), 0) as before, t.block_id as t_id, t.raw_len as t_len
+  from faulty f left join (select * from faulty where reference_target is null) t on f.reference_target = t.block_id)"""
+
+SQL |= {
+    "raw_dedup": """with d as (select doc_id, octet_length(encode(text))::bigint as size, sha256(text) as digest from documents)
+      select *, nullif(min(doc_id) over (partition by size, digest), doc_id) as target from d""",
+    "block_dedup": f"""with {DOC_BLOCKS} select doc_id, raw_len, encoded_len,
+      nullif(min(doc_id) over (partition by flags, raw, dictionary_id, raw_len, encoded_len, digest), doc_id) as target from db""",
+    "ref_resolve": """with recursive c as (select doc_id as id, case when doc_id % 5 <> 0 then doc_id - 1 end as target from documents),
+      r(id, cur) as (select id, id from c union all select r.id, c.target from r join c on r.cur = c.id where c.target is not null)
+      select id, min(cur) as data_id from r group by id""",
+    "ref_fanin": """with d as (select doc_id, octet_length(encode(text))::bigint as size, min(doc_id) over (partition by text) as f from documents where text is not null)
+      select f as target, count(*) as refs, sum(size)::bigint as saved_bytes from d where f <> doc_id group by f""",
+    "dup_report": """with g as (select lang, octet_length(encode(text)) as size, text, count(*) as c from documents group by all having count(*) > 1)
+      select lang, count(*) as groups, sum(c - 1)::bigint as extra, sum((c - 1) * size)::bigint as extra_bytes from g group by lang""",
+    "block_stats": f"""with {ENCODED} select algo, count(*) as blocks, sum(raw_len)::bigint as raw_bytes, sum(encoded_len)::bigint as encoded_bytes,
+      round(sum(encoded_len) / sum(raw_len), 6) as ratio, count(*) filter (where raw_passthrough) as raw_blocks,
+      count(*) filter (where not raw_passthrough and reference_target is null and encoded_len / raw_len >= 0.98) as near_raw_blocks,
+      count(reference_target) as "references" from encoded group by algo""",
+    "chunk_runs": f"""with {ENCODED},
+      s as (select *, force_raw::varchar || '|' || raw_passthrough::varchar || '|' || (reference_target is not null)::varchar || '|' || (raw_len = 65536)::varchar as sig from encoded),
+      o as (select *, case when sig is distinct from lag(sig) over (order by block_id) then 1 else 0 end as opens from s),
+      r as (select *, sum(opens) over (order by block_id rows unbounded preceding)::bigint as run_no from o)
+      select run_no, sig, min(block_id) as first_block, max(block_id) as last_block, count(*) as blocks, sum(encoded_len)::bigint as encoded_bytes from r group by run_no, sig""",
+    "head_tail": f"""with {ENCODED}, n as (select count(*) as n from encoded)
+      select part, block_id, raw_offset, raw_len, algo, greatest(n - 12, 0)::bigint as omitted from n, (
+        select * from (select 'head' as part, * from encoded order by block_id limit 6)
+        union all select * from (select 'tail', * from encoded order by block_id desc limit 6))""",
+    "manifest_stats": f"""with {FILES} select string_split(path, '/')[2] as source, count(*) as files, count(*) filter (where force_raw) as raw_files,
+      sum(size)::bigint as payload_bytes, sum(strlen(path))::bigint as path_bytes,
+      sum(case when size < 1 << 7 then 1 when size < 1 << 14 then 2 when size < 1 << 21 then 3 when size < 1 << 28 then 4 else 5 end)::bigint as size_bytes from files group by 1""",
+    "layout_violations": f"""with {FAULTY}
+      select block_id, 'gap' as violation from lagged where raw_offset > before
+      union all select block_id, 'overlap' from lagged where raw_offset < before
+      union all select block_id, 'empty' from lagged where raw_len <= 0
+      union all select block_id, 'bad_reference' from lagged where reference_target is not null and (t_id is null or t_id >= block_id)
+      union all select block_id, 'reference_length' from lagged where reference_target is not null and t_len <> raw_len
+      union all select block_id, 'raw_length' from lagged where raw_passthrough and encoded_len <> raw_len
+      union all select block_id, 'not_smaller' from lagged where not raw_passthrough and reference_target is null and encoded_len >= raw_len""",
+    "dict_missing": f"""with {DOC_BLOCKS} select doc_id, (doc_id % 4)::int as dictionary_id, flags::int as flags from db
+      where doc_id % 4 > 0 and (doc_id % 4, flags) not in ((1, 1), (1, 3), (2, 3))""",
+    "tree_rollup": f"with {TREE} select * from tree",
+    "tree_summary": f"""with {TREE} select count(*) filter (where not is_dir) as files, count(*) filter (where is_dir) as directories,
+      sum(bytes) filter (where not is_dir)::bigint as payload_bytes, max(depth) as deepest from tree""",
+    "tree_listing": f"""with {TREE}, l as (select path, is_dir, bytes, string_split(path, '/')[-1] as name, array_to_string(string_split(path, '/')[1:-2], '/') as parent from tree)
+      select *, (row_number() over (partition by parent order by not is_dir, name))::int as place from l""",
+    "implicit_dirs": f"""with {FILES}, p as (select string_split(path, '/') as p, path from files),
+      implied as (select distinct array_to_string(p[1:i], '/') as dir from (select p, unnest(range(1, len(p))) as i from p))
+      select dir, 'd---------' as mode, 'unknown time' as mtime from implied where dir not in (select array_to_string(p[1:-2], '/') from p where path like '%/de/%')""",
+    "depth_hist": f"with {CORPUS} select len(string_split(path, '/'))::int as depth, count(*) as files, sum(size)::bigint as bytes from corpus group by 1",
+    "mode_labels": """select doc_id, case doc_id % 3 when 0 then 'd' when 1 then 'l' else '-' end ||
+      list_reduce(list_transform(range(9), lambda i: case when (doc_id * 37 % 512) & (1 << (8 - i)) <> 0 then 'rwx'[i % 3 + 1] else '-' end), lambda a, b: a || b) as label from documents""",
+    "mtime_labels": """select doc_id, strftime(make_timestamp((doc_id - 500) * 1234567 * 1000000), '%Y-%m-%d %H:%M:%S') ||
+      case when doc_id % 2 = 0 or doc_id * 7919 % 1000000000 = 0 then '' else '.' || lpad((doc_id * 7919 % 1000000000)::varchar, 9, '0') end as label from documents""",
+    "manifest_prefix": f"""with {FILES}, l as (select path, coalesce(lag(path) over (order by path), '') as prev from files),
+      c as (select *, coalesce(list_min(list_filter(range(1, least(length(path), length(prev)) + 1), lambda i: path[i] <> prev[i])) - 1, least(length(path), length(prev))) as common from l)
+      select string_split(path, '/')[2] as source, count(*) as paths, sum(common)::bigint as shared_bytes,
+             sum(case when common < 128 then 1 else 2 end + 1 + length(path) - common)::bigint as coded_bytes from c group by 1""",
+    "tree_diff": """with d as (select doc_id as i, octet_length(encode(text)) as size, sha256(text) as digest from documents),
+      e as (select i::varchar as path, size, digest from d),
+      a as (select case when i % 50 = 7 then 'new/' || i else i::varchar end as path, case when i % 30 = 4 then size + 1 else size end as size, case when i % 35 = 6 then '0' else digest end as digest from d where i % 40 <> 3)
+      select * from (select coalesce(e.path, a.path) as path, case when a.path is null then 'missing' when e.path is null then 'extra' when e.size <> a.size then 'size' when e.digest <> a.digest then 'content' end as status
+        from e full join a on e.path = a.path) where status is not null""",
+}

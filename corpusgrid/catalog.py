@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from corpusgrid.operators import dedup, hierarchy, planning, selection
+from corpusgrid.operators import content, dedup, hierarchy, planning, selection
+from corpusgrid.oracles import content as content_sql
 from corpusgrid.oracles import layout
 
-MODULES = [planning, selection, dedup, hierarchy]
-ORACLES = [layout]
+MODULES = [planning, selection, dedup, hierarchy, content]
+ORACLES = [layout, content_sql]
 
 
 def queries() -> dict[str, Callable]:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from corpusgrid.operators import content, dedup, hierarchy, planning, selection
+from corpusgrid.operators import content, dedup, hierarchy, planning, selection, telemetry
 from corpusgrid.oracles import content as content_sql
 from corpusgrid.oracles import layout
+from corpusgrid.oracles import telemetry as telemetry_sql
 
-MODULES = [planning, selection, dedup, hierarchy, content]
-ORACLES = [layout, content_sql]
+MODULES = [planning, selection, dedup, hierarchy, content, telemetry]
+ORACLES = [layout, content_sql, telemetry_sql]
 
 
 def queries() -> dict[str, Callable]:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from corpusgrid.operators import content, dedup, hierarchy, planning, selection, telemetry
+from corpusgrid.operators import coding, content, dedup, hierarchy, planning, selection, telemetry
+from corpusgrid.oracles import coding as coding_sql
 from corpusgrid.oracles import content as content_sql
 from corpusgrid.oracles import layout
 from corpusgrid.oracles import telemetry as telemetry_sql
 
-MODULES = [planning, selection, dedup, hierarchy, content, telemetry]
-ORACLES = [layout, content_sql, telemetry_sql]
+MODULES = [planning, selection, dedup, hierarchy, content, telemetry, coding]
+ORACLES = [layout, content_sql, telemetry_sql, coding_sql]
 
 
 def queries() -> dict[str, Callable]:

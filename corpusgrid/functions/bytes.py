@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a sample.
 SAMPLE = 16_384
@@ -15,7 +16,7 @@ STRUCTURE = '{}[]:,<>/="'
 PRINTABLE, STRUCTURED, BLANK = 0.85, 0.08, 0.12
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def histogram(data: pd.Series) -> pd.Series:
     """How often each of the 256 bytes occurs in a binary; null for null."""
     return data.map(lambda b: None if b is None else np.bincount(np.frombuffer(b, np.uint8), minlength=256).astype(np.int32))

@@ -8,10 +8,12 @@ from corpusgrid.operators import coding, content, dedup, hierarchy, planning, se
 from corpusgrid.oracles import coding as coding_sql
 from corpusgrid.oracles import content as content_sql
 from corpusgrid.oracles import layout
+from corpusgrid.oracles import streaming as streaming_sql
 from corpusgrid.oracles import telemetry as telemetry_sql
+from corpusgrid.streaming import progress
 
-MODULES = [planning, selection, dedup, hierarchy, content, telemetry, coding]
-ORACLES = [layout, content_sql, telemetry_sql, coding_sql]
+MODULES = [planning, selection, dedup, hierarchy, content, telemetry, coding, progress]
+ORACLES = [layout, content_sql, telemetry_sql, coding_sql, streaming_sql]
 
 
 def queries() -> dict[str, Callable]:

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Metadata rows up to which one task may hold a globally ordered window; beyond, two_level() ranges are used.
 ONE_TASK_ROWS = 2_000_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; only where it is unset a local folder of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="corpusgrid-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir (a folder of its own only where that is unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusgrid-"))
+    """df, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -10,9 +10,10 @@ from corpusgrid.oracles import content as content_sql
 from corpusgrid.oracles import layout
 from corpusgrid.oracles import streaming as streaming_sql
 from corpusgrid.oracles import telemetry as telemetry_sql
+from corpusgrid.sources import container
 from corpusgrid.streaming import progress
 
-MODULES = [planning, selection, dedup, hierarchy, content, telemetry, coding, progress]
+MODULES = [planning, selection, dedup, hierarchy, content, telemetry, coding, progress, container]
 ORACLES = [layout, content_sql, telemetry_sql, coding_sql, streaming_sql]
 
 

@@ -211,3 +211,9 @@ SQL |= {
       select * from (select coalesce(e.path, a.path) as path, case when a.path is null then 'missing' when e.path is null then 'extra' when e.size <> a.size then 'size' when e.digest <> a.digest then 'content' end as status
         from e full join a on e.path = a.path) where status is not null""",
 }
+
+PATHS = "select 'documents/' || source || '/' || lang || '/' || doc_id || case when doc_id % 17 = 0 then '.gz' else '.txt' end as path"
+SQL |= {
+    "archive_entries": f"{PATHS}, 'file' as kind, octet_length(encode(coalesce(text, '')))::bigint as size from documents",
+    "archive_files": f"{PATHS}, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as digest from documents",
+}

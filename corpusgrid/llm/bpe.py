@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,45 +16,56 @@ from pyspark.sql import types as T
 from corpusgrid.llm.common import bounded, documents, slices, text_of
 
 #: Before a space that a character other than white space follows, the split pattern always starts a word; so the pieces
-#: between such spaces can be encoded apart. These texts have spaces of another kind, or code points on which the white space
-#: of Python and of the tokenizer differ.
-ODD_SPACE = re.compile(r" (?=\s|\Z)")
-ODD = re.compile("[\x1c-\x1f]")
-TWO = [" " + c for c in " \t\n\x0b\x0c\r"]
-
-
-def pieces(text: str) -> list[str] | None:
-    """The text cut before each space that starts a word: the first piece, then the others without their space. None: can't be cut so."""
-    if text.isascii():
-        if any(x in text for x in TWO) or text.endswith(" "):
-            return None if ODD.search(text) else re.split(r" (?=\S)", text)
-    elif ODD_SPACE.search(text):
-        return None if ODD.search(text) else re.split(r" (?=\S)", text)
-    return None if ODD.search(text) else text.split(" ")
+#: between such spaces can be encoded apart. Texts with other spaces, or with code points on which notions of white space
+#: differ, are encoded whole. U+0000 marks a text's first piece, which has no space before it.
+ODD = r" (?:[\s\x{0b}\x{85}\pZ]|\z)|[\x{00}\x{1c}-\x{1f}]"
 
 
 class PieceCache:
-    """ids of texts, by a cache of their pieces' ids (little-endian int32 as bytes). encode_pieces: from new pieces to such bytes;
-    encode_whole: the same for a text that can't be cut or that holds a special token's string. The cache is emptied at limit."""
+    """ids of texts, by a cache of their pieces' ids (little-endian int32 as bytes). encode_first: from new first pieces to such
+    bytes; encode_spaced: from new pieces that a space comes before; encode_whole: the same for a text that can't be cut or that holds a special token's string. Past limit pieces a new
+    generation begins, into which the old one's pieces move as they are met again; two generations are held."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], specials: list[str], limit: int = 200_000):
-        self.encode_pieces, self.encode_whole, self.specials, self.limit = encode_pieces, encode_whole, specials, limit
+    def __init__(self, encode_first: Callable[[list[str]], list[bytes]], encode_spaced: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], specials: list[str], limit: int = 250_000):
+        self.encode_first, self.encode_spaced, self.encode_whole, self.limit = encode_first, encode_spaced, encode_whole, limit
+        self.odd = "|".join([ODD, *map(re.escape, specials)])
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in self.specials) else pieces(t) for t in texts]
-        need: set[str] = set()
-        for p in cut:
-            if p is not None:
-                need.update(p[1:])
+    def lookup(self, found: list[str]) -> list[bytes]:
+        """ids of distinct pieces."""
         if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache = self.cache
-        new = [p for p in need if p not in cache]
-        heads = list({p[0] for p in cut if p is not None})
-        cache.update(zip(new, self.encode_pieces([" " + p for p in new])))
-        first = dict(zip(heads, self.encode_pieces(heads)))
-        return [self.encode_whole(t) if p is None else first[p[0]] + b"".join(map(cache.__getitem__, p[1:])) for t, p in zip(texts, cut)]
+            self.cache, self.old = {}, self.cache
+        cache, old = self.cache, self.old
+        new = [p for p in found if p not in cache]
+        if old:
+            cache.update((p, old[p]) for p in new if p in old)
+        if old:
+            new = [p for p in new if p not in old]
+        heads = [p for p in new if p[:1] == "\0"]
+        cache.update(zip(heads, self.encode_first([p[1:] for p in heads])))
+        if len(heads) < len(new):
+            new = [p for p in new if p not in cache]
+            cache.update(zip(new, self.encode_spaced(new)))
+        return [cache[p] for p in found]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """ids of each text; null is empty. Texts are cut, and their pieces made distinct, for the whole array at once."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.odd)
+        cut = pc.split_pattern(pc.binary_join_element_wise("\0", pc.if_else(odd, "", texts), ""), " ")
+        coded = cut.flatten().dictionary_encode()
+        known = self.lookup(coded.dictionary.to_pylist())
+        lens = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        which = coded.indices.to_numpy()
+        ends = np.cumsum(lens[which])
+        at = np.repeat((np.cumsum(lens) - lens)[which] - (ends - lens[which]), lens[which]) + np.arange(ends[-1] if len(ends) else 0)
+        values = np.frombuffer(b"".join(known), "<i4")[at]
+        cuts = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        out = [values[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.frombuffer(self.encode_whole(texts[i].as_py()), "<i4")
+        return out
 
 
 class TrieBPE:
@@ -71,22 +83,25 @@ class TrieBPE:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
+        self.pair = {self.vocab[x] << 32 | self.vocab[y]: i for i, (x, y) in enumerate(merges)}
+        self.made = {x + y: (x, y, i) for i, (x, y) in reversed(list(enumerate(merges)))}
         self.names = {i: t for t, i in self.vocab.items()}
-        self.endings = {t[i:] for t in self.vocab for i in range(len(t))}
+        # every beginning of a token, with the tokens that it ends in, longest first, once they have been asked for
+        self.part: dict[str, tuple | None] = dict.fromkeys(t[:i] for t in self.vocab for i in range(1, len(t) + 1))
+        self.spines: tuple[dict[int, list], dict[int, list]] = {}, {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
         # byte-level alphabet: printable Latin-1 stands for itself, the other bytes for code points from 256 on, in order
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        self.bytes = [b""] * (max(self.names) + 1)
-        for i, t in self.names.items():
-            self.bytes[i] = bytes(byte[c] for c in t)
+        self.bytes = pa.array([bytes(byte[c] for c in self.names.get(i, "")) for i in range(max(self.names) + 1)], pa.large_binary())
 
     def merge(self, word: str) -> list[str]:
-        """Plain BPE, by rank, for the short strings of compatible()."""
+        """Plain BPE, by rank: the definition that tests hold compatible() and words() against."""
         parts = list(word)
         while len(parts) > 1:
             at = min(range(len(parts) - 1), key=lambda i: (self.rank.get((parts[i], parts[i + 1]), 1 << 60), i))
@@ -95,77 +110,137 @@ class TrieBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether the merges leave tokens a and b apart."""
-        known = self.apart.get((a, b))
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens at a token's left (0) or right (1) edge while it is merged, from the single byte to itself, each with the
+        rank of the merge that ends it."""
+        known = self.spines[side].get(token)
         if known is None:
-            if len(self.apart) > 200_000:
-                self.apart.clear()
-            known = self.apart[a, b] = self.merge(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
+            name, until, known = self.names[token], 1 << 60, []
+            while True:
+                known.append((self.vocab[name], until))
+                if name not in self.made:
+                    break
+                until, name = self.made[name][2], self.made[name][side]
+            known = self.spines[side][token] = known[::-1]
         return known
 
-    def last_token(self, path: list[str], last: list[int], depth: int) -> int:
-        """The last token of the prefix of this length; last: those of the shorter prefixes."""
-        vocab, suffix, found = self.vocab, "", []
-        for length in range(1, depth + 1):
-            suffix = path[depth - length] + suffix
-            if suffix not in self.endings:
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the merges leave tokens a and b apart. Merges go by rank, so at any time the edge tokens x of a and y of b
+        are known; they merge if their pair's rank comes before the merges that end x (which is further left) and y."""
+        known = self.apart.get(a << 32 | b)
+        if known is not None:
+            return known
+        xs, ys, pair, i, j = self.spine(a, 1), self.spine(b, 0), self.pair, 0, 0
+        while True:
+            (x, x_until), (y, y_until) = xs[i], ys[j]
+            r = pair.get(x << 32 | y)
+            if r is not None and r < x_until and r <= y_until:
+                known = False
                 break
-            if (t := vocab.get(suffix)) is not None:
-                found.append((length, t))
-        for length, t in reversed(found):
-            if length == depth or self.compatible(last[depth - length], t):
-                return t
+            if x_until <= y_until:
+                if x_until == 1 << 60:
+                    known = True
+                    break
+                i += 1
+            else:
+                j += 1
+        if len(self.apart) > 400_000:
+            self.apart.clear()
+        self.apart[a << 32 | b] = known
+        return known
+
+    def endings(self, part: str) -> tuple:
+        """(length, id) of the tokens that a beginning of a token ends in, longest first."""
+        found = self.part[part] = tuple((len(part) - i, self.vocab[part[i:]]) for i in range(len(part)) if part[i:] in self.vocab)
+        return found
+
+    def step(self, part: str, c: str, last: list[int], depth: int) -> str:
+        """Sets the last token of the prefix of this length, which c ends and which before c ended in `part`, the longest
+        beginning of a token that it could. The token is the longest that the prefix ends in and that stays apart from the
+        token before it. Gives the new part, in which every token that the prefix ends in ends too."""
+        part, parts = part + c, self.part
+        while part not in parts:
+            part = part[1:]
+        for n, t in parts[part] or self.endings(part):
+            at = depth - n
+            if not at:
+                last[depth] = t
+                return part
+            known = self.apart.get(last[at] << 32 | t)
+            if known or known is None and self.compatible(last[at], t):
+                last[depth] = t
+                return part
         raise ValueError("a byte is not in the vocabulary")
 
-    def collect(self, last: list[int], depth: int) -> list[int]:
+    def collect(self, last: list[int], depth: int) -> bytes:
         out = []
         while depth:
             out.append(last[depth])
             depth -= len(self.names[last[depth]])
-        return out[::-1]
+        return np.array(out[::-1], "<i4").tobytes()
 
-    def words(self, words: list[str]) -> dict[str, list[int]]:
+    def words(self, words: list[str]) -> dict[str, bytes]:
         """ids of distinct words in the byte-level alphabet."""
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         trie: dict = {}
         for w in words:
             if len(w) > 200:  # shares too little: the same steps along a single path
-                path, last = list(w), [0]
-                for d in range(1, len(w) + 1):
-                    last.append(self.last_token(path, last, d))
+                last, part = [0] * (len(w) + 1), ""
+                for d, c in enumerate(w, 1):
+                    part = self.step(part, c, last, d)
                 out[w] = self.collect(last, len(w))
                 continue
             node = trie
             for c in w:
-                node = node.setdefault(c, {})
+                if (below := node.get(c)) is None:
+                    below = node[c] = {}
+                node = below
             node[""] = w
-        path, last, todo = [""] * 201, [0] * 201, [(trie, 0, "")]
+        last, step, todo = [0] * 201, self.step, [(trie, 0, "", "")]
         while todo:
-            node, depth, c = todo.pop()
+            node, depth, part, c = todo.pop()
             if depth:
-                path[depth - 1] = c
-                last[depth] = self.last_token(path, last, depth)
+                part = step(part, c, last, depth)
             for x, below in node.items():
                 if x:
-                    todo.append((below, depth + 1, x))
+                    todo.append((below, depth + 1, part, x))
                 else:
                     out[below] = self.collect(last, depth)
         return out
 
-    def encode_pieces(self, texts: list[str]) -> list[bytes]:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The known words' ids, these among them."""
+        if len(self.known) > 250_000:
+            self.known.clear()
+        self.known.update(self.words([w for w in words if w not in self.known]))
+        return self.known
+
+    def encode_first(self, texts: list[str]) -> list[bytes]:
         split = [[w for w, _ in self.split(t)] for t in texts]
-        known = self.words(list({w for ws in split for w in ws}))
-        return [np.array([i for w in ws for i in known[w]], "<i4").tobytes() for ws in split]
+        known = self.learn({w for ws in split for w in ws})
+        return [b"".join([known[w] for w in ws]) for ws in split]
+
+    def encode_spaced(self, found: list[str]) -> list[bytes]:
+        """Pieces after a space are split into words some at a time: their first words alone begin with the space's letter."""
+        words = [w for i in range(0, len(found), 256) for w, _ in self.split(" " + " ".join(found[i : i + 256]))]
+        known = self.learn(set(words))
+        starts = [i for i, w in enumerate(words) if w[0] == "\u0120"]
+        ids = [known[w] for w in words]
+        return [ids[a] if b == a + 1 else b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(words)])]
 
     def encode_whole(self, text: str) -> bytes:
         if not self.special:
-            return self.encode_pieces([text])[0]
+            return self.encode_first([text])[0]
         parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
-        return b"".join(np.array([self.special[p]], "<i4").tobytes() if p in self.special else self.encode_pieces([p])[0] for p in parts)
+        return b"".join(np.array([self.special[p]], "<i4").tobytes() if p in self.special else self.encode_first([p])[0] for p in parts)
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, lists: list[np.ndarray]) -> list[str]:
+        """The text of each list of ids; all of them are looked up at once."""
+        cuts = np.cumsum([0, *map(len, lists)])
+        joined = self.bytes.take(pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32)))
+        data, ends = joined.buffers()[2], np.frombuffer(joined.buffers()[1], np.int64)[cuts]
+        data = data.to_pybytes() if data else b""
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 LOADED: dict[str, tuple[TrieBPE, PieceCache]] = {}
@@ -174,7 +249,7 @@ LOADED: dict[str, tuple[TrieBPE, PieceCache]] = {}
 def loaded(path: str) -> tuple[TrieBPE, PieceCache]:
     if path not in LOADED:
         bpe = TrieBPE(path)
-        LOADED[path] = bpe, PieceCache(bpe.encode_pieces, bpe.encode_whole, list(bpe.special))
+        LOADED[path] = bpe, PieceCache(bpe.encode_first, bpe.encode_spaced, bpe.encode_whole, list(bpe.special), 500_000)
     return LOADED[path]
 
 
@@ -193,10 +268,6 @@ def extended(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Record
     return bounded(df).mapInArrow(run, schema)
 
 
-def texts_of(part: pa.RecordBatch, column: str) -> list[str]:
-    return [t or "" for t in part.column(column).to_pylist()]
-
-
 def int_lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
@@ -210,7 +281,7 @@ DECODED = T.StructField("decoded", T.StringType())
 def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """df with ids: the whole text's tokens, as the tokenizers library gives them without added special tokens. The string of a
     special token in the text becomes that token. Null and empty texts have no ids. Rows stay where they are: no shuffle."""
-    return extended(df, [IDS], lambda part: [int_lists([np.frombuffer(b, "<i4") for b in loaded(tokenizer)[1].encode(texts_of(part, text))])], text)
+    return extended(df, [IDS], lambda part: [int_lists(loaded(tokenizer)[1].encode(part.column(text)))], text)
 
 
 def decode(df: DataFrame, tokenizer: str) -> DataFrame:
@@ -219,7 +290,7 @@ def decode(df: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)[0]
         for part in batches:
-            texts = pa.array([bpe.decode(np.array(x or [], np.int32)) for x in part.column("ids").to_pylist()], pa.string())
+            texts = pa.array(bpe.decode([np.array(x or [], np.int32) for x in part.column("ids").to_pylist()]), pa.string())
             yield pa.RecordBatch.from_arrays([*[part.column(n) for n in kept], texts], [*kept, "decoded"])
 
     kept = [c for c in df.columns if c != "decoded"]
@@ -231,8 +302,8 @@ def encode_decode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFram
 
     def fn(part: pa.RecordBatch) -> list[pa.Array]:
         bpe, cache = loaded(tokenizer)
-        ids = [np.frombuffer(b, "<i4") for b in cache.encode(texts_of(part, text))]
-        return [int_lists(ids), pa.array([bpe.decode(x) for x in ids], pa.string())]
+        ids = cache.encode(part.column(text))
+        return [int_lists(ids), pa.array(bpe.decode(ids), pa.string())]
 
     return extended(df, [IDS, DECODED], fn, text)
 

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.bpe import PieceCache, default_tokenizer, texts_of
+from corpusgrid.llm.bpe import PieceCache, default_tokenizer
 from corpusgrid.llm.common import bounded, documents, open_store, scratch, slices, table, text_of, write_once
 
 #: Simple-8b's selectors, by number: values in a word and bits of each, in the word's low 60 bits, lowest first.
@@ -22,17 +23,19 @@ MAGIC = b"S8BIDS1\n"
 CODE_BITS = 12
 
 
+#: Bit lengths of small values.
+WIDTHS = np.array([i.bit_length() for i in range(1 << CODE_BITS)], np.uint8)
+
+
 def pack(values: np.ndarray) -> np.ndarray:
     """Simple-8b words of values below 2**60. Each word takes as many values as a selector holds; for every start at once, from
     the largest bit length in the window, which each selector's window builds from the one before."""
     n = len(values)
     v = values.astype(np.uint64)
-    widest = np.zeros(n, np.uint8)
-    for bits in range(61):
-        above = v >> np.uint64(bits) != 0
-        if not above.any():
-            break
-        widest += above
+    if n and int(v.max()) < len(WIDTHS):
+        widest = WIDTHS[values]
+    else:
+        widest = sum(((v >> np.uint64(bits) != 0).astype(np.uint8) for bits in range(60)), np.zeros(n, np.uint8))
     take, sel, width = np.ones(n, np.uint8), np.full(n, 15, np.uint8), 1
     for s in range(14, -1, -1):
         count, bits = SELECTORS[s]
@@ -54,8 +57,10 @@ def pack(values: np.ndarray) -> np.ndarray:
         count, bits = SELECTORS[s]
         if bits:
             rows = np.flatnonzero(chosen == s)
-            block = v[starts[rows][:, None] + np.arange(count)]
-            words[rows] |= np.bitwise_or.reduce(block << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
+            at, packed = starts[rows], np.zeros(len(rows), np.uint64)
+            for i in range(count):
+                packed |= v[at + i] << np.uint64(i * bits)
+            words[rows] |= packed
     return words
 
 
@@ -188,7 +193,21 @@ def library_encoder(path: str) -> PieceCache:
         tok.no_padding()
         to_bytes = lambda e: np.array(e.ids, "<i4").tobytes()
         specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-        ENCODERS[path] = PieceCache(lambda xs: [to_bytes(e) for e in tok.encode_batch_fast(xs, add_special_tokens=False)], lambda t: to_bytes(tok.encode(t, add_special_tokens=False)), specials)
+        lengths = np.zeros(tok.get_vocab_size(), np.int64)
+        for t, i in tok.get_vocab().items():
+            lengths[i] = len(t)  # in the byte-level alphabet a character is a byte
+
+        def encode_spaced(found: list[str]) -> list[bytes]:
+            """Pieces after a space are encoded as texts of some pieces, and told apart by the bytes that their ids stand for."""
+            texts = [" " + " ".join(found[i : i + 64]) for i in range(0, len(found), 64)]
+            ids = np.concatenate([np.array(e.ids, "<i4") for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.cumsum(pc.binary_length(pa.array(found, pa.string())).to_numpy().astype(np.int64) + 1)
+            cuts = [0, *(4 * np.searchsorted(np.cumsum(lengths[ids]), ends) + 4).tolist()]
+            data = ids.tobytes()
+            return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+        encode_first = lambda xs: [to_bytes(e) for e in tok.encode_batch_fast(xs, add_special_tokens=False)]
+        ENCODERS[path] = PieceCache(encode_first, encode_spaced, lambda t: to_bytes(tok.encode(t, add_special_tokens=False)), specials, 400_000)
     return ENCODERS[path]
 
 
@@ -204,13 +223,13 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
     rows = rows.repartitionByRange(n, F.asc_nulls_first("k"), F.xxhash64("t")).sortWithinPartitions(F.asc_nulls_first("k"), F.xxhash64("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, end = library_encoder(tokenizer), TaskContext.get(), np.array([end_id], "<i4").tobytes()
+        enc, task, end = library_encoder(tokenizer), TaskContext.get(), np.array([end_id], np.int32)
 
         def docs():
             for batch in batches:
-                for part in slices(batch, "t"):
-                    for k, ids in zip(part.column("k").to_pylist(), enc.encode(texts_of(part, "t"))):
-                        yield k, np.frombuffer(ids + end, "<u4")
+                for part in slices(batch, "t", 4 << 20):
+                    for k, ids in zip(part.column("k").to_pylist(), enc.encode(part.column("t"))):
+                        yield k, np.concatenate([ids, end]).astype(np.uint32)
 
         first = next(it := docs(), None)
         if first is None:

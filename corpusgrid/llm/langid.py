@@ -147,17 +147,18 @@ def entropies(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def calibrate(model: dict, samples: dict[str, list[str]], slack: float) -> None:
-    """The most cross-entropy that a language accepts: slack times the largest of its calibration texts."""
+    """The most cross-entropy that is accepted: slack times the largest that any language's calibration texts have in their own
+    language. One bound for all: a text in one language with much else in it may be nearer to another language's model."""
     own = []
     for i, lang in enumerate(model["langs"]):
         e, n = entropies(model, samples.get(lang, []))
-        own.append(slack * e[n > 0, i].max() if (n > 0).any() else np.inf)
-    model["most"] = np.array(own)
+        own += e[n > 0, i].tolist()
+    model["most"] = slack * max(own) if own else np.inf
 
 
 def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
     """(language, score, rejected) of each text. The score is the best language's share of the likelihoods, each for the
-    text's codes but 20 at most, at its own cross-entropy. Rejected: no letter, or more cross-entropy than the language accepts."""
+    text's codes but 20 at most, at its own cross-entropy. Rejected: no letter, or more cross-entropy than is accepted."""
     if not model["langs"]:
         return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
     e, n = entropies(model, [t or "" for t in texts])
@@ -165,7 +166,7 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
     low = e[np.arange(len(e)), best]
     score = 1 / np.exp((low[:, None] - e) * np.minimum(n, 20)[:, None]).sum(axis=1)
     some = n > 0
-    rejected = ~some | (low > model["most"][best])
+    rejected = ~some | (low > model["most"])
     return [model["langs"][b] if s else "und" for b, s in zip(best, some)], np.where(some, score, 0.0).tolist(), rejected.tolist()
 
 
@@ -178,7 +179,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not counts:
-        return {"langs": [], "tables": [], "most": np.empty(0)}
+        return {"langs": [], "tables": [], "most": np.inf}
     share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, docs_per_lang / r["count"])))])
     sample = rows.where(F.pmod("h", F.lit(1_000_003)) < F.element_at(share, F.col("l")) * 1_000_003).limit(2 * docs_per_lang * len(counts) + 100).collect()
     fitted: dict[str, list[str]] = {}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.llm.common import LOWER, bounded, cut, documents, slices, small, table, text_of
@@ -95,8 +95,8 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        sent = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("string").alias("old"))
+        spread = sent.union(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("mid"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         spread = cut(spread.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
         labels = spread.select("node", "label")
@@ -140,58 +140,145 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return bounded(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")).mapInArrow(run, "a string, b string")
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, pivot_rounds: int = 4, broadcast_rows: int = 250_000) -> DataFrame:
+def overlaps(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, node) with n and h, the shingles of both, common, those in both, and rest, the node's that its hub hasn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            n, h, common, rest = [], [], [], []
+            for hub, ta, tb in zip(*[batch.column(c).to_pylist() for c in ("hub", "ta", "tb")]):
+                if hub not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[hub] = shingles(tb)[0]
+                own = shingles(ta)[0]
+                left = np.setdiff1d(own, known[hub], assume_unique=True)
+                n.append(len(own))
+                h.append(len(known[hub]))
+                common.append(len(own) - len(left))
+                rest.append(left.view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("node"), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["hub", "node", "n", "h", "common", "rest"])
+
+    one = texts.select("node", F.col("t").alias("ta"))
+    two = texts.select(F.col("node").alias("hub"), F.col("t").alias("tb"))
+    rows = members.select("hub", "node").join(one, "node").join(two, "hub").select("hub", "node", "ta", "tb")
+    return bounded(rows).mapInArrow(run, "hub string, node string, n long, h long, common long, rest array<long>")
+
+
+def reference_texts(active: DataFrame) -> DataFrame:
+    """(band, hub): a text that most of the bucket's texts are like. Of each bucket the most linked text is a candidate; a text
+    votes for the most linked candidate of all its buckets, and a bucket's hub is what most of its texts vote for."""
+    rank = F.struct("links", F.xxhash64("node", F.lit(-1)).alias("h"), "node")
+    first = active.groupBy("band").agg(F.max(rank).alias("best"))
+    votes = active.join(first, "band").groupBy("node").agg(F.max("best").alias("best"))
+    count = active.join(votes, "node").groupBy("band", "best").agg(F.count("*").alias("n"))
+    return count.groupBy("band").agg(F.max(F.struct("n", "best")).alias("b")).select("band", F.col("b.best.node").alias("hub"))
+
+
+def around(active: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the texts of a bucket have in common with one set of shingles, R: those of the bucket's hub, and those that more than
+    half of the texts held against that hub have. First: hub, node, n (the node's shingles), known (those in R) and beyond (the
+    others). Second: hub, node, s and often, for the shingles beyond R that several texts held against the hub have."""
+    members = active.join(reference_texts(active), "band").select("hub", "node").distinct()
+    seen = table(overlaps(members, texts), "overlaps")
+    each = seen.select("hub", "node", F.explode("rest").alias("s"))
+    often = each.groupBy("hub", "s").agg(F.count("*").alias("often")).where("often > 1")
+    size = seen.groupBy("hub").agg(F.count("*").alias("texts"))
+    often = table(often.join(size, "hub").select("hub", "s", "often", (F.col("often") * 2 > F.col("texts")).alias("common")), "often")
+    each = each.join(often, ["hub", "s"])
+    more = each.where("common").groupBy("hub", "node").agg(F.count("*").alias("more"))
+    seen = seen.join(more, ["hub", "node"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    seen = seen.select("hub", "node", "n", (F.col("common") + F.col("more")).alias("known"), (F.size("rest") - F.col("more")).alias("beyond"))
+    return table(seen, "seen"), each.where("not common").select("hub", "node", "s", "often")
+
+
+def pairs_beyond(seen: DataFrame, each: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts of different labels, in one bucket, that can be similar enough: none that is similar enough is missing,
+    and a bucket's texts aren't paired with one another. seen and each: as from around(), seen with each node's label and
+    centre, the label that most nodes around its hub have; at least one text of a pair isn't of that label.
+
+    Two texts x and y need least / (1 + least) * (|x| + |y|) common shingles. At most min(|x and R|, |y and R|) of them are in R;
+    so they share at least the rest beyond R, and one of these is among the rarest that x has beyond R, all but that many less
+    one, and of y alike. If nothing is needed beyond R, both have nearly all of R that they could, which is looked up by size.
+    Texts that are only like R, and so unlike one another, are in no pair."""
+    share, slack = least / (1 + least), 1e-9
+    seen = seen.withColumn("need", F.ceil(least * F.col("n") - F.col("known") - slack))
+    own = Window.partitionBy("hub", "node")
+    # shingles that no other text has come first in the order; they are counted and left out
+    rank = F.col("beyond") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "s"))
+    prefix = each.join(seen, ["hub", "node"]).withColumn("rank", rank)
+    prefix = table(prefix.where(F.col("rank") <= F.col("beyond") - F.greatest("need", F.lit(1)) + 1).select("hub", "s", "node", "label", "centre", "n", "known", "beyond", "rank"), "prefixes")
+    side = lambda df, x: df.select(F.col("hub").alias(f"{x}hub"), F.col("s").alias(f"{x}s"), *[F.col(c).alias(f"{x}{c}") for c in ("node", "label", "n", "known", "beyond", "rank")])
+    beyond = F.greatest(F.lit(1), F.ceil(share * (F.col("xn") + F.col("yn")) - F.least("xknown", "yknown") - slack))
+    can = (F.col("xrank") <= F.col("xbeyond") - beyond + 1) & (F.col("yrank") <= F.col("ybeyond") - beyond + 1)
+    left, right = side(prefix.where("label <> centre"), "x"), side(prefix, "y")
+    sharing = left.join(right, (F.col("xhub") == F.col("yhub")) & (F.col("xs") == F.col("ys")) & (F.col("xlabel") != F.col("ylabel")) & can).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+
+    inside = seen.where("need <= 0")
+    low, high = F.ceil(F.col("n") * least - slack), F.floor(F.col("known") / share - F.col("n") + slack)
+    outer = inside.where("label <> centre").where(low <= high).withColumn("size", F.explode(F.sequence(low, high)))
+    fit = inside.select(F.col("hub").alias("yhub"), F.col("n").alias("yn"), F.col("node").alias("b"), F.col("label").alias("ylabel"), F.col("known").alias("yknown"))
+    enough = share * (F.col("n") + F.col("yn")) <= F.least("known", "yknown") + slack
+    within = outer.join(fit, (F.col("hub") == F.col("yhub")) & (F.col("size") == F.col("yn")) & (F.col("label") != F.col("ylabel")) & enough).select(F.col("node").alias("a"), "b")
+    return sharing.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def neighbour_labels(edges: DataFrame) -> DataFrame:
+    """(node, new, links): the most linked of a node and its neighbours, and how many neighbours it has. Nodes with the same label
+    are neighbours of one node, and so in one class."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    links = both.groupBy("a").agg(F.count("*").alias("links"))
+    near = both.join(links.withColumnsRenamed({"a": "b", "links": "l"}), "b").select("a", "b", "l", F.lit(0).cast("long").alias("own"))
+    near = near.union(links.select("a", F.col("a").alias("b"), F.col("links").alias("l"), F.col("links").alias("own")))
+    return near.groupBy("a").agg(F.max(F.struct("l", "b")).alias("m"), F.max("own").alias("links")).select(F.col("a").alias("node"), F.col("m.b").alias("new"), "links")
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, pivot_rounds: int = 1, broadcast_rows: int = 250_000) -> DataFrame:
     """id, node (MD5 of the text) and class_id of each row: the least id of its class. Rows are in one class if their texts are
     equal or linked by a chain of texts whose shingle sets have Jaccard similarity of at least `least`.
 
     Equal texts count once from the start. Texts that share a band are candidates. A bucket of a band isn't multiplied out:
     in each round one of its texts, of those not tried there the one with the most links so far, is compared with its texts of
-    other classes; buckets that have become one class are done. What a few rounds leave, texts of different classes in a bucket, is
-    compared pair by pair, so that no candidate link between classes is lost; pairs inside a class aren't needed.
+    other labels; buckets of one label are done. Then the text that is nearest to what a bucket's texts have in common is compared
+    with them, and pairs_beyond() finds, exactly, which of them can still be linked; pairs that are known to be in one class
+    aren't needed. Classes are the components of all links.
 
     Null text is the empty text; texts without a word are linked to equal texts alone. Null ids are a class id only if no other
     is there. Rows equal in id and text get the same result. An empty table gives an empty table."""
     spark = df.sparkSession
     rows = table(signed(df, key, text), "signatures")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least_id"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.first("bands").alias("bands"))
     member = nodes.select("node", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    active = table(member.join(shared, "band").withColumns({"label": F.col("node"), "links": F.lit(0).cast("long"), "used": F.lit(False)}), "members")
-    wanted = cut(active.select("node").distinct())
+    active = table(member.join(shared, "band").select("band", "node", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"), F.lit(False).alias("used")), "members")
+    wanted = table(active.select("node").distinct(), "wanted")
     docs = df.select(text_of(text).alias("t")).withColumn("node", F.md5("t"))
     texts = table(docs.join(small(wanted, broadcast_rows), "node", "left_semi").groupBy("node").agg(F.first("t").alias("t")), "texts")
     edges = spark.createDataFrame([], "a string, b string")
-    tried = spark.createDataFrame([], "a string, b string")
-    for turn in range(pivot_rounds + 1):
-        if not active.limit(1).count():
-            break
-        if turn < pivot_rounds:
-            rank = F.struct("links", F.xxhash64("node", F.lit(turn)), "node", "label")
-            pivot = active.groupBy("band").agg(F.max(F.when(~F.col("used"), rank)).alias("p")).where("p is not null").select("band", F.col("p.node").alias("b"), F.col("p.label").alias("other"))
-            pairs = active.join(pivot, "band").where("label <> other").select(F.col("node").alias("a"), "b")
-        else:
-            other = active.select("band", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = active.join(other, "band").where("label <> other and node < b").select(F.col("node").alias("a"), "b")
-        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = table(pairs, "pairs")
-        linked = table(verified(pairs, texts, least), "links")
-        edges = edges.union(linked)
-        tried = tried.union(pairs).union(pairs.select("b", "a"))
-        if turn == pivot_rounds:
-            break
-        labels = components(edges)
-        links = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("more"))
-        active = active.join(pivot.select("band", F.col("b").alias("node"), F.lit(True).alias("now")), ["band", "node"], "left")
-        active = active.join(labels.withColumnRenamed("label", "new"), "node", "left").join(links, "node", "left")
-        active = active.select("band", "node", F.coalesce("new", "label").alias("label"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"), (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
+    for turn in range(pivot_rounds):
+        rank = F.struct("links", F.xxhash64("node", F.lit(turn)), "node", "label")
+        pivot = active.groupBy("band").agg(F.max(F.when(~F.col("used"), rank)).alias("p")).where("p is not null").select("band", F.col("p.node").alias("b"), F.col("p.label").alias("other"))
+        active = table(active.join(pivot, "band", "left"), "tried")
+        pairs = active.where("label <> other").select(F.col("node").alias("a"), "b").distinct()
+        edges = edges.union(table(verified(pairs, texts, least), "links"))
+        active = active.join(neighbour_labels(edges).withColumnRenamed("links", "more"), "node", "left")
+        active = active.select("band", "node", F.coalesce("new", "label").alias("label"), F.coalesce("more", "links").alias("links"), (F.col("used") | F.coalesce(F.col("node") == F.col("b"), F.lit(False))).alias("used"))
         split = active.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
         active = table(active.join(split, "band"), "members")
-    labels = components(edges)
-    ids = rows.groupBy("node").agg(F.min("id").alias("least_id"))
-    ids = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    seen, each = around(active, texts)
+    nearest = F.struct(F.col("n") - 2 * F.col("known"), "node")
+    centre = seen.groupBy("hub").agg(F.min_by("node", nearest).alias("b"))
+    pairs = seen.join(centre, "hub").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    edges = edges.union(table(verified(pairs, texts, least), "links"))
+    labels = table(components(edges), "labels")
+    seen = seen.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = seen.join(centre, "hub").where("node = b").select("hub", F.col("label").alias("centre"))
+    late = table(verified(table(pairs_beyond(table(seen.join(of, "hub"), "seen"), each, least), "pairs"), texts, least), "links")
+    labels = table(components(edges.union(late)), "labels") if late.limit(1).count() else labels
+    ids = rows.groupBy("node").agg(F.min("id").alias("least_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = table(ids, "classes")
-    least_id = ids.groupBy("label").agg(F.min("least_id").alias("class_id"))
-    ids = ids.join(least_id, "label").select("node", "class_id")
+    ids = ids.join(ids.groupBy("label").agg(F.min("least_id").alias("class_id")), "label").select("node", "class_id")
     return rows.select("id", "node").join(ids, "node").select("id", "node", "class_id")
 
 

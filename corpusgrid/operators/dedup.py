@@ -30,7 +30,7 @@ def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return read(spark, sf_dir, "documents").select(
         "doc_id", (F.length("lang") % 3 + 1).cast("int").alias("flags"), (F.col("doc_id") % 17 == 0).alias("raw"), F.when(F.col("lang") == "en", 1).otherwise(0).alias("dictionary_id"),
-        F.octet_length(text).cast("long").alias("raw_len"), F.least(F.octet_length(text), F.lit(4096)).cast("long").alias("encoded_len"), F.sha2(F.substring(text, 1, 4096), 256).alias("digest"))
+        F.octet_length(text).cast("long").alias("raw_len"), F.least(F.octet_length(text), F.lit(4096)).cast("long").alias("encoded_len"), F.sha2(text, 256).alias("digest"))
 
 
 def q_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

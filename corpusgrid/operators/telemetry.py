@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgrid.plans.scale import running
 from corpusgrid.sources.corpus import read
 
 
@@ -125,16 +126,14 @@ ON_EVENTS = {
       select event_id, case when t rlike '^[+-]?[0-9]+$' then cast(t as bigint) end as int_value, try_cast(t as double) as value from c where try_cast(t as double) is not null""",
     "worker_util": """with w as (select user_id as worker_id, count(*) as tasks, max(t_us) - min(t_us) as uptime, sum(v_us) as busy_raw from {events} group by user_id)
       select worker_id, tasks, uptime, least(busy_raw, uptime) as busy, uptime - least(busy_raw, uptime) as idle, round(case when uptime = 0 then 0.0 else least(busy_raw, uptime) / uptime end, 6) as utilization,
-             round(sum(least(busy_raw, uptime)) over () / (select max(t_us) - min(t_us) from {events}), 6) as effective_cores, min(tasks) over () as least_tasks, max(tasks) over () as most_tasks from w""",
+             round(busy_all / (select max(t_us) - min(t_us) from {events}), 6) as effective_cores, least_tasks, most_tasks
+      from w cross join (select sum(least(busy_raw, uptime)) as busy_all, min(tasks) as least_tasks, max(tasks) as most_tasks from w)""",
     "run_rates": """with r as (select event_type, sum(v_us) as bytes, max(t_us) - min(t_us) as us from {events} group by event_type)
       select event_type, bytes, us, round(case when bytes = 0 then 0.0 else bytes / greatest(us / 1e6, 1e-6) end, 4) as bytes_per_s from r""",
-    "shard_payload": """with s as (select event_type, sum(case when user_id % 2 = 0 then v_us else 0 end) as shard_sum, max(case when user_id % 2 = 0 then v_us else 0 end) as shard_max,
-          max(case when user_id % 2 = 1 then v_us end) as other from {events} where event_id % 97 < 3 group by event_type)
+    "shard_payload": """with s as (select event_type, sum(case when user_id % 2 = 0 and length(event_type) % 2 = 0 then v_us else 0 end) as shard_sum, max(case when user_id % 2 = 0 and length(event_type) % 2 = 0 then v_us else 0 end) as shard_max,
+          max(case when user_id % 2 = 1 then v_us end) as other from {events} group by event_type)
       select event_type, coalesce(nullif(shard_sum, 0), other, 0) as payload_sum, case when shard_sum > 0 then shard_max else coalesce(other, 0) end as payload_max from s""",
     "latency_hist": "select event_type, count(*) as n, sum(v_us) as total, min(v_us) as least, max(v_us) as most, round(avg(v_us), 4) as mean from {events} group by event_type",
-    "counters": """with d as (select event_type, event_id, t_us, v_us, case when event_id % 3 = 0 then -v_us else v_us end as delta from {events}),
-      r as (select *, sum(delta) over (partition by event_type order by t_us, event_id rows unbounded preceding) as s from d)
-      select event_type, sum(v_us) as counter, max_by(v_us, struct(t_us, event_id)) as gauge, sum(delta) - least(0, min(s)) as floored_gauge from r group by event_type""",
     "live_rates": """with p as (select user_id as run_id, event_id, t_us - min(t_us) over (partition by user_id) as elapsed_us, sum(v_us) over (partition by user_id order by t_us, event_id rows unbounded preceding) as done from {events}),
       l as (select *, done - lag(done, 1, 0) over w as d_bytes, elapsed_us - lag(elapsed_us, 1, 0) over w as d_us, done / greatest(elapsed_us / 1e6, 1e-6) as avg_bps from p window w as (partition by run_id order by elapsed_us, event_id)),
       i as (select *, case when d_us > 0 then d_bytes / (d_us / 1e6) else avg_bps end as instant_bps from l)
@@ -147,13 +146,31 @@ ON_EVENTS = {
     "flat_report": """with a as (select event_type, map('count', cast(count(*) as string), 'total', cast(sum(v_us) as string), 'max', cast(max(v_us) as string)) as m from {events} group by event_type)
       select concat('stage.', regexp_extract(concat(event_type, '_us'), '^(.*)_us$', 1), '.', key) as key, value from (select event_type, explode(m) from a)""",
     "event_props": """select event_type, count(*) as n, sum(coalesce(cast(get_json_object(props, '$.k') as bigint), -1)) as k_sum, count(get_json_object(props, '$.missing.deep')) as deep from {events} group by event_type""",
-    "reorder_peak": """with arrivals as (select event_id, row_number() over (order by t_us, event_id % 7, event_id) - 1 as arrival, row_number() over (order by event_id) - 1 as id from {events} where user_id % 10 = 0),
-      r as (select *, greatest(id, arrival) as a from arrivals),
-      f as (select id, arrival, max(arrival) over (order by id rows unbounded preceding) as released from r)
-      select count(*) as items, cast(max(released - arrival) as bigint) as longest_wait, sum(released - arrival) as total_wait, count_if(released > arrival) as waited from f""",
 }
 
 
+def q_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per event type: a counter (sum), a gauge (last value), and a gauge that every third event takes from and that stops at 0. Such a
+    gauge is its sum less the lowest that the sum has been below 0; running sums are made over the order of all types, and a
+    type's own begin where its first event does. So a frequent type isn't one task's work."""
+    delta = F.when(F.col("event_id") % 3 == 0, -F.col("v_us")).otherwise(F.col("v_us"))
+    e = events(spark, sf_dir).select("event_type", "event_id", "t_us", "v_us", delta.alias("delta"))
+    rows = read(spark, sf_dir, "events").count()
+    e = running(e, [F.col("event_type"), F.col("t_us"), F.col("event_id")], {"s": "delta"}, None, rows)
+    at = F.struct("t_us", "event_id")
+    g = e.groupBy("event_type").agg(F.sum("v_us").alias("counter"), F.max_by("v_us", at).alias("gauge"), F.sum("delta").alias("sum"), (F.min("s") - F.min_by(F.col("s") - F.col("delta"), at)).alias("low"))
+    return g.select("event_type", "counter", "gauge", (F.col("sum") - F.least(F.lit(0), "low")).alias("floored_gauge"))
+
+
+def q_reorder_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long events wait if they are given out in order of id as they arrive: each when all before it have come."""
+    rows = read(spark, sf_dir, "events").count()
+    e = events(spark, sf_dir).select("event_id", "t_us", F.lit(1).alias("one"))
+    e = running(e, [F.col("t_us"), F.col("event_id") % 7, F.col("event_id")], {"arrival": "one"}, None, rows)
+    e = running(e, [F.col("event_id")], {}, None, rows, {"released": "arrival"}).withColumn("wait", F.col("released") - F.col("arrival"))
+    return e.agg(F.count("*").alias("items"), F.max("wait").alias("longest_wait"), F.sum("wait").alias("total_wait"), F.count_if(F.col("wait") > 0).alias("waited"))
+
+
 def on(relation, sql: str, name: str):
     return lambda spark, sf_dir: spark.sql(sql, **{name: relation(spark, sf_dir)})
 
@@ -226,10 +243,10 @@ def q_fmt_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report labels as keys: ANSI colours stripped, lower case, runs of other characters as one underscore."""
-    raw = F.concat(F.lit("\x1b[1;32m"), F.substring("text", 1, 40), F.lit("\x1b[0m"))
+    raw = F.concat(F.lit("\x1b[1;32m"), "text", F.lit("\x1b[0m"))
     clean = F.regexp_replace(raw, "\x1b\\[[0-9;]*[A-Za-z]", "")
     slug = F.btrim(F.regexp_replace(F.lower(F.trim(clean)), "[^a-z0-9]+", "_"), F.lit("_"))
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", slug.alias("slug"))
+    return read(spark, sf_dir, "documents").select("doc_id", slug.alias("slug"))
 
 
 def parity(n, pct) -> Column:

@@ -138,7 +138,7 @@ SQL = {
 
 DOC_BLOCKS = """db as (
   select doc_id, length(lang) % 3 + 1 as flags, doc_id % 17 = 0 as raw, case when lang = 'en' then 1 else 0 end as dictionary_id,
-         octet_length(encode(text))::bigint as raw_len, least(octet_length(encode(text)), 4096)::bigint as encoded_len, sha256(left(text, 4096)) as digest
+         octet_length(encode(text))::bigint as raw_len, least(octet_length(encode(text)), 4096)::bigint as encoded_len, sha256(text) as digest
   from documents)"""
 TREE = CORPUS + """,
 nodes as (select size, array_to_string(p[1:i], '/') as path, i, len(p) as n from (select size, p, unnest(range(1, len(p) + 1)) as i from (select size, string_split(path, '/') as p from corpus))),

@@ -74,7 +74,7 @@ SQL = {
       select worker_id, tasks, uptime, busy, uptime - busy as idle, round(if(uptime = 0, 0, busy / uptime), 6) as utilization, round((select sum(busy) from w) / (select max(t_us) - min(t_us) from ev), 6) as effective_cores,
              (select min(tasks) from w) as least_tasks, (select max(tasks) from w) as most_tasks from w""",
     "run_rates": f"with {EVENTS} select event_type, sum(v_us)::bigint as bytes, max(t_us) - min(t_us) as us, round(if(sum(v_us) = 0, 0, sum(v_us) / greatest((max(t_us) - min(t_us)) / 1e6, 1e-6)), 4) as bytes_per_s from ev group by event_type",
-    "shard_payload": f"""with {EVENTS}, e as (select * from ev where event_id % 97 < 3), t as (select event_type, coalesce(sum(v_us) filter (where user_id % 2 = 0), 0)::bigint as ss, max(v_us) filter (where user_id % 2 = 0) as sm, max(v_us) filter (where user_id % 2 = 1) as o from e group by event_type)
+    "shard_payload": f"""with {EVENTS}, t as (select event_type, coalesce(sum(v_us) filter (where user_id % 2 = 0 and length(event_type) % 2 = 0), 0)::bigint as ss, max(v_us) filter (where user_id % 2 = 0 and length(event_type) % 2 = 0) as sm, max(v_us) filter (where user_id % 2 = 1) as o from ev group by event_type)
       select event_type, if(ss > 0, ss, coalesce(o, 0)) as payload_sum, if(ss > 0, sm, coalesce(o, 0)) as payload_max from t""",
     "latency_hist": f"with {EVENTS} select event_type, count(*) as n, sum(v_us)::bigint as total, min(v_us) as least, max(v_us) as most, round(avg(v_us), 4) as mean from ev group by event_type",
     "counters": f"""with {EVENTS} select event_type, sum(v_us)::bigint as counter, arg_max(v_us, (t_us, event_id)) as gauge,
@@ -88,8 +88,8 @@ SQL = {
     "flat_report": f"""with {EVENTS}, a as (select event_type, count(*)::varchar as c, sum(v_us)::bigint::varchar as t, max(v_us)::varchar as m from ev group by event_type)
       select 'stage.' || event_type || '.count' as key, c as value from a union all select 'stage.' || event_type || '.total', t from a union all select 'stage.' || event_type || '.max', m from a""",
     "event_props": """select event_type, count(*) as n, sum(coalesce(json_extract_string(props, '$.k')::bigint, -1))::bigint as k_sum, count(json_extract_string(props, '$.missing.deep')) as deep from events group by event_type""",
-    "reorder_peak": f"""with {EVENTS}, r as (select row_number() over (order by t_us, event_id % 7, event_id) - 1 as arrival, row_number() over (order by event_id) - 1 as id from ev where user_id % 10 = 0),
-      f as (select a.arrival, max(b.arrival) as released from r a join r b on b.id <= a.id group by a.id, a.arrival)
+    "reorder_peak": f"""with {EVENTS}, r as (select row_number() over (order by t_us, event_id % 7, event_id) - 1 as arrival, row_number() over (order by event_id) - 1 as id from ev),
+      f as (select arrival, max(arrival) over (order by id) as released from r)
       select count(*) as items, max(released - arrival) as longest_wait, sum(released - arrival)::bigint as total_wait, count(*) filter (where released > arrival) as waited from f""",
     "preset_resolve": f"""with p(preset, compressor, level, block_size, pool_buffers, dedup_window) as (values {values(PRESETS)}), o(preset, b) as (values ('fast', '64K'), ('ultra', '4M')), d as (select * from p where preset = 'defaults'),
       r as (select p.preset, coalesce(p.compressor, d.compressor) as compressor, coalesce(p.level, d.level)::int as level, coalesce(o.b, p.block_size, d.block_size) as bs, coalesce(p.pool_buffers, d.pool_buffers)::int as pool_buffers, coalesce(p.dedup_window, d.dedup_window)::int as dedup_window
@@ -108,7 +108,7 @@ SQL = {
     "fmt_bytes": """with n as (select doc_id, doc_id * doc_id * doc_id * 1000 as n from documents)
       select doc_id, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.2f', n / 1024) || ' KiB' when n < 1073741824 then printf('%.2f', n / 1048576) || ' MiB'
         when n < 1099511627776 then printf('%.2f', n / 1073741824) || ' GiB' else printf('%.2f', n / 1099511627776) || ' TiB' end as label from n""",
-    "slugs": "select doc_id, trim(regexp_replace(lower(trim(left(text, 40))), '[^a-z0-9]+', '_', 'g'), '_') as slug from documents where lang = 'en'",
+    "slugs": "select doc_id, trim(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '_', 'g'), '_') as slug from documents",
     "parity_plan": """with d as (select doc_id, octet_length(encode(text))::bigint * 40000 as len from documents), s as (select doc_id, len, greatest(1048576, (len + 199) // 200) as shard from d where len >= 40),
       p as (select doc_id, shard, (len + shard - 1) // shard as data, unnest([5, 10, 50]) as pct from s), q as (select *, greatest(1, (data * pct + 99) // 100) as parity from p)
       select doc_id, pct, shard, data, parity, data + parity <= 255 as valid from q""",

@@ -21,12 +21,13 @@ def test_running_sums_and_lags_agree_at_both_levels(spark):
     rows = [(f"k{r.randrange(400):03d}", i, r.randrange(100)) for i in range(1000)]
     df = spark.createDataFrame(rows, "k string, i int, v long")
     order = [F.col("k"), F.col("i")]
-    one = {(x["k"], x["i"]): (x["s"], x["p"]) for x in running(df, order, {"s": "v"}, {"p": "v"}).collect()}
-    two = {(x["k"], x["i"]): (x["s"], x["p"]) for x in two_level(df, order, {"s": "v"}, {"p": "v"}).collect()}
-    total, before, want = 0, None, {}
+    found = lambda out: {(x["k"], x["i"]): (x["s"], x["p"], x["m"]) for x in out.collect()}
+    one = found(running(df, order, {"s": "v"}, {"p": "v"}, None, {"m": "v"}))
+    two = found(two_level(df, order, {"s": "v"}, {"p": "v"}, {"m": "v"}))
+    total, before, most, want = 0, None, -1, {}
     for k, i, v in sorted(rows):
-        total += v
-        want[k, i] = (total, before)
+        total, most = total + v, max(most, v)
+        want[k, i] = (total, before, most)
         before = v
     assert one == two == want
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgrid.llm.common import bounded, documents, slices, text_of
+from corpusgrid.llm.common import HELD, bounded, documents, slices, take_turn, text_of
 
 #: Before a space that a character other than white space follows, the split pattern always starts a word; so the pieces
 #: between such spaces can be encoded apart. Texts with other spaces, or with code points on which notions of white space
@@ -144,7 +145,7 @@ class TrieBPE:
                 i += 1
             else:
                 j += 1
-        if len(self.apart) > 400_000:
+        if len(self.apart) > 250_000:
             self.apart.clear()
         self.apart[a << 32 | b] = known
         return known
@@ -210,9 +211,13 @@ class TrieBPE:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The known words' ids, these among them."""
-        if len(self.known) > 250_000:
+        if len(self.known) > 150_000:
             self.known.clear()
-        self.known.update(self.words([w for w in words if w not in self.known]))
+        gc.disable()  # a trie has no cycles, and its many nodes would set off collection after collection
+        try:
+            self.known.update(self.words([w for w in words if w not in self.known]))
+        finally:
+            gc.enable()
         return self.known
 
     def encode_first(self, texts: list[str]) -> list[bytes]:
@@ -244,12 +249,13 @@ class TrieBPE:
 
 
 LOADED: dict[str, tuple[TrieBPE, PieceCache]] = {}
+HELD[__name__] = LOADED.clear
 
 
 def loaded(path: str) -> tuple[TrieBPE, PieceCache]:
     if path not in LOADED:
         bpe = TrieBPE(path)
-        LOADED[path] = bpe, PieceCache(bpe.encode_first, bpe.encode_spaced, bpe.encode_whole, list(bpe.special), 500_000)
+        LOADED[path] = bpe, PieceCache(bpe.encode_first, bpe.encode_spaced, bpe.encode_whole, list(bpe.special), 250_000)
     return LOADED[path]
 
 
@@ -261,6 +267,7 @@ def extended(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Record
     out_names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(fn.__module__)
         for batch in batches:
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *fn(part)], out_names)

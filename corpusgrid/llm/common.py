@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +79,23 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+#: How each module's caches in a Python worker are emptied.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def take_turn(module: str) -> None:
+    """Called by an operator's tasks as they begin: a worker process serves one operator after another, and keeps the caches of the
+    present one alone. What is free goes back to the system, where the C library can do that."""
+    others = [empty for name, empty in HELD.items() if name != module]
+    for empty in others:
+        empty()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about limit bytes of the column, at least a row each, so that memory is bounded by the longest text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

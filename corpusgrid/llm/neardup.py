@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.common import LOWER, bounded, cut, documents, slices, small, table, text_of
+from corpusgrid.llm.common import HELD, LOWER, bounded, cut, documents, slices, small, table, take_turn, text_of
 
 #: Words of a shingle, similarity of a link, components of a signature, components of a band: at 0.8 a pair shares a band with
 #: probability 0.9998.
@@ -26,6 +26,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 WORD_HASH: dict[bytes, int] = {}
+HELD[__name__] = WORD_HASH.clear
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +109,7 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per row of df: id, node (MD5 of the text) and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(__name__)
         for batch in batches:
             for part in slices(batch, "t"):
                 sig, some = signatures(part.column("t").to_pylist())
@@ -123,6 +125,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     that it is in; AQE splits those of a hot one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(__name__)
         known: dict[str, np.ndarray] = {}
         for batch in batches:
             out: list[tuple[str, str]] = []
@@ -144,6 +147,7 @@ def overlaps(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(hub, node) with n and h, the shingles of both, common, those in both, and rest, the node's that its hub hasn't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(__name__)
         known: dict[str, np.ndarray] = {}
         for batch in batches:
             n, h, common, rest = [], [], [], []

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.llm.bpe import PieceCache, default_tokenizer
-from corpusgrid.llm.common import bounded, documents, open_store, scratch, slices, table, text_of, write_once
+from corpusgrid.llm.common import HELD, bounded, documents, open_store, scratch, slices, table, take_turn, text_of, write_once
 
 #: Simple-8b's selectors, by number: values in a word and bits of each, in the word's low 60 bits, lowest first.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -178,6 +178,7 @@ def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 ENCODERS: dict[str, PieceCache] = {}
+HELD[__name__] = ENCODERS.clear
 
 
 def library_encoder(path: str) -> PieceCache:
@@ -223,6 +224,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
     rows = rows.repartitionByRange(n, F.asc_nulls_first("k"), F.xxhash64("t")).sortWithinPartitions(F.asc_nulls_first("k"), F.xxhash64("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(__name__)
         enc, task, end = library_encoder(tokenizer), TaskContext.get(), np.array([end_id], np.int32)
 
         def docs():

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.common import LOWER, bounded, documents, slices, table, text_of
+from corpusgrid.llm.common import HELD, LOWER, bounded, documents, slices, table, take_turn, text_of
 from corpusgrid.llm.langid import fold
 from corpusgrid.llm.neardup import mixed
 
@@ -19,9 +19,10 @@ from corpusgrid.llm.neardup import mixed
 END = xxhash.xxh64_intdigest(b" end")
 #: Bits of the filter for each (n-gram, level) and probes of each.
 BITS, PROBES = 10, 5
-#: Strength of the unigram distribution in a bigram's probability.
-STRENGTH = 50.0
+#: Texts, of at most so many code points, on which the weight of the bigrams is estimated.
+SAMPLE_TEXTS, SAMPLE_CHARS = 300, 20_000
 WORD_HASH: dict[bytes, int] = {}
+HELD[__name__] = WORD_HASH.clear
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -92,6 +93,7 @@ def count_ngrams(df: DataFrame, text: str, n_buckets: int, least: dict[int, int]
     kinds, names = [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["kind", "bucket", "keys", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(__name__)
         held, size = [], 0
         for batch in batches:
             for part in slices(batch, "t"):
@@ -145,8 +147,9 @@ def levels(counts: np.ndarray, least: int) -> np.ndarray:
 
 
 def expected(level: np.ndarray, least: int) -> np.ndarray:
-    """The middle of the counts of a level; 0 for level 0."""
-    return np.where(level > 0, least * 1.5 * np.exp2(level - 1.0) - 0.5 * (least > 1), 0.0)
+    """The geometric middle of the counts of a level, 1 for a level that holds 1 alone; 0 for level 0."""
+    low = least * np.exp2(np.maximum(level, 1) - 1.0)
+    return np.where(level > 0, np.sqrt(low * np.maximum(2 * low - 1, 1)), 0.0)
 
 
 def seeds(kind: int, keys48: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,12 +237,52 @@ def word_counts(counts: DataFrame, least: int | None, below: int | None) -> Data
     return counts.where("kind = 1").select("keys", "counts").mapInArrow(run, "h long, c long")
 
 
+def mass(hist: dict, least: int) -> float:
+    """What (c + 1) sums to over all words, by their counts in the filter, and 1 for the words not seen: so that probabilities of words sum to 1."""
+    total = 1.0
+    for (kind, log), (n, _) in hist.items():
+        if kind == 1:
+            level = np.maximum(log - (least.bit_length() - 1) + 1, 0)
+            total += n * (float(expected(np.array(level), least)) + 1)
+    return total
+
+
+def parts_of(bloom: Filter, words: np.ndarray, which: np.ndarray, pairs: np.ndarray, pair: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token, the counts of the word, of the one before it, and of both together, all from the filter."""
+    q1 = bloom.counts(1, words)
+    before = np.empty_like(which)
+    before[1:] = which[:-1]
+    before[heads] = np.searchsorted(words, np.uint64(END))
+    both = np.minimum(bloom.counts(2, pairs)[pair], np.minimum(q1[before], q1[which]))
+    return q1[which], q1[before], both
+
+
+def bigram_weight(bloom: Filter, unit: float, texts: list[str]) -> float:
+    """The weight of the bigram estimate that makes a training text most likely, each token's own occurrence taken out of its
+    bigram's counts; by expectation and maximisation for each sampled text, of which the median is taken, as texts with copies
+    in train have all their bigrams there."""
+    if not texts:
+        return 0.0
+    tokens = [token_hashes(t) for t in texts]
+    n = np.array([len(t) for t in tokens])
+    words, which = np.unique(np.concatenate(tokens), return_inverse=True)
+    pairs, pair = np.unique(np.concatenate([bigram_hashes(t) for t in tokens]), return_inverse=True)
+    heads = np.cumsum(n) - n
+    one, first, both = parts_of(bloom, words, which, pairs, pair, heads)
+    p1, p2, w = (one + 1) / unit, np.maximum(both - 1, 0) / np.maximum(first - 1, 1), np.full(len(n), 0.3)
+    for _ in range(30):
+        each = np.repeat(w, n)
+        w = np.add.reduceat(each * p2 / (each * p2 + (1 - each) * p1), heads) / n
+    return float(np.median(w))
+
+
 def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_id", max_filter_mb: int = 64, head_words: int = 500_000) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of each row of df, by the model of all texts of train.
 
     All words and bigrams of train are counted; the counts, quantised by powers of two, fill a Bloom filter of at most
-    max_filter_mb, which is broadcast. score sums log10 of (c(v w) + STRENGTH * p(w)) / (c(v) + STRENGTH) with
-    p(w) = (c(w) + 1) / (N + V + 1) over the tokens, all counts from the filter; v is the token before, END before the first.
+    max_filter_mb, which is broadcast. score sums log10 of w * c(v x) / c(v) + (1 - w) * p(x) over the tokens x, all counts from the
+    filter; v is the token before, END before the first; p(x) is (c(x) + 1) over what that sums to; the weight w is estimated on
+    about SAMPLE_TEXTS texts of train of at most SAMPLE_CHARS code points.
     base_score needs exact counts: those of frequent words, at most head_words of them, are broadcast; the others' occurrences
     meet their counts by a join on the word, which has no hot key, for no word in it is frequent. Repeated and null ids are kept
     apart. A null text is empty: its end alone. Without training texts N and V are 0 and both scores are those of the smoothing."""
@@ -253,6 +296,9 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     head = word_counts(counts, 1 << log, None).toArrow() if n_words else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
     hs, cs = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(hs)
+    total = mass(hist, bloom.least[1])
+    some = train.where(F.length(text) <= SAMPLE_CHARS).where(F.pmod(F.xxhash64(key, text), F.lit(1_000_003)) < 1_000_003.0 * SAMPLE_TEXTS / max(1, train.count()))
+    weight = bigram_weight(bloom, total, [r[0] for r in some.select(text).limit(2 * SAMPLE_TEXTS).collect()])
     shared = spark.sparkContext.broadcast((hs[order], cs[order], bloom))
     unit = n_train + n_words + 1
 
@@ -269,14 +315,9 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
         sums = lambda x: np.add.reduceat(x, heads)
         known = sums((c > 0)[which].astype(np.int64))
         base = sums(np.where(c > 0, np.log10((c + 1) / unit), 0.0)[which])
-        q1 = bloom.counts(1, words)
         pairs, pair = np.unique(np.concatenate([bigram_hashes(p) for p in parts]), return_inverse=True)
-        before = np.empty_like(which)
-        before[1:] = which[:-1]
-        before[heads] = np.searchsorted(words, np.uint64(END))
-        p1 = ((q1 + 1) / unit)[which]
-        both = np.minimum(bloom.counts(2, pairs)[pair], np.minimum(q1[before], q1[which]))
-        logs = sums(np.log10(np.minimum(1.0, (both + STRENGTH * p1) / (q1[before] + STRENGTH))))
+        one, first, both = parts_of(bloom, words, which, pairs, pair, heads)
+        logs = sums(np.log10(weight * both / np.maximum(first, 1) + (1 - weight) * (one + 1) / total))
         rare = np.repeat(np.arange(len(parts)), n)[c[which] == 0] * len(words) + which[c[which] == 0]
         rare, times = np.unique(rare, return_counts=True)
         cuts = np.searchsorted(rare // len(words), np.arange(len(parts) + 1)).astype(np.int32)
@@ -284,6 +325,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
         return n, known, base, logs, *lists
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(__name__)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, "t"):

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.common import HELD, LOWER, bounded, documents, slices, table, take_turn, text_of
+from corpusgrid.llm.common import HELD, LOWER, bounded, documents, open_store, scratch, slices, table, take_turn, text_of, write_once
 from corpusgrid.llm.langid import fold
 from corpusgrid.llm.neardup import mixed
 
@@ -19,6 +19,8 @@ from corpusgrid.llm.neardup import mixed
 END = xxhash.xxh64_intdigest(b" end")
 #: Bits of the filter for each (n-gram, level) and probes of each.
 BITS, PROBES = 10, 5
+#: Bytes of a part of a filter that is too large to be broadcast, and of the texts that are held against all parts at once.
+PART, HELD_TEXT = 16 << 20, 8 << 20
 #: Texts, of at most so many code points, on which the weight of the bigrams is estimated.
 SAMPLE_TEXTS, SAMPLE_CHARS = 300, 20_000
 WORD_HASH: dict[bytes, int] = {}
@@ -173,27 +175,45 @@ def set_bits(out: np.ndarray, kind: int, keys48: np.ndarray, counts: np.ndarray,
 
 
 class Filter:
-    """The whole filter on a worker: parts of so many bits, by bucket."""
-
-    def __init__(self, data: np.ndarray, bits: int, n: int, least: dict[int, int]):
-        self.data, self.bits, self.n, self.least = data, bits, n, least
+    """The whole filter on a worker: so many bits a bucket, all in data, or in a file for each run of `each` buckets (those without
+    n-grams have none)."""
+
+    def __init__(self, data: np.ndarray | None, bits: int, n: int, least: dict[int, int], files: dict[int, str] | None = None, each: int = 0):
+        self.data, self.bits, self.n, self.least, self.files, self.each = data, bits, n, least, files, each
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first bucket, bucket after the last, bits), one part in memory at a time."""
+        if self.files is None:
+            yield 0, self.n, self.data
+            return
+        for i, uri in self.files.items():
+            fs, path = open_store(uri)
+            with fs.open_input_file(path) as f:
+                yield i * self.each, (i + 1) * self.each, np.frombuffer(f.read(), np.uint8)
+
+    def lookup(self, asked: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+        """Expected counts for each (kind, hashes of n-grams): levels are probed one after another until one isn't there."""
+        short48 = [short(keys) for _, keys in asked]
+        buckets = [bucket_of(k << np.uint64(16), self.n) for k in short48]
+        found = [np.zeros(len(k), np.int64) for k in short48]
+        for first, stop, data in self.parts():
+            for (kind, _), k48, bucket, level in zip(asked, short48, buckets, found):
+                at, i = np.flatnonzero((bucket >= first) & (bucket < stop)), 0
+                while len(at):
+                    i += 1
+                    h, step = seeds(kind, k48[at], i)
+                    for _ in range(PROBES):
+                        bit = (bucket[at] - first) * self.bits + place(h, self.bits)
+                        hit = (data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                        at, step = at[hit], step[hit]
+                        h = h[hit] + step
+                    level[at] = i
+                    if i == 62:  # no count has more levels
+                        break
+        return [expected(level, self.least[kind]) for (kind, _), level in zip(asked, found)]
 
     def counts(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Expected counts of n-grams by their hashes: levels are probed one after another until one isn't there."""
-        level, at, k48 = np.zeros(len(keys), np.int64), np.arange(len(keys)), short(keys)
-        base, i = bucket_of(k48 << np.uint64(16), self.n) * self.bits, 0
-        while len(at):
-            i += 1
-            h, step = seeds(kind, k48[at], i)
-            for _ in range(PROBES):
-                bit = base[at] + place(h, self.bits)
-                hit = (self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                at, step = at[hit], step[hit]
-                h = h[hit] + step
-            level[at] = i
-            if i == 62:  # no count has more levels
-                break
-        return expected(level, self.least[kind])
+        return self.lookup([(kind, keys)])[0]
 
 
 def entries(hist: dict, kind: int, log: int) -> int:
@@ -201,15 +221,14 @@ def entries(hist: dict, kind: int, log: int) -> int:
     return sum(n * (x - log + 1) for (k, x), (n, _) in hist.items() if k == kind and x >= log)
 
 
-def build_filter(counts: DataFrame, hist: dict, n_buckets: int, max_bytes: int) -> Filter:
-    """The filter of all counted n-grams, at most max_bytes large. If it would be larger, n-grams below the least power of two at
-    which it fits aren't entered, bigrams first: at any size the bound holds, and what is entered is the most frequent."""
-    logs = {1: 0, 2: 1}
-    size = lambda: (entries(hist, 1, logs[1]) + entries(hist, 2, logs[2])) * BITS // 8
-    while size() > max_bytes:
-        logs[2 if entries(hist, 2, logs[2]) >= entries(hist, 1, logs[1]) else 1] += 1
-    least = {k: 1 << x for k, x in logs.items()}
-    bits = 64 * (1 + size() * 8 * 11 // 10 // n_buckets // 64)
+def filter_bytes(hist: dict, logs: dict[int, int]) -> int:
+    """Of a filter of the n-grams with counts of at least 2**logs[kind]."""
+    return sum(entries(hist, k, x) for k, x in logs.items()) * BITS // 8
+
+
+def filled(counts: DataFrame, n_bytes: int, n_buckets: int, least: dict[int, int]) -> tuple[int, DataFrame]:
+    """Bits of a bucket, and (bucket, bits) of those that have n-grams."""
+    bits = 64 * (1 + n_bytes * 8 * 11 // 10 // n_buckets // 64)
 
     def part(rows: pa.Table) -> pa.Table:
         out = np.zeros(bits, bool)
@@ -218,12 +237,45 @@ def build_filter(counts: DataFrame, hist: dict, n_buckets: int, max_bytes: int)
             set_bits(out, kind, short(keys) if kind == 1 else keys, c, least[kind])
         return pa.table({"bucket": rows.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
+    return bits, counts.groupBy("bucket").applyInArrow(part, "bucket long, bits binary")
+
+
+def build_filter(counts: DataFrame, hist: dict, n_buckets: int, max_bytes: int) -> Filter:
+    """The filter of the counted n-grams in memory, at most max_bytes large. If it would be larger, n-grams below the least power of
+    two at which it fits aren't entered, bigrams first; score() then takes filter_in_parts() instead, which leaves none out."""
+    logs = {1: 0, 2: 1}
+    while filter_bytes(hist, logs) > max_bytes:
+        logs[2 if entries(hist, 2, logs[2]) >= entries(hist, 1, logs[1]) else 1] += 1
+    least = {k: 1 << x for k, x in logs.items()}
+    bits, rows = filled(counts, filter_bytes(hist, logs), n_buckets, least)
     data = np.zeros(n_buckets * bits // 8, np.uint8)
-    for r in counts.groupBy("bucket").applyInArrow(part, "bucket long, bits binary").toLocalIterator():  # max_bytes in all
+    for r in rows.toLocalIterator():  # max_bytes in all
         data[r["bucket"] * bits // 8 : (r["bucket"] + 1) * bits // 8] = np.frombuffer(r["bits"], np.uint8)
     return Filter(data, bits, n_buckets, least)
 
 
+def filter_in_parts(counts: DataFrame, hist: dict, n_buckets: int) -> Filter:
+    """The filter of all counted n-grams, of any size, in files of about PART bytes in the shared folder: the same bits as in memory.
+    The driver and the workers know the files' names alone."""
+    least = {1: 1, 2: 2}
+    bits, rows = filled(counts, filter_bytes(hist, {1: 0, 2: 1}), n_buckets, least)
+    each, folder = max(1, PART * 8 // bits), scratch(counts.sparkSession, "filter")
+
+    def stored(rows: pa.Table) -> pa.Table:
+        i = rows.column("part")[0].as_py()
+        data = np.zeros(each * bits // 8, np.uint8)
+        for b, some in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
+            at = (b - i * each) * bits // 8
+            data[at : at + bits // 8] = np.frombuffer(some, np.uint8)
+        uri = f"{folder}/{i:06d}-{TaskContext.get().taskAttemptId()}.bits"
+        write_once(uri, [data.tobytes()])
+        return pa.table({"part": pa.array([i], pa.int64()), "uri": [uri]})
+
+    rows = table(rows, "filter").withColumn("part", F.floor(F.col("bucket") / each))
+    files = table(rows.groupBy("part").applyInArrow(stored, "part long, uri string"), "files").collect()
+    return Filter(None, bits, n_buckets, least, {r["part"]: r["uri"] for r in sorted(files)}, each)
+
+
 def word_counts(counts: DataFrame, least: int | None, below: int | None) -> DataFrame:
     """(h, c) of the words counted at least `least` times, or fewer than `below` times."""
 
@@ -249,14 +301,32 @@ def mass(hist: dict, least: int) -> float:
 
 def parts_of(bloom: Filter, words: np.ndarray, which: np.ndarray, pairs: np.ndarray, pair: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token, the counts of the word, of the one before it, and of both together, all from the filter."""
-    q1 = bloom.counts(1, words)
+    q1, q2 = bloom.lookup([(1, words), (2, pairs)])
     before = np.empty_like(which)
     before[1:] = which[:-1]
     before[heads] = np.searchsorted(words, np.uint64(END))
-    both = np.minimum(bloom.counts(2, pairs)[pair], np.minimum(q1[before], q1[which]))
+    both = np.minimum(q2[pair], np.minimum(q1[before], q1[which]))
     return q1[which], q1[before], both
 
 
+def text_parts(batches: Iterator[pa.RecordBatch], bloom: Filter) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches by bytes of t: more at once where each part reads the filter's files."""
+    if bloom.files is None:
+        for batch in batches:
+            yield from slices(batch, "t")
+        return
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, "t"):
+            held.append(part)
+            size += part.column("t").nbytes
+            if size >= HELD_TEXT:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def bigram_weight(bloom: Filter, unit: float, texts: list[str]) -> float:
     """The weight of the bigram estimate that makes a training text most likely, each token's own occurrence taken out of its
     bigram's counts; by expectation and maximisation for each sampled text, of which the median is taken, as texts with copies
@@ -279,8 +349,9 @@ def bigram_weight(bloom: Filter, unit: float, texts: list[str]) -> float:
 def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_id", max_filter_mb: int = 64, head_words: int = 500_000) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of each row of df, by the model of all texts of train.
 
-    All words and bigrams of train are counted; the counts, quantised by powers of two, fill a Bloom filter of at most
-    max_filter_mb, which is broadcast. score sums log10 of w * c(v x) / c(v) + (1 - w) * p(x) over the tokens x, all counts from the
+    All words and bigrams of train are counted; the counts, quantised by powers of two, fill a Bloom filter that grows with them. Up to
+    max_filter_mb it is broadcast; beyond, it lies in parts in the shared folder, which tasks read one after another for some MB of
+    texts at once, with the same scores. score sums log10 of w * c(v x) / c(v) + (1 - w) * p(x) over the tokens x, all counts from the
     filter; v is the token before, END before the first; p(x) is (c(x) + 1) over what that sums to; the weight w is estimated on
     about SAMPLE_TEXTS texts of train of at most SAMPLE_CHARS code points.
     base_score needs exact counts: those of frequent words, at most head_words of them, are broadcast; the others' occurrences
@@ -291,7 +362,8 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     counts = count_ngrams(train, text, n_buckets, {1: 1, 2: 2})
     hist = histogram(counts)
     n_train, n_words = (sum(v[i] for (k, _), v in hist.items() if k == 1) for i in (1, 0))
-    bloom = build_filter(counts, hist, n_buckets, max_filter_mb << 20)
+    fits = filter_bytes(hist, {1: 0, 2: 1}) <= max_filter_mb << 20
+    bloom = build_filter(counts, hist, n_buckets, max_filter_mb << 20) if fits else filter_in_parts(counts, hist, n_buckets)
     log = max([0, *(x + 1 for (k, x) in hist if k == 1 and sum(v[0] for (j, y), v in hist.items() if j == 1 and y >= x) > head_words)])
     head = word_counts(counts, 1 << log, None).toArrow() if n_words else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
     hs, cs = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
@@ -327,12 +399,11 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn(__name__)
         row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for part in slices(batch, "t"):
-                n, known, base, logs, words, times = of_slice(part.column("t").to_pylist())
-                rows = pa.array(np.arange(row, row + len(n)))
-                row += len(n)
-                yield pa.RecordBatch.from_arrays([rows, part.column("id"), pa.array(n), pa.array(known), pa.array(base), pa.array(logs), words, times], names)
+        for part in text_parts(batches, shared.value[2]):
+            n, known, base, logs, words, times = of_slice(part.column("t").to_pylist())
+            rows = pa.array(np.arange(row, row + len(n)))
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([rows, part.column("id"), pa.array(n), pa.array(known), pa.array(base), pa.array(logs), words, times], names)
 
     names = ["row", "id", "n_tokens", "known", "base", "score", "words", "times"]
     rows = df.select(F.col(key).alias("id"), text_of(text).alias("t"))

@@ -178,6 +178,17 @@ def test_a_small_filter_keeps_the_frequent(spark, small_dir):
     assert len(bloom.data) < 4000 and max(bloom.least.values()) > 2
 
 
+@pytest.mark.parametrize("part", [0, 4000])
+def test_a_filter_in_parts_gives_the_same_scores(spark, small_dir, monkeypatch, part):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    want = {r["id"]: r for r in ngramlm.score(docs, docs).collect()}
+    monkeypatch.setattr(ngramlm, "PART", part)
+    got = ngramlm.score(docs, docs, max_filter_mb=0).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["id"]]["score"], rel=1e-12) and r["n_known"] == want[r["id"]]["n_known"]
+
+
 def test_lm_on_odd_rows(odd, empty):
     df = odd("score")
     rows = ngramlm.score(df, df).collect()

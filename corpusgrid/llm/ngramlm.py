@@ -21,8 +21,8 @@ END = xxhash.xxh64_intdigest(b" end")
 BITS, PROBES = 10, 5
 #: Bytes of a part of a filter that is too large to be broadcast, and of the texts that are held against all parts at once.
 PART, HELD_TEXT = 16 << 20, 8 << 20
-#: Texts, of at most so many code points, on which the weight of the bigrams is estimated.
-SAMPLE_TEXTS, SAMPLE_CHARS = 300, 20_000
+#: The weight of the bigrams is a multiple of 1 / STEPS below 1.
+STEPS = 1 << 12
 WORD_HASH: dict[bytes, int] = {}
 HELD[__name__] = WORD_HASH.clear
 
@@ -327,23 +327,42 @@ def text_parts(batches: Iterator[pa.RecordBatch], bloom: Filter) -> Iterator[pa.
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def bigram_weight(bloom: Filter, unit: float, texts: list[str]) -> float:
-    """The weight of the bigram estimate that makes a training text most likely, each token's own occurrence taken out of its
-    bigram's counts; by expectation and maximisation for each sampled text, of which the median is taken, as texts with copies
-    in train have all their bigrams there."""
-    if not texts:
-        return 0.0
+def best_weights(bloom: Filter, unit: float, texts: list[str | None]) -> np.ndarray:
+    """Of each text the weight of the bigram estimate, in STEPS, that makes it most likely, each token's own occurrence taken out of
+    its bigram's counts: where the derivative of the log-likelihood, which falls as the weight grows, is positive for the last time."""
     tokens = [token_hashes(t) for t in texts]
     n = np.array([len(t) for t in tokens])
     words, which = np.unique(np.concatenate(tokens), return_inverse=True)
     pairs, pair = np.unique(np.concatenate([bigram_hashes(t) for t in tokens]), return_inverse=True)
     heads = np.cumsum(n) - n
     one, first, both = parts_of(bloom, words, which, pairs, pair, heads)
-    p1, p2, w = (one + 1) / unit, np.maximum(both - 1, 0) / np.maximum(first - 1, 1), np.full(len(n), 0.3)
-    for _ in range(30):
-        each = np.repeat(w, n)
-        w = np.add.reduceat(each * p2 / (each * p2 + (1 - each) * p1), heads) / n
-    return float(np.median(w))
+    more = np.maximum(both - 1, 0) / np.maximum(first - 1, 1) * unit / (one + 1) - 1
+    k, step = np.zeros(len(n), np.int64), STEPS
+    while step := step // 2:
+        to = k + step
+        slope = np.add.reduceat(more / (1 + np.repeat(to / STEPS, n) * more), heads)
+        k = np.where(slope > 0, to, k)
+    return k
+
+
+def bigram_weight(train: DataFrame, text: str, shared, unit: float) -> float:
+    """The median of the best weights of all texts of train, each a row; not that of all tokens together, as texts with copies in
+    train have all their bigrams there. shared: the broadcast, its last part the filter. At most STEPS rows are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(__name__)
+        bloom = shared.value[-1]
+        for part in text_parts(batches, bloom):
+            k, n = np.unique(best_weights(bloom, unit, part.column("t").to_pylist()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+
+    rows = bounded(train.select(text_of(text).alias("t"))).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    half, seen = sum(r["n"] for r in rows) / 2, 0
+    for r in sorted(rows):
+        seen += r["n"]
+        if seen >= half:
+            return r["k"] / STEPS
+    return 0.0
 
 
 def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_id", max_filter_mb: int = 64, head_words: int = 500_000) -> DataFrame:
@@ -353,7 +372,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     max_filter_mb it is broadcast; beyond, it lies in parts in the shared folder, which tasks read one after another for some MB of
     texts at once, with the same scores. score sums log10 of w * c(v x) / c(v) + (1 - w) * p(x) over the tokens x, all counts from the
     filter; v is the token before, END before the first; p(x) is (c(x) + 1) over what that sums to; the weight w is estimated on
-    about SAMPLE_TEXTS texts of train of at most SAMPLE_CHARS code points.
+    all texts of train, of any length.
     base_score needs exact counts: those of frequent words, at most head_words of them, are broadcast; the others' occurrences
     meet their counts by a join on the word, which has no hot key, for no word in it is frequent. Repeated and null ids are kept
     apart. A null text is empty: its end alone. Without training texts N and V are 0 and both scores are those of the smoothing."""
@@ -369,9 +388,8 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     hs, cs = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(hs)
     total = mass(hist, bloom.least[1])
-    some = train.where(F.length(text) <= SAMPLE_CHARS).where(F.pmod(F.xxhash64(key, text), F.lit(1_000_003)) < 1_000_003.0 * SAMPLE_TEXTS / max(1, train.count()))
-    weight = bigram_weight(bloom, total, [r[0] for r in some.select(text).limit(2 * SAMPLE_TEXTS).collect()])
     shared = spark.sparkContext.broadcast((hs[order], cs[order], bloom))
+    weight = bigram_weight(train, text, shared, total)
     unit = n_train + n_words + 1
 
     def of_slice(texts: list[str | None]) -> tuple:

@@ -189,6 +189,33 @@ def test_a_filter_in_parts_gives_the_same_scores(spark, small_dir, monkeypatch,
         assert r["score"] == pytest.approx(want[r["id"]]["score"], rel=1e-12) and r["n_known"] == want[r["id"]]["n_known"]
 
 
+def test_long_training_texts_count_for_the_bigrams_weight(spark):
+    r = random.Random(5)
+    phrases = [[f"p{i}x{j}" for j in range(5)] for i in range(300)]
+    text = lambda: " ".join(w for _ in range(1000) for w in r.choice(phrases))  # noqa: E731  # over 20,000 code points
+    train = spark.createDataFrame([(i, text()) for i in range(8)], "doc_id long, text string")
+    inside, broken = " ".join(phrases[7]), " ".join(p[i % 5] for i, p in enumerate(phrases[:5]))
+    both = spark.createDataFrame([(0, inside), (1, broken)], "doc_id long, text string")
+    a, b = (x["score"] for x in sorted(ngramlm.score(both, train).collect()))
+    assert a > b + 4  # equal words, as frequent, but those of the first follow one another in train
+
+
+def test_best_weights_are_the_most_likely(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    counts = ngramlm.count_ngrams(docs, "text", 64, {1: 1, 2: 2})
+    hist = ngramlm.histogram(counts)
+    bloom, unit = ngramlm.build_filter(counts, hist, 64, 64 << 20), ngramlm.mass(hist, 1)
+    some = [x["text"] for x in docs.orderBy("doc_id").limit(12).collect()]
+    for t, k in zip(some, ngramlm.best_weights(bloom, unit, some)):
+        tokens = ngramlm.token_hashes(t)
+        words, which = np.unique(tokens, return_inverse=True)
+        pairs, pair = np.unique(ngramlm.bigram_hashes(tokens), return_inverse=True)
+        one, first, both = ngramlm.parts_of(bloom, words, which, pairs, pair, np.array([0]))
+        p1, p2, w = (one + 1) / unit, np.maximum(both - 1, 0) / np.maximum(first - 1, 1), np.arange(ngramlm.STEPS) / ngramlm.STEPS
+        likely = [np.log(x * p2 + (1 - x) * p1).sum() for x in w]
+        assert abs(int(np.argmax(likely)) - k) <= 1
+
+
 def test_lm_on_odd_rows(odd, empty):
     df = odd("score")
     rows = ngramlm.score(df, df).collect()

@@ -1,4 +1,4 @@
-"""Near-duplicate classes: ProbMinHash signatures of weighted word shingles, banding, exact verification, components."""
+"""Near-duplicate classes: ProbMinHash signatures of word shingles, all of one weight, banding, exact verification, components."""
 
 from __future__ import annotations
 
@@ -50,13 +50,13 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """ProbMinHash of each text: for each component the shingle that arrives there first. A shingle's arrivals are a Poisson
-    process whose rate is its weight, 1 + ln(count), each at a random component; all shingles' next arrivals are drawn in turn,
-    and a shingle ends once it comes later than the last first arrival of its text. So two texts agree in a component with
-    the probability Jaccard similarity of their weights. Second: whether the text has a shingle."""
-    parts = [shingles(t) for t in texts]
-    n = np.array([len(h) for h, _ in parts], np.int64)
-    item = np.concatenate([h for h, _ in parts]) if parts else np.empty(0, np.uint64)
-    rate = 1 + np.log(np.concatenate([c for _, c in parts]) if parts else np.empty(0))
+    process of rate 1, each at a random component; all shingles' next arrivals are drawn in turn, and a shingle ends once it comes
+    later than the last first arrival of its text. So two texts agree in a component with the Jaccard similarity of their shingle
+    sets, by which links are verified; weights by count would part texts that repeat a passage more or less often. Second:
+    whether the text has a shingle."""
+    parts = [shingles(t)[0] for t in texts]
+    n = np.array([len(h) for h in parts], np.int64)
+    item = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(parts)), n)
     first = np.full(len(parts) * COMPONENTS, np.inf)
     winner = np.zeros(len(parts) * COMPONENTS, np.uint64)
@@ -64,10 +64,10 @@ def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     while len(item):
         draw = (draw + 0x9E3779B97F4A7C15) % (1 << 64)
         r = mixed(item + np.uint64(draw))
-        time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / rate
+        time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53))
         last = first.reshape(-1, COMPONENTS).max(axis=1)
         on = time < last[owner]
-        item, rate, owner, time, r = item[on], rate[on], owner[on], time[on], r[on]
+        item, owner, time, r = item[on], owner[on], time[on], r[on]
         slot = owner * COMPONENTS + (mixed(r) % np.uint64(COMPONENTS)).astype(np.int64)
         np.minimum.at(first, slot, time)
         won = first[slot] == time

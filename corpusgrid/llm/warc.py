@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.llm.common import bounded, documents, open_store, scratch, slices, small, table
@@ -59,12 +59,14 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return c.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n") + c.flush()
 
 
-def records_of(page_id, url: str | None, payload: bytes, refers_to, is_revisit: bool) -> Iterator[bytes]:
-    """A page's records: a revisit without payload, or a response, cut into segments if it is long."""
+def records_of(page_id, url: str | None, payload: bytes, refers_to, is_revisit: bool, copy: int = 0) -> Iterator[bytes]:
+    """A page's records: a revisit without payload, or a response, cut into segments if it is long. copy: the number among rows
+    of equal key and payload, which tells their record ids apart."""
     d = digest(payload)
-    name = lambda i: f"<urn:page:{'' if i is None else i}:{d}>"
+    name = lambda i, copy=0: f"<urn:page:{'' if i is None else i}:{d}{f'.{copy}' if copy else ''}>"
+    own = name(page_id, copy)
     uri = (url or "").replace("\r", "").replace("\n", "")
-    head = [("WARC-Record-ID", name(page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{d}"), ("Content-Type", "application/http; msgtype=response")]
+    head = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{d}"), ("Content-Type", "application/http; msgtype=response")]
     status = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if is_revisit:
         yield record([("WARC-Type", "revisit"), *head, ("WARC-Profile", PROFILE), ("WARC-Refers-To", name(refers_to))], status + b"\r\n")
@@ -77,7 +79,7 @@ def records_of(page_id, url: str | None, payload: bytes, refers_to, is_revisit:
     yield record([("WARC-Type", "response"), *head, ("WARC-Segment-Number", "1")], parts[0])
     for i, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if i == len(parts) else []
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name(page_id)[:-1]}:{i}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", name(page_id)), ("WARC-Segment-Number", str(i)), *last], part)
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}:{i}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(i)), *last], part)
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, broadcast_rows: int = 100_000) -> DataFrame:
@@ -86,21 +88,33 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     Of rows with equal payloads of at least least_bytes bytes, those with the smallest key (nulls last) are responses and the
     others revisit it. Groups of equal payloads are found on digests alone, summed map-side; the few that repeat are broadcast
     if they were counted to be few, else joined by shuffle, where AQE splits a hot payload. Payloads stay in their tasks.
+    Rows equal in key and payload are numbered, so that each record has an id of its own; revisits refer to the first. Only of these
+    rows payloads are moved: one of each (key, payload, url) a task, and its copies.
     Each task writes archives under its attempt's name; only those of attempts that succeeded are in the manifest. Null html is
     empty, a null url is empty. An empty table gives an empty manifest."""
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"d": F.sha1("html"), "n": F.octet_length("html")})
-    groups = rows.where(F.col("n") >= least_bytes).groupBy("d", "n").agg(F.count("*").alias("c"), F.min("id").alias("first")).where("c > 1").select("d", "n", "first")
+    keys = table(rows.groupBy("d", "n", "id").agg(F.count("*").alias("c")), "keys")
+    groups = keys.where(F.col("n") >= least_bytes).groupBy("d", "n").agg(F.sum("c").alias("c"), F.min("id").alias("first")).where("c > 1").select("d", "n", "first")
     groups = table(groups, "payloads")
+    again = keys.where("c > 1").select(F.struct("d", "n", "id").alias("key"))
+    rows = rows.withColumn("copy", F.lit(0).cast("long"))
+    if again.limit(1).count():
+        again = small(again, broadcast_rows)
+        rows = rows.withColumn("key", F.struct("d", "n", "id"))
+        several = rows.join(again, "key", "left_semi").groupBy("d", "n", "id", "url").agg(F.count("*").alias("c"), F.first("html").alias("html"))
+        before = F.sum("c").over(Window.partitionBy("d", "n", "id").orderBy("url")) - F.col("c")
+        several = several.withColumn("to", before).withColumn("copy", F.explode(F.expr("sequence(to, to + c - 1)"))).repartition("d", "id", "copy")
+        rows = rows.join(again, "key", "left_anti").drop("key").unionByName(several.select("id", "url", "html", "d", "n", "copy"))
     rows = rows.join(small(groups, broadcast_rows), ["d", "n"], "left")
-    rows = rows.select("id", "url", "html", "first", F.coalesce(~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)).alias("again"))
+    rows = rows.select("id", "url", "html", "first", "copy", F.coalesce(~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)).alias("again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, at, n, files = TaskContext.get(), None, 0, 0, 0
         done: list[tuple[str, int]] = []
         for batch in batches:
             for part in slices(batch, "html"):
-                for i, u, h, first, again in zip(*[part.column(c).to_pylist() for c in ("id", "url", "html", "first", "again")]):
+                for i, u, h, first, again, copy in zip(*[part.column(c).to_pylist() for c in ("id", "url", "html", "first", "again", "copy")]):
                     if out is None or at > ROLL:
                         if out is not None:
                             out.close()
@@ -110,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
                         fs, path = open_store(uri)
                         fs.create_dir(path.rpartition("/")[0], recursive=True)
                         out = fs.open_output_stream(path, compression=None)
-                    for r in records_of(i, u, h.encode(), first, again):
+                    for r in records_of(i, u, h.encode(), first, again, copy):
                         out.write(r)
                         at += len(r)
                         n += 1

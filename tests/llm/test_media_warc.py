@@ -90,6 +90,21 @@ def test_long_pages_are_segmented_and_joined(spark, monkeypatch, broadcast):
     assert sorted(r["record_type"] for r in rows if "::" in r["record_id"]) == ["response", "revisit"]
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_repeated_long_rows_have_records_of_their_own(spark, broadcast):
+    """Equal rows, with and without a key, are all responses, as OP8_SQL has them; rows that repeat them revisit the first."""
+    long, other = "x" * 100_000, "y" * 70_000
+    pages = [(1, "u", long), (1, "u", long), (1, "v", long), (2, "u", long), (2, "u", long), (None, "u", other), (None, "u", other), (None, None, other), (3, "u", "short"), (3, "u", "short")]
+    rows = archived(spark, spark.createDataFrame(pages, "page_id long, url string, html string"), broadcast_rows=broadcast)
+    assert len(rows) == len({r["record_id"] for r in rows}) == len(pages)
+    got = sorted((r["record_id"].split(":")[2], r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in rows)
+    sizes = {"1": long, "2": long, "": other, "3": "short"}
+    want = [(i, "revisit" if i == "2" else "response") for i in ["1"] * 3 + ["2"] * 2 + [""] * 3 + ["3"] * 2]
+    assert got == sorted((i, kind, len(sizes[i]), warc.digest(sizes[i].encode())) for i, kind in want)
+    names = {r["record_id"] for r in rows if r["record_type"] == "response"}
+    assert all(r["refers_to"] in names for r in rows if r["record_type"] == "revisit")
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     assert sorted(r["record_type"] for r in archived(spark, pages, least_bytes=5)) == ["response"] * 3 + ["revisit"]

@@ -20,7 +20,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that at least 10 documents share; n_chars is that of the text that is left."""
-    rows = drop_common_lines(docs, out="kept").withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
+    rows = drop_common_lines(docs, out="kept", by_key=True).withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
     return rows.select(*docs.columns)
 
 

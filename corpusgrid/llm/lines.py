@@ -13,7 +13,7 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), UPPER_AZ, LOWER_AZ)
 
 
-def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = 10, min_chars: int = 1, broadcast_rows: int = 250_000, out: str = "kept") -> DataFrame:
+def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = 10, min_chars: int = 1, broadcast_rows: int = 250_000, out: str = "kept", by_key: bool = False) -> DataFrame:
     """df with three more columns: n_lines, n_dropped and out (the text without its common lines).
 
     Lines are exploded, normalised and hashed to 128 bits. A row counts once per distinct line (array_distinct inside the
@@ -21,7 +21,8 @@ def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", mi
     common hashes are broadcast if they were counted to be few, else joined by shuffle, where AQE splits a hot line. Only
     positions of dropped lines return to their row, which takes its lines by position.
 
-    Every row is a document; rows equal in key and text get the same result. Null or empty text is one empty line, which has
+    Every row is a document, or with by_key every key that isn't null is one, as in OP2_SQL: where keys repeat or are null, (hash, key)
+    is made distinct before it is counted. Rows equal in key and text get the same result. Null or empty text is one empty line, which has
     too few code points to be dropped. If all lines go, out is empty. Columns named n_lines, n_dropped or out are replaced.
     An empty table gives an empty table.
     """
@@ -31,8 +32,11 @@ def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", mi
     lines = base.select(*k, F.posexplode(split).alias("__pos", "__line"))
     lines = lines.select(*k, "__pos", line_key(F.col("__line")).alias("__key")).where(F.length("__key") >= min_chars)
     lines = lines.select(*k, "__pos", *[h.alias(f"__h{i}") for i, h in enumerate(wide_hash(F.col("__key")))])
-    seen = df.select(F.explode(F.array_distinct(F.transform(split, line_key))).alias("__key")).where(F.length("__key") >= min_chars)
-    seen = seen.select(*[h.alias(f"__h{i}") for i, h in enumerate(wide_hash(F.col("__key")))])
+    keyed = by_key and bool(df.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count())
+    seen = df.where(F.col(key).isNotNull()) if keyed else df
+    seen = seen.select(*([F.col(key).alias("__id")] if keyed else []), F.explode(F.array_distinct(F.transform(split, line_key))).alias("__key")).where(F.length("__key") >= min_chars)
+    seen = seen.select(*(["__id"] if keyed else []), *[h.alias(f"__h{i}") for i, h in enumerate(wide_hash(F.col("__key")))])
+    seen = seen.distinct() if keyed else seen
     common = cut(seen.groupBy("__h0", "__h1").count().where(F.col("count") >= min_docs).select("__h0", "__h1"))
     dropped = lines.join(small(common, broadcast_rows), ["__h0", "__h1"], "left_semi").groupBy(*k).agg(F.collect_set("__pos").alias("__drop"))
     joined = base.join(dropped.hint("shuffle_hash"), k, "left").withColumn("__drop", F.coalesce("__drop", F.array().cast("array<int>")))
@@ -44,7 +48,7 @@ def drop_common_lines(df: DataFrame, text: str = "text", key: str = "doc_id", mi
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in at least 10 documents go, over all documents."""
-    out = drop_common_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    out = drop_common_lines(documents(spark, sf_dir).select("doc_id", "text"), by_key=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 

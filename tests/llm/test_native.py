@@ -41,6 +41,14 @@ def test_lines_on_odd_rows(odd):
             assert Counter((r["n_lines"], r["kept"]) for r in got) == Counter(plain_lines(rows, least))
 
 
+def test_op2_counts_documents_not_rows(spark, tmp_path):
+    """The line of one document's ten rows stays, as in OP2_SQL; that of ten documents goes, and rows without a key don't count."""
+    rows = [(1, "mine")] * 10 + [(i, "ours") for i in range(2, 12)] + [(12, "odd")] + [(None, "odd")] * 10
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["n_dropped"]) for r in registry.QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0), *((i, 1) for i in range(2, 12)), (12, 0), (None, 0)}
+
+
 def test_lines_of_nothing(empty):
     assert drop_common_lines(empty).collect() == []
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusgrid.llm.bpe import extended
-from corpusgrid.llm.common import documents
+from corpusgrid.llm.common import documents, table
 
 #: Samples a second, transform length, step, and the tile (frames by bins) that gives one peak.
 RATE, N_FFT, HOP, TILE_FRAMES, TILE_BINS = 8000, 256, 128, 8, 32
@@ -122,6 +122,6 @@ def store_and_read(df: DataFrame, text: str = "text") -> DataFrame:
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as a stored WAV payload, read back, with its fingerprint."""
-    rows = store_and_read(documents(spark, sf_dir).select("doc_id", "text"))
     n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
-    return rows.select("doc_id", n, *[f.name for f in FEATURES])
+    stored = table(store_media(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", n, "media"), "media")
+    return media_features(stored).select("doc_id", "n_bytes", *[f.name for f in FEATURES])

@@ -59,6 +59,14 @@ def test_pairs_are_time_coded():
     assert len(media.pair_codes(np.array([1]), np.array([1]))) == 0
 
 
+def test_op1_reads_a_stored_media_column(spark, small_dir, texts):
+    """The query's only input is a table with the media of all documents, and not the documents themselves."""
+    files = registry.QUERIES["op1_media"](spark, small_dir).inputFiles()
+    assert files and not any(f.endswith("documents.parquet") for f in files)
+    stored = {r["doc_id"]: bytes(r["media"]) for r in spark.read.parquet(*files).collect()}
+    assert stored == {r["doc_id"]: media.media_of([r["text"]])[0] for r in texts}
+
+
 def test_media_of_odd_rows(odd, empty):
     df = odd("feature")
     two = media.media_features(media.store_media(df)).collect()

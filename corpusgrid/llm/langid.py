@@ -172,16 +172,20 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, max_chars: int = 20_000, max_langs: int = 500, slack: float = 1.5) -> dict:
     """A model from a bounded sample of the labelled rows of df: for each language about docs_per_lang whole texts of at most
-    max_chars code points, by hash of key and text; a fifth of them, by hash, calibrates rejection. More than max_langs
+    max_chars code points, by hash of key and text; where a language has fewer, the first max_chars of longer ones too; a fifth of them, by hash, calibrates rejection. More than max_langs
     languages are an error. Rows with a null language or text don't count. Without rows the model knows no language."""
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h"))
-    counts = rows.groupBy("l").count().limit(max_langs + 1).collect()
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(lang).cast("string").alias("l"), F.substring(text, 1, max_chars).alias("t"), F.xxhash64(key, text).alias("h"), (F.length(text) > max_chars).alias("long"))
+    counts = rows.groupBy("l").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).limit(max_langs + 1).collect()
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not counts:
         return {"langs": [], "tables": [], "most": np.inf}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, docs_per_lang / r["count"])))])
-    sample = rows.where(F.pmod("h", F.lit(1_000_003)) < F.element_at(share, F.col("l")) * 1_000_003).limit(2 * docs_per_lang * len(counts) + 100).collect()
+    part = lambda want, n: F.lit(max(0.0, min(1.0, want / n)) if n else 0.0)
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.struct(part(docs_per_lang, r["short"]).alias("short"), part(docs_per_lang - r["short"], r["long"]).alias("long")))])
+    share = F.element_at(share, F.col("l"))
+    share = F.when(F.col("long"), share["long"]).otherwise(share["short"])
+    sample = rows.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).limit(2 * docs_per_lang * len(counts) + 100).collect()
     fitted: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: r["h"]):

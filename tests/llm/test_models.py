@@ -118,6 +118,14 @@ def test_language_of_odd_rows(odd, empty):
     assert langid.identify(empty, model).collect() == []
 
 
+def test_a_language_of_long_texts_is_learned(spark):
+    rows = [(i, "the hat that they had then " * 5, "short") for i in range(20)] + [(20 + i, "zu dem und den oder das " * 1000 + str(i), "long") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model["langs"] == ["long", "short"]
+    assert {(r["lang"], r["lang_pred"]) for r in langid.identify(df, model).collect()} == {("long", "long"), ("short", "short")}
+
+
 def test_too_many_languages_are_an_error(odd):
     with pytest.raises(ValueError):
         langid.train(odd().withColumn("lang", F.col("text")), max_langs=3)

@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.operators.planning import BLOCK, document_files, file_order, n_docs, varied_paths
+from corpusgrid.operators.planning import BLOCK, document_files, file_order, n_docs
 from corpusgrid.operators.selection import encoded_blocks
 from corpusgrid.plans.scale import running
 from corpusgrid.sources.corpus import read
 
 
 def canonical(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """df with target: the least order value of rows with the same key, null on that row itself. A window of keys seen is FIFO and
-    unbounded here: exact as long as it holds all distinct keys. Keys are grouped map-side first, so a hot key is no one task's rows."""
-    firsts = df.groupBy(*key).agg(F.min(order).alias("first_id"))
-    out = df.join(firsts, key)
+    """df with target: the least order value of rows with the same key, null on that row itself. Nulls in a key are equal. A window of
+    keys seen is FIFO and unbounded here: exact as long as it holds all distinct keys. Keys are grouped map-side first, so a hot key is
+    no one task's rows."""
+    firsts = df.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min(order).alias("first_id"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    out = df.join(firsts, same).drop(*[f"__{k}" for k in key])
     return out.withColumn("target", F.when(F.col("first_id") != F.col(order), F.col("first_id"))).drop("first_id")
 
 
+def sized(text: str = "text") -> list[Column]:
+    """A text's bytes and their digest; null as empty."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.octet_length(t).cast("long").alias("size"), F.sha2(t, 256).alias("digest")]
+
+
 def q_raw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as blocks: later equal ones refer to the first, by length and digest."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
+    """Documents as blocks: later equal ones refer to the first, by length and digest. A null text is an empty one."""
+    d = read(spark, sf_dir, "documents").select("doc_id", *sized())
     return canonical(d, ["size", "digest"], "doc_id").select("doc_id", "size", "digest", "target")
 
 
 def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as encoded blocks: a key of flags, dictionary, lengths and payload digest."""
-    text = F.col("text")
+    """Documents as encoded blocks: a key of flags, dictionary, lengths and payload digest. A null text is an empty one."""
+    text = F.coalesce("text", F.lit(""))
     return read(spark, sf_dir, "documents").select(
         "doc_id", (F.length("lang") % 3 + 1).cast("int").alias("flags"), (F.col("doc_id") % 17 == 0).alias("raw"), F.when(F.col("lang") == "en", 1).otherwise(0).alias("dictionary_id"),
         F.octet_length(text).cast("long").alias("raw_len"), F.least(F.octet_length(text), F.lit(4096)).cast("long").alias("encoded_len"), F.sha2(text, 256).alias("digest"))
@@ -70,7 +81,7 @@ def q_ref_fanin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal payloads, per language: how many, how many copies too many, their bytes."""
-    d = read(spark, sf_dir, "documents").groupBy("lang", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest")).count()
+    d = read(spark, sf_dir, "documents").groupBy("lang", *sized()).count()
     return d.where("count > 1").groupBy("lang").agg(F.count("*").alias("groups"), F.sum(F.col("count") - 1).alias("extra"), F.sum((F.col("count") - 1) * F.col("size")).alias("extra_bytes"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgrid.operators.dedup import sized
 from corpusgrid.operators.planning import document_files, n_docs
 from corpusgrid.plans.scale import running
 from corpusgrid.sources.corpus import corpus_files, read
@@ -100,7 +101,7 @@ def tree_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def q_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus against a restore of it with planted faults."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", *sized())
     i = F.col("doc_id")
     expected = docs.select(i.cast("string").alias("path"), "size", "digest")
     name = F.when(i % 50 == 7, F.concat(F.lit("new/"), i.cast("string"))).otherwise(i.cast("string"))

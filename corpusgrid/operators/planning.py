@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgrid.plans.intervals import explode_range
 from corpusgrid.plans.scale import running
 from corpusgrid.sources.corpus import corpus_files, document_files, read
 
@@ -50,8 +51,9 @@ def file_order(files: DataFrame, block: int, rows: int | None = None) -> DataFra
 
 
 def runs(files: DataFrame, block: int, rows: int | None = None) -> DataFrame:
-    """Files with the number of their run: consecutive files of one raw policy, which share blocks."""
-    placed = file_order(files, block, rows).withColumn("flip", F.when(~F.col("force_raw").eqNullSafe(F.col("raw_before")), 1).otherwise(0))
+    """Files that have content with the number of their run: consecutive files of one raw policy, which share blocks. Empty files are
+    in no block and end no run."""
+    placed = file_order(files.where("size > 0"), block, rows).withColumn("flip", F.when(~F.col("force_raw").eqNullSafe(F.col("raw_before")), 1).otherwise(0))
     return running(placed, [F.col("grp"), F.col("path")], {"run_id": "flip"}, None, rows)
 
 
@@ -62,16 +64,16 @@ def run_blocks(files: DataFrame, block: int, rows: int | None = None) -> DataFra
 
 
 def block_table(files: DataFrame, block: int, rows: int | None = None) -> DataFrame:
-    """The blocks that tile the stream: block_id, run_id, force_raw, raw_offset, raw_len."""
-    r = run_blocks(files, block, rows)
-    r = running(r, [F.col("run_id")], {"upto": "blocks"}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """The blocks that tile the stream: block_id, run_id, force_raw, raw_offset, raw_len. A run of any length is dealt over all tasks."""
+    r = running(run_blocks(files, block, rows), [F.col("run_id")], {"upto": "blocks"}, None, rows)  # no more runs than files
+    r = explode_range(r, F.lit(0), F.col("blocks") - 1, "i", spread=True)
     start = F.col("run_start") + F.col("i") * block
     return r.select((F.col("upto") - F.col("blocks") + F.col("i")).alias("block_id"), "run_id", "force_raw", start.alias("raw_offset"), F.least(F.lit(block), F.col("run_start") + F.col("run_bytes") - start).cast("long").alias("raw_len"))
 
 
 def fixed_chunks(files: DataFrame, target: int) -> DataFrame:
     """Each file cut every target bytes on its own."""
-    cut = files.where("size > 0").withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / target))))
+    cut = explode_range(files.where("size > 0"), F.lit(0), F.floor((F.col("size") - 1) / target), "chunk_no")
     at = F.col("chunk_no") * target
     return cut.select("path", "chunk_no", at.alias("chunk_offset"), F.least(F.lit(target), F.col("size") - at).cast("long").alias("chunk_len"))
 

@@ -5,18 +5,18 @@ from __future__ import annotations
 from corpusgrid.operators.planning import PACK_EXTENSIONS, RAW_EXTENSIONS
 
 FILES = """files as (
-  select doc_id, 'documents/' || source || '/' || lang || '/' || doc_id || case when doc_id % 17 = 0 then '.gz' else '.txt' end as path,
-         octet_length(encode(text))::bigint as size, doc_id % 17 = 0 as force_raw
-  from documents where octet_length(encode(text)) > 0)"""
+  select doc_id, 'documents/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(doc_id::varchar, 'none') || case when doc_id % 17 = 0 then '.gz' else '.txt' end as path,
+         octet_length(encode(coalesce(text, '')))::bigint as size, coalesce(doc_id % 17 = 0, false) as force_raw
+  from documents)"""
 ORDERED = FILES + """,
 grouped as (select *, case when size > 8192 then 0 when not force_raw then 1 else 2 end as grp from files),
 ordered as (
   select *, row_number() over (order by grp, path) as place,
-         (sum(size) over (order by grp, path rows unbounded preceding) - size)::bigint as content_offset,
-         case when force_raw is distinct from lag(force_raw) over (order by grp, path) then 1 else 0 end as flip
+         (sum(size) over (order by grp, path rows unbounded preceding) - size)::bigint as content_offset
   from grouped)"""
 RUNS = ORDERED + """,
-tagged as (select *, (sum(flip) over (order by grp, path rows unbounded preceding))::bigint as run_id from ordered),
+flipped as (select *, case when force_raw is distinct from lag(force_raw) over (order by grp, path) then 1 else 0 end as flip from ordered where size > 0),
+tagged as (select *, (sum(flip) over (order by grp, path rows unbounded preceding))::bigint as run_id from flipped),
 runs as (
   select run_id, force_raw, min(content_offset) as run_start, sum(size)::bigint as run_bytes, ceil(sum(size) / 65536.0)::bigint as blocks
   from tagged group by run_id, force_raw)"""
@@ -30,11 +30,11 @@ extents as (
   select block_id, path, content_offset, greatest(content_offset, raw_offset) - raw_offset as block_offset,
          greatest(content_offset, raw_offset) - content_offset as file_offset,
          least(content_offset + size, raw_offset + raw_len) - greatest(content_offset, raw_offset) as len
-  from ordered join blocks on content_offset < raw_offset + raw_len and raw_offset < content_offset + size)"""
+  from ordered join blocks on size > 0 and content_offset < raw_offset + raw_len and raw_offset < content_offset + size)"""
 PREFIX = "(path = 'documents/src1' or starts_with(path, 'documents/src1/') or path = 'documents/src3/de' or starts_with(path, 'documents/src3/de/'))"
 REGEX = r"(regexp_matches(path, 'src7/.*/\d*5\.txt$') or regexp_matches(path, '\.gz$'))"
 PRUNED = BLOCKS + f""",
-want as (select content_offset as s, content_offset + size as e from ordered where {PREFIX}),
+want as (select content_offset as s, content_offset + size as e from ordered where size > 0 and {PREFIX}),
 kept as (select * from blocks where exists (select 1 from want where raw_offset < e and s < raw_offset + raw_len))"""
 ENCODED = BLOCKS + """,
 encoded0 as (
@@ -48,7 +48,7 @@ encoded as (
 COSTS = ENCODED + """,
 pieces as (
   select path, size, encoded.*, least(content_offset + size, raw_offset + raw_len) - greatest(content_offset, raw_offset) as overlap
-  from ordered join encoded on content_offset < raw_offset + raw_len and raw_offset < content_offset + size),
+  from ordered join encoded on size > 0 and content_offset < raw_offset + raw_len and raw_offset < content_offset + size),
 costs0 as (
   select path, size, round(sum(encoded_len * overlap / raw_len), 4) as est_bytes,
          sum(case when raw_passthrough then overlap else 0 end)::bigint as raw_bytes,
@@ -68,7 +68,7 @@ exts as (select *, case when position('.' in name[2:]) > 0 then nullif(lower(str
 LABELS = ", ".join(f"'{x}'" for x in RAW_EXTENSIONS)
 PACKS = ", ".join(f"'{x}'" for x in PACK_EXTENSIONS)
 CORPUS = """corpus as (
-  select 'documents/' || source || '/' || lang || '/' || doc_id || case when doc_id % 17 = 0 then '.gz' else '.txt' end as path,
+  select 'documents/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(doc_id::varchar, 'none') || case when doc_id % 17 = 0 then '.gz' else '.txt' end as path,
          octet_length(encode(coalesce(text, '')))::bigint as size from documents
   union all select 'pages/' || page_id || '.html', octet_length(encode(coalesce(html, '')))::bigint from pages
   union all select 'conversations/' || conv_id || '.json', sum(octet_length(encode(coalesce(text, ''))) + 1)::bigint from conversations group by conv_id)"""
@@ -138,7 +138,7 @@ SQL = {
 
 DOC_BLOCKS = """db as (
   select doc_id, length(lang) % 3 + 1 as flags, doc_id % 17 = 0 as raw, case when lang = 'en' then 1 else 0 end as dictionary_id,
-         octet_length(encode(text))::bigint as raw_len, least(octet_length(encode(text)), 4096)::bigint as encoded_len, sha256(text) as digest
+         octet_length(encode(coalesce(text, '')))::bigint as raw_len, least(octet_length(encode(coalesce(text, ''))), 4096)::bigint as encoded_len, sha256(coalesce(text, '')) as digest
   from documents)"""
 TREE = CORPUS + """,
 nodes as (select size, array_to_string(p[1:i], '/') as path, i, len(p) as n from (select size, p, unnest(range(1, len(p) + 1)) as i from (select size, string_split(path, '/') as p from corpus))),
@@ -151,16 +151,16 @@ lagged as (
   from faulty f left join (select * from faulty where reference_target is null) t on f.reference_target = t.block_id)"""
 
 SQL |= {
-    "raw_dedup": """with d as (select doc_id, octet_length(encode(text))::bigint as size, sha256(text) as digest from documents)
+    "raw_dedup": """with d as (select doc_id, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as digest from documents)
       select *, nullif(min(doc_id) over (partition by size, digest), doc_id) as target from d""",
     "block_dedup": f"""with {DOC_BLOCKS} select doc_id, raw_len, encoded_len,
       nullif(min(doc_id) over (partition by flags, raw, dictionary_id, raw_len, encoded_len, digest), doc_id) as target from db""",
     "ref_resolve": """with recursive c as (select doc_id as id, case when doc_id % 5 <> 0 then doc_id - 1 end as target from documents),
       r(id, cur) as (select id, id from c union all select r.id, c.target from r join c on r.cur = c.id where c.target is not null)
       select id, min(cur) as data_id from r group by id""",
-    "ref_fanin": """with d as (select doc_id, octet_length(encode(text))::bigint as size, min(doc_id) over (partition by text) as f from documents where text is not null)
+    "ref_fanin": """with d as (select doc_id, octet_length(encode(coalesce(text, '')))::bigint as size, min(doc_id) over (partition by coalesce(text, '')) as f from documents)
       select f as target, count(*) as refs, sum(size)::bigint as saved_bytes from d where f <> doc_id group by f""",
-    "dup_report": """with g as (select lang, octet_length(encode(text)) as size, text, count(*) as c from documents group by all having count(*) > 1)
+    "dup_report": """with g as (select lang, octet_length(encode(coalesce(text, ''))) as size, coalesce(text, '') as t, count(*) as c from documents group by all having count(*) > 1)
       select lang, count(*) as groups, sum(c - 1)::bigint as extra, sum((c - 1) * size)::bigint as extra_bytes from g group by lang""",
     "block_stats": f"""with {ENCODED} select algo, count(*) as blocks, sum(raw_len)::bigint as raw_bytes, sum(encoded_len)::bigint as encoded_bytes,
       round(sum(encoded_len) / sum(raw_len), 6) as ratio, count(*) filter (where raw_passthrough) as raw_blocks,
@@ -205,14 +205,14 @@ SQL |= {
       c as (select *, coalesce(list_min(list_filter(range(1, least(length(path), length(prev)) + 1), lambda i: path[i] <> prev[i])) - 1, least(length(path), length(prev))) as common from l)
       select string_split(path, '/')[2] as source, count(*) as paths, sum(common)::bigint as shared_bytes,
              sum(case when common < 128 then 1 else 2 end + 1 + length(path) - common)::bigint as coded_bytes from c group by 1""",
-    "tree_diff": """with d as (select doc_id as i, octet_length(encode(text)) as size, sha256(text) as digest from documents),
+    "tree_diff": """with d as (select doc_id as i, octet_length(encode(coalesce(text, ''))) as size, sha256(coalesce(text, '')) as digest from documents),
       e as (select i::varchar as path, size, digest from d),
       a as (select case when i % 50 = 7 then 'new/' || i else i::varchar end as path, case when i % 30 = 4 then size + 1 else size end as size, case when i % 35 = 6 then '0' else digest end as digest from d where i % 40 <> 3)
       select * from (select coalesce(e.path, a.path) as path, case when a.path is null then 'missing' when e.path is null then 'extra' when e.size <> a.size then 'size' when e.digest <> a.digest then 'content' end as status
         from e full join a on e.path = a.path) where status is not null""",
 }
 
-PATHS = "select 'documents/' || source || '/' || lang || '/' || doc_id || case when doc_id % 17 = 0 then '.gz' else '.txt' end as path"
+PATHS = "select 'documents/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(doc_id::varchar, 'none') || case when doc_id % 17 = 0 then '.gz' else '.txt' end as path"
 SQL |= {
     "archive_entries": f"{PATHS}, 'file' as kind, octet_length(encode(coalesce(text, '')))::bigint as size from documents",
     "archive_files": f"{PATHS}, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as digest from documents",

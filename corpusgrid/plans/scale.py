@@ -12,8 +12,12 @@ ONE_TASK_ROWS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; only where it is unset a local folder of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="corpusgrid-")
+    """spark.checkpoint.dir, which driver and executors share; only where it is unset and all runs in one process (tests) a local
+    folder of its own. On a cluster an unset folder is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = path or "file://" + tempfile.mkdtemp(prefix="corpusgrid-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path

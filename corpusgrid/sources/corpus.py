@@ -12,13 +12,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_path() -> Column:
     suffix = F.when(F.col("doc_id") % 17 == 0, ".gz").otherwise(".txt")
-    return F.concat(F.lit("documents/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), suffix)
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    return F.concat(F.lit("documents/"), known("source"), F.lit("/"), known("lang"), F.lit("/"), known("doc_id"), suffix)
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, path, size and force_raw of the documents that aren't empty. Content stays in the scan: only its length is read."""
+    """doc_id, path, size and force_raw of all documents; a null text is an empty file, a null part of its path is "none". Content stays
+    in the scan: only its length is read."""
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", document_path().alias("path"), F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") % 17 == 0).alias("force_raw")).where("size > 0")
+    return docs.select("doc_id", document_path().alias("path"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), F.coalesce(F.col("doc_id") % 17 == 0, F.lit(False)).alias("force_raw"))
 
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusgrid.operators.dedup import sized
 from corpusgrid.plans.scale import shared_folder
 from corpusgrid.sources.corpus import read
 
@@ -106,13 +107,13 @@ def q_live_rates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dedup_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = stream(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
+    d = stream(spark, sf_dir, "documents").select("source", "doc_id", *sized())
     return drained(windowed_dedup(d, 16))
 
 
 def q_first_copies_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct text, as the stream first meets it, by Spark's own deduplication."""
-    d = stream(spark, sf_dir, "documents").select(F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
+    d = stream(spark, sf_dir, "documents").select(*sized())
     return drained(d.dropDuplicates(["size", "digest"]))
 
 

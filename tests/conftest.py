@@ -34,3 +34,22 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def small_dir():
     return f"{DATA}/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def null_dir(tmp_path_factory):
+    """The smallest tables, with nulls in every column of documents but the id, empty texts and repeats of them."""
+    import pyarrow.parquet as pq
+
+    folder = tmp_path_factory.mktemp("nulls")
+    for path in Path(f"{DATA}/sf0.001").iterdir():
+        table = pq.read_table(path)
+        if path.name == "documents.parquet":
+            rows = table.to_pylist()
+            for r in rows:
+                i = r["doc_id"]
+                r["text"] = None if i % 11 == 3 else "" if i % 13 == 4 else r["text"]
+                r["lang"], r["source"] = None if i % 7 == 2 else r["lang"], None if i % 9 == 5 else r["source"]
+            table = type(table).from_pylist(rows, table.schema)
+        pq.write_table(table, folder / path.name)
+    return str(folder)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgrid.operators import dedup, planning, selection
-from corpusgrid.plans.intervals import coalesce_ranges, overlap_join
+from corpusgrid.plans.intervals import coalesce_ranges, explode_range, overlap_join
 from corpusgrid.plans.scale import running, two_level
 
 
@@ -54,6 +54,21 @@ def test_overlap_join_equals_the_plain_predicate_without_a_nested_loop(spark):
 def test_coalesce_ranges(spark):
     df = spark.createDataFrame([(0, 5), (5, 9), (12, 12), (20, 30)], "s long, e long")
     assert sorted(map(tuple, coalesce_ranges(df, "s", "e").select("s", "e").collect())) == [(0, 9), (20, 30)]
+    nested = spark.createDataFrame([(0, 10), (1, 2), (3, 4), (3, 12), (14, 15), (14, 20), (15, 16), (None, 3)], "s long, e long")
+    assert sorted(map(tuple, coalesce_ranges(nested, "s", "e").select("s", "e").collect())) == [(0, 12), (14, 20)]
+
+
+def test_a_run_of_ten_million_blocks_is_dealt_over_all_tasks(spark):
+    files = spark.createDataFrame([("a.txt", 10_000_000 * 8, False), ("empty.jpg", 0, True), ("b.txt", 3, False)], "path string, size long, force_raw boolean")
+    blocks = planning.block_table(files, 8)
+    got = blocks.withColumn("task", F.spark_partition_id()).agg(F.count("*"), F.count_distinct("block_id"), F.sum("raw_len"), F.count_distinct("task")).first()
+    assert tuple(got)[:3] == (10_000_001, 10_000_001, 80_000_003) and got[3] > 1
+
+
+def test_ranges_are_exploded_in_steps(spark):
+    df = spark.createDataFrame([(0, 200_000), (5, 4), (7, 7), (-3, 1)], "a long, b long")
+    got = explode_range(df, F.col("a"), F.col("b"), "i").groupBy("a").agg(F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    assert sorted(map(tuple, got.collect())) == [(-3, 5, -3, 1), (0, 200_001, 0, 200_000), (7, 1, 7, 7)]
 
 
 def test_blocks_tile_the_stream_and_are_as_many_as_planned(spark, small_dir):
@@ -71,16 +86,21 @@ def test_golden_runs(spark):
     assert [tuple(r)[:5] for r in rows[:2]] == [(1, False, 0, 123537, 2), (2, True, 123537, 10916, 1)]
 
 
-def test_raw_flip_and_packing(spark):
-    flip = spark.createDataFrame([("first.txt", 6, False), ("second.jpg", 6, True)], "path string, size long, force_raw boolean")
-    assert planning.block_table(flip, 8).count() == 2
-    packed = spark.createDataFrame([(f"{i}.txt", 4, False) for i in range(3)], "path string, size long, force_raw boolean")
-    assert planning.block_table(packed, 8).count() == 2
+def test_a_flip_of_the_raw_policy_ends_a_block_and_its_absence_fills_it(spark):
+    r = random.Random(11)
+    files = [(f"{i:02d}{'.png' if raw else '.md'}", r.randrange(0, 40), raw) for i, raw in enumerate([False] * 5 + [True] * 5)]
+    df = spark.createDataFrame(files, "path string, size long, force_raw boolean")
+    plain, raw = (sum(n for _, n, x in files if x is y) for y in (False, True))
+    got = planning.block_table(df, 16).groupBy("force_raw").agg(F.count("*").alias("n"), F.max("raw_len").alias("most")).collect()
+    assert {x["force_raw"]: (x["n"], x["most"]) for x in got} == {False: (-(-plain // 16), 16), True: (-(-raw // 16), 16)}
 
 
-def test_fragments_come_after_large_files_and_raw_ones_last(spark):
-    df = spark.createDataFrame([("02-small.txt", 10, False), ("03-small.jpg", 10, True), ("01-large.txt", 80 << 10, False)], "path string, size long, force_raw boolean")
-    assert [r["path"] for r in planning.file_order(df, 65_536).orderBy("place").collect()] == ["01-large.txt", "02-small.txt", "03-small.jpg"]
+def test_files_above_the_fragment_limit_come_first(spark):
+    limit = planning.fragment_limit(planning.BLOCK)
+    files = [(f"{name}-{size}", size, raw) for name, raw in (("z", False), ("a", True)) for size in (limit + 1, limit, 1)]
+    df = spark.createDataFrame(files, "path string, size long, force_raw boolean")
+    place = lambda f: (0 if f[1] > limit else 2 if f[2] else 1, f[0])
+    assert [x["path"] for x in planning.file_order(df, planning.BLOCK).orderBy("place").collect()] == [f[0] for f in sorted(files, key=place)]
 
 
 @pytest.mark.parametrize("bad", ["", "/a", "a/../b", "./."])

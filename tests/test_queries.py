@@ -28,3 +28,16 @@ def test_entry_is_the_smallest_end_to_end_query(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+#: Queries whose result depends on null and empty texts, and on null parts of paths.
+NULLABLE = [
+    "raw_dedup", "block_dedup", "ref_fanin", "dup_report", "corpus_files", "file_order", "manifest", "manifest_stats", "manifest_prefix", "dict_gate", "dir_blocks", "extents", "prune_blocks",
+    "project_ranges", "file_cost", "implicit_dirs", "tree_diff", "select_union", "scan_chunks_fixed", "archive_files", "first_copies_stream", "entropy", "signatures", "dict_select",
+]
+
+
+@pytest.mark.parametrize("name", NULLABLE)
+def test_nulls_and_empty_texts_are_in_the_result(spark, null_dir, name):
+    names, want = oracle_rows(null_dir, SQL[name])
+    assert rows_of(QUERIES[name](spark, null_dir)) == want

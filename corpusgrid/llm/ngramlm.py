@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrid.llm.common import HELD, LOWER, bounded, documents, open_store, scratch, slices, table, take_turn, text_of, write_once
@@ -19,8 +19,8 @@ from corpusgrid.llm.neardup import mixed
 END = xxhash.xxh64_intdigest(b" end")
 #: Bits of the filter for each (n-gram, level) and probes of each.
 BITS, PROBES = 10, 5
-#: Bytes of a part of a filter that is too large to be broadcast, and of the texts that are held against all parts at once.
-PART, HELD_TEXT = 16 << 20, 8 << 20
+#: Of a filter that is too large to be broadcast: bytes of a part, of the texts that ask at once, and of what one task asks of a part.
+PART, HELD_TEXT, ASKED = 64 << 20, 8 << 20, 256 << 20
 #: The weight of the bigrams is a multiple of 1 / STEPS below 1.
 STEPS = 1 << 12
 WORD_HASH: dict[bytes, int] = {}
@@ -175,45 +175,48 @@ def set_bits(out: np.ndarray, kind: int, keys48: np.ndarray, counts: np.ndarray,
 
 
 class Filter:
-    """The whole filter on a worker: so many bits a bucket, all in data, or in a file for each run of `each` buckets (those without
-    n-grams have none)."""
+    """The whole filter: so many bits a bucket, all in data, or in a file for each run of `each` buckets (those without n-grams have
+    none)."""
 
     def __init__(self, data: np.ndarray | None, bits: int, n: int, least: dict[int, int], files: dict[int, str] | None = None, each: int = 0):
         self.data, self.bits, self.n, self.least, self.files, self.each = data, bits, n, least, files, each
 
-    def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(first bucket, bucket after the last, bits), one part in memory at a time."""
+    def __len__(self) -> int:
+        """The number of parts."""
+        return -(-self.n // self.each) if self.files is not None else 1
+
+    def part(self, i: int) -> np.ndarray | None:
+        """The bits of a part; none of a part without n-grams."""
         if self.files is None:
-            yield 0, self.n, self.data
-            return
-        for i, uri in self.files.items():
-            fs, path = open_store(uri)
-            with fs.open_input_file(path) as f:
-                yield i * self.each, (i + 1) * self.each, np.frombuffer(f.read(), np.uint8)
+            return self.data
+        if i not in self.files:
+            return None
+        fs, path = open_store(self.files[i])
+        with fs.open_input_file(path) as f:
+            return np.frombuffer(f.read(), np.uint8)
+
+    def probe(self, kind: int, k48: np.ndarray, first: int, data: np.ndarray | None) -> np.ndarray:
+        """The levels of n-grams in data, the bits from bucket `first` on: levels are probed one after another until one isn't there."""
+        level, i = np.zeros(len(k48), np.int64), 0
+        at = np.arange(len(k48)) if data is not None else np.empty(0, np.int64)
+        base = (bucket_of(k48 << np.uint64(16), self.n) - first) * self.bits
+        while len(at) and i < 62:  # no count has more levels
+            i += 1
+            h, step = seeds(kind, k48[at], i)
+            for _ in range(PROBES):
+                bit = base[at] + place(h, self.bits)
+                hit = (data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                at, step = at[hit], step[hit]
+                h = h[hit] + step
+            level[at] = i
+        return level
 
     def lookup(self, asked: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
-        """Expected counts for each (kind, hashes of n-grams): levels are probed one after another until one isn't there."""
-        short48 = [short(keys) for _, keys in asked]
-        buckets = [bucket_of(k << np.uint64(16), self.n) for k in short48]
-        found = [np.zeros(len(k), np.int64) for k in short48]
-        for first, stop, data in self.parts():
-            for (kind, _), k48, bucket, level in zip(asked, short48, buckets, found):
-                at, i = np.flatnonzero((bucket >= first) & (bucket < stop)), 0
-                while len(at):
-                    i += 1
-                    h, step = seeds(kind, k48[at], i)
-                    for _ in range(PROBES):
-                        bit = (bucket[at] - first) * self.bits + place(h, self.bits)
-                        hit = (data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                        at, step = at[hit], step[hit]
-                        h = h[hit] + step
-                    level[at] = i
-                    if i == 62:  # no count has more levels
-                        break
-        return [expected(level, self.least[kind]) for (kind, _), level in zip(asked, found)]
+        """Levels for each (kind, hashes of n-grams), of a filter in memory."""
+        return [self.probe(kind, short(keys), 0, self.data) for kind, keys in asked]
 
     def counts(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        return self.lookup([(kind, keys)])[0]
+        return expected(self.lookup([(kind, keys)])[0], self.least[kind])
 
 
 def entries(hist: dict, kind: int, log: int) -> int:
@@ -299,64 +302,57 @@ def mass(hist: dict, least: int) -> float:
     return total
 
 
-def parts_of(bloom: Filter, words: np.ndarray, which: np.ndarray, pairs: np.ndarray, pair: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token, the counts of the word, of the one before it, and of both together, all from the filter."""
-    q1, q2 = bloom.lookup([(1, words), (2, pairs)])
+class Tokens:
+    """Some texts as arrays: of each token its place among the distinct words and bigrams, whose hashes ascend."""
+
+    def __init__(self, texts: list[str | None]):
+        parts = [token_hashes(t) for t in texts]
+        self.n = np.array([len(p) for p in parts])
+        self.heads = np.cumsum(self.n) - self.n
+        self.words, self.which = np.unique(np.concatenate(parts), return_inverse=True)
+        self.pairs, self.pair = np.unique(np.concatenate([bigram_hashes(p) for p in parts]), return_inverse=True)
+        self.end = int(np.searchsorted(self.words, np.uint64(END)))
+
+
+#: Bits of a level in an evidence code: no count has more levels than 62.
+LEVEL = 6
+
+
+def evidence(n: np.ndarray, which: np.ndarray, pair: np.ndarray, end: int, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the filter says of texts of n tokens each, given the levels of their distinct words and bigrams: the distinct codes of each
+    text's tokens (levels of the word, of the one before, of both together), how often each occurs, and where each text's begin."""
     before = np.empty_like(which)
     before[1:] = which[:-1]
-    before[heads] = np.searchsorted(words, np.uint64(END))
-    both = np.minimum(q2[pair], np.minimum(q1[before], q1[which]))
-    return q1[which], q1[before], both
+    before[np.cumsum(n) - n] = end
+    code = one[which] | one[before] << LEVEL | two[pair] << 2 * LEVEL
+    found, times = np.unique(np.repeat(np.arange(len(n)), n) << 3 * LEVEL | code, return_counts=True)
+    return found & ((1 << 3 * LEVEL) - 1), times, np.searchsorted(found >> 3 * LEVEL, np.arange(len(n) + 1))
 
 
-def text_parts(batches: Iterator[pa.RecordBatch], bloom: Filter) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches by bytes of t: more at once where each part reads the filter's files."""
-    if bloom.files is None:
-        for batch in batches:
-            yield from slices(batch, "t")
-        return
-    held, size = [], 0
-    for batch in batches:
-        for part in slices(batch, "t"):
-            held.append(part)
-            size += part.column("t").nbytes
-            if size >= HELD_TEXT:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+def counts_of(codes: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts that evidence codes stand for: of the word, of the one before, and of both, which neither alone is rarer than."""
+    low = (1 << LEVEL) - 1
+    one, first = expected(codes & low, least[1]), expected(codes >> LEVEL & low, least[1])
+    return one, first, np.minimum(expected(codes >> 2 * LEVEL, least[2]), np.minimum(one, first))
 
 
-def best_weights(bloom: Filter, unit: float, texts: list[str | None]) -> np.ndarray:
+def best_weights(codes: np.ndarray, times: np.ndarray, cuts: np.ndarray, least: dict[int, int], unit: float) -> np.ndarray:
     """Of each text the weight of the bigram estimate, in STEPS, that makes it most likely, each token's own occurrence taken out of
     its bigram's counts: where the derivative of the log-likelihood, which falls as the weight grows, is positive for the last time."""
-    tokens = [token_hashes(t) for t in texts]
-    n = np.array([len(t) for t in tokens])
-    words, which = np.unique(np.concatenate(tokens), return_inverse=True)
-    pairs, pair = np.unique(np.concatenate([bigram_hashes(t) for t in tokens]), return_inverse=True)
-    heads = np.cumsum(n) - n
-    one, first, both = parts_of(bloom, words, which, pairs, pair, heads)
+    one, first, both = counts_of(codes, least)
     more = np.maximum(both - 1, 0) / np.maximum(first - 1, 1) * unit / (one + 1) - 1
-    k, step = np.zeros(len(n), np.int64), STEPS
+    k, step = np.zeros(len(cuts) - 1, np.int64), STEPS
     while step := step // 2:
         to = k + step
-        slope = np.add.reduceat(more / (1 + np.repeat(to / STEPS, n) * more), heads)
+        slope = np.add.reduceat(times * more / (1 + np.repeat(to / STEPS, np.diff(cuts)) * more), cuts[:-1])
         k = np.where(slope > 0, to, k)
     return k
 
 
-def bigram_weight(train: DataFrame, text: str, shared, unit: float) -> float:
-    """The median of the best weights of all texts of train, each a row; not that of all tokens together, as texts with copies in
-    train have all their bigrams there. shared: the broadcast, its last part the filter. At most STEPS rows are collected."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turn(__name__)
-        bloom = shared.value[-1]
-        for part in text_parts(batches, bloom):
-            k, n = np.unique(best_weights(bloom, unit, part.column("t").to_pylist()), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
-
-    rows = bounded(train.select(text_of(text).alias("t"))).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+def median_weight(rows: DataFrame) -> float:
+    """The median of the best weights k of all training texts, each a row; not that of all tokens together, as texts with copies in
+    the training texts have all their bigrams there. At most STEPS rows are collected."""
+    rows = rows.groupBy("k").agg(F.count("*").alias("n")).collect()
     half, seen = sum(r["n"] for r in rows) / 2, 0
     for r in sorted(rows):
         seen += r["n"]
@@ -365,20 +361,149 @@ def bigram_weight(train: DataFrame, text: str, shared, unit: float) -> float:
     return 0.0
 
 
-def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_id", max_filter_mb: int = 64, head_words: int = 500_000) -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score and score of each row of df, by the model of all texts of train.
+def lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(values))
+
+
+def rare_words(tokens: Tokens, known: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Of each text the hashes of its distinct words that aren't known, and how often each occurs there."""
+    size, at = len(tokens.words), np.flatnonzero(~known[tokens.which])
+    rare, times = np.unique(np.repeat(np.arange(len(tokens.n)), tokens.n)[at] * size + tokens.which[at], return_counts=True)
+    cuts = np.searchsorted(rare // size, np.arange(len(tokens.n) + 1))
+    return lists(tokens.words[rare % size].view(np.int64), cuts), lists(times.astype(np.int32), cuts)
+
+
+def long_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of about HELD_TEXT bytes of t."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, "t"):
+            held.append(part)
+            size += part.column("t").nbytes
+            if size >= HELD_TEXT:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+#: What is known of a text before its score: codes, n and k as in evidence() and best_weights().
+CODES = "codes array<int>, n array<int>, k long"
 
-    All words and bigrams of train are counted; the counts, quantised by powers of two, fill a Bloom filter that grows with them. Up to
-    max_filter_mb it is broadcast; beyond, it lies in parts in the shared folder, which tasks read one after another for some MB of
-    texts at once, with the same scores. score sums log10 of w * c(v x) / c(v) + (1 - w) * p(x) over the tokens x, all counts from the
-    filter; v is the token before, END before the first; p(x) is (c(x) + 1) over what that sums to; the weight w is estimated on
-    all texts of train, of any length.
+
+def evidence_of(df: DataFrame, text: str, key: str, shared, unit: float, total: float) -> DataFrame:
+    """row, id, n_tokens, known, base, words, times (those of the frequent words, and the words that aren't), codes, n and k of each row
+    of df, written to the shared folder. shared: the broadcast (hashes and counts of the frequent words, the filter). One pass over the texts;
+    if the filter isn't in the broadcast, the texts' distinct n-grams are dealt to its parts and the levels come back."""
+    id_kind, whole = df.schema[key].dataType.simpleString(), shared.value[2].files is None
+    doc_rows = f"row long, id {id_kind}, n_tokens long, known long, base double, words array<long>, times array<int>"
+
+    def of_slice(part: pa.RecordBatch, row: int) -> tuple[Tokens, list[pa.Array]]:
+        hs, cs, _ = shared.value
+        tokens, c = Tokens(part.column("t").to_pylist()), 0
+        if len(hs):
+            at = np.minimum(np.searchsorted(hs, tokens.words), len(hs) - 1)
+            c = np.where(hs[at] == tokens.words, cs[at], 0)
+        c = np.zeros(len(tokens.words), np.int64) + c
+        sums = lambda x: np.add.reduceat(x[tokens.which], tokens.heads)
+        found = [sums((c > 0).astype(np.int64)), sums(np.where(c > 0, np.log10((c + 1) / unit), 0.0))]
+        rows = np.arange(row, row + len(tokens.n))
+        return tokens, [pa.array(rows), part.column("id"), *map(pa.array, (tokens.n, *found)), *rare_words(tokens, c > 0)]
+
+    def codes_of(n: np.ndarray, which: np.ndarray, pair: np.ndarray, end: int, one: np.ndarray, two: np.ndarray) -> list[pa.Array]:
+        codes, times, cuts = evidence(n, which, pair, end, one, two)
+        k = best_weights(codes, times, cuts, shared.value[2].least, total)
+        return [lists(codes.astype(np.int32), cuts), lists(times.astype(np.int32), cuts), pa.array(k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(__name__)
+        bloom, row = shared.value[2], TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for part in slices(batch, "t"):
+                tokens, docs = of_slice(part, row)
+                row += len(tokens.n)
+                levels = bloom.lookup([(1, tokens.words), (2, tokens.pairs)])
+                yield pa.RecordBatch.from_arrays([*docs, *codes_of(tokens.n, tokens.which, tokens.pair, tokens.end, *levels)], names)
+
+    names = ["row", "id", "n_tokens", "known", "base", "words", "times", "codes", "n", "k"]
+    texts = df.select(F.col(key).alias("id"), text_of(text).alias("t"))
+    if whole:
+        return table(bounded(texts).mapInArrow(run, f"{doc_rows}, {CODES}"), "scored")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a text, one a slice (its tokens' places), and one for each part of the filter that the slice's n-grams are in."""
+        take_turn(__name__)
+        bloom, start = shared.value[2], TaskContext.get().partitionId() << 36
+        row, number = start, start
+        for part in long_slices(batches):
+            tokens, docs = of_slice(part, row)
+            yield padded([pa.nulls(len(docs[0]), pa.int64())] * 2 + [pa.nulls(len(docs[0]), pa.binary())] * 3 + docs)
+            asks, cuts = [], []
+            for keys in (tokens.words, tokens.pairs):
+                keys = short(keys)
+                cuts.append(np.searchsorted(bucket_of(keys << np.uint64(16), bloom.n) // bloom.each, np.arange(len(bloom) + 1)))
+                asks.append(keys)
+            here = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0)).tolist()
+            a, b = ([packed(keys[c[i] : c[i + 1]], 6) for i in here] for keys, c in zip(asks, cuts))
+            places = [np.array([row, tokens.end, *tokens.n], "<i8"), tokens.which.astype("<i4"), tokens.pair.astype("<i4")]
+            blobs = [[places[0].tobytes()] + [None] * len(here), [places[1].tobytes(), *a], [places[2].tobytes(), *b]]
+            head = [pa.array([number] * (1 + len(here)), pa.int64()), pa.array([None, *here], pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]]
+            yield padded(head + [pa.nulls(1 + len(here), x.type) for x in docs])
+            row, number = row + len(tokens.n), number + 1
+
+    def padded(columns: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(columns, ["slice", "part", "places", "a", "b", *names[:7]])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The levels of the n-grams asked for. Rows come in order of the part, so that each is read once a task."""
+        take_turn(__name__)
+        bloom, at, data = shared.value[2], None, None
+        for batch in batches:
+            out = []
+            for i, a, b in zip(*[batch.column(c).to_pylist() for c in ("part", "a", "b")]):
+                if i != at:
+                    at, data = i, bloom.part(i)
+                out.append([bloom.probe(kind, unpacked(x, 6), i * bloom.each, data).astype(np.uint8).tobytes() for kind, x in ((1, a), (2, b))])
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("part"), *[pa.array([x[j] for x in out], pa.binary()) for j in (0, 1)]], ["slice", "part", "a", "b"])
+
+    def answered(places: pa.Table, replies: pa.Table) -> pa.Table:
+        """Of a slice, the codes of its texts. Parts are ranges of hashes, so their levels follow one another as the n-grams do."""
+        order = np.argsort(replies.column("part").to_numpy())
+        one, two = (np.frombuffer(b"".join(replies.column(c).take(pa.array(order)).to_pylist()), np.uint8).astype(np.int64) for c in ("a", "b"))
+        head = np.frombuffer(places.column("places")[0].as_py(), "<i8")
+        which, pair = (np.frombuffer(places.column(c)[0].as_py(), "<i4").astype(np.int64) for c in ("a", "b"))
+        rows = np.arange(head[0], head[0] + len(head) - 2)
+        return pa.Table.from_arrays([pa.array(rows), *codes_of(head[2:], which, pair, int(head[1]), one, two)], ["row", "codes", "n", "k"])
+
+    every = table(bounded(texts).mapInArrow(ask, f"slice long, part long, places binary, a binary, b binary, {doc_rows}"), "asked")
+    asks = every.where("part is not null").select("slice", "part", "a", "b")
+    size = asks.agg(F.sum(F.length("a") + F.length("b")).alias("size")).first()["size"] or 0
+    salt = F.col("slice") % max(1, size // len(shared.value[2]) // ASKED)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    replies = bounded(asks.withColumn("salt", salt).repartition(n, "part", "salt").sortWithinPartitions("part").drop("salt")).mapInArrow(probe, "slice long, part long, a binary, b binary")
+    places = every.where("slice is not null and part is null").select("slice", "places", "a", "b")
+    found = places.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(answered, f"row long, {CODES}")
+    return table(every.where("slice is null").select(*names[:7]).join(found, "row"), "scored")
+
+
+def score(df: DataFrame, train: DataFrame | Column, text: str = "text", key: str = "doc_id", max_filter_mb: int = 64, head_words: int = 500_000) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score and score of each row of df, by the model of all texts of train: a DataFrame,
+    or a condition on df's rows, whose texts are then read once less.
+
+    All words of train are counted, and all bigrams; those seen once, at any size of the corpus, aren't in the model, as all that is known
+    of them is one text's own occurrence. The counts, quantised by powers of two, fill a Bloom filter that grows with them. Up to
+    max_filter_mb it is broadcast; beyond, it lies in parts in the shared folder: the distinct n-grams of some MB of texts at once are
+    dealt to its parts, and their levels back to the texts, with the same scores. What that shuffles grows with the texts alone.
+
+    score sums log10 of w * c(v x) / c(v) + (1 - w) * p(x) over the tokens x, all counts from the filter; v is the token before, END
+    before the first; p(x) is (c(x) + 1) over what that sums to; the weight w is estimated on all texts of train, of any length.
     base_score needs exact counts: those of frequent words, at most head_words of them, are broadcast; the others' occurrences
     meet their counts by a join on the word, which has no hot key, for no word in it is frequent. Repeated and null ids are kept
     apart. A null text is empty: its end alone. Without training texts N and V are 0 and both scores are those of the smoothing."""
-    spark = df.sparkSession
-    n_buckets = min(65_536, max(64, train.count() // 2000))
-    counts = count_ngrams(train, text, n_buckets, {1: 1, 2: 2})
+    spark, inside = df.sparkSession, isinstance(train, Column)
+    texts = df.where(train) if inside else train
+    n_buckets = min(1 << 20, max(64, texts.count() // 2000))
+    counts = count_ngrams(texts, text, n_buckets, {1: 1, 2: 2})
     hist = histogram(counts)
     n_train, n_words = (sum(v[i] for (k, _), v in hist.items() if k == 1) for i in (1, 0))
     fits = filter_bytes(hist, {1: 0, 2: 1}) <= max_filter_mb << 20
@@ -387,50 +512,25 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     head = word_counts(counts, 1 << log, None).toArrow() if n_words else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
     hs, cs = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(hs)
-    total = mass(hist, bloom.least[1])
+    total, unit, least = mass(hist, bloom.least[1]), n_train + n_words + 1, bloom.least
     shared = spark.sparkContext.broadcast((hs[order], cs[order], bloom))
-    weight = bigram_weight(train, text, shared, total)
-    unit = n_train + n_words + 1
+    rows = evidence_of(df.withColumn("__id", F.struct(F.col(key).alias("id"), train.alias("train"))) if inside else df, text, "__id" if inside else key, shared, unit, total)
+    weight = median_weight(rows.where("id.train") if inside else evidence_of(train, text, key, shared, unit, total))
 
-    def of_slice(texts: list[str | None]) -> tuple:
-        hs, cs, bloom = shared.value
-        parts = [token_hashes(t) for t in texts]
-        tokens, n = np.concatenate(parts), np.array([len(p) for p in parts])
-        heads = np.cumsum(n) - n
-        words, which = np.unique(tokens, return_inverse=True)
-        c = np.zeros(len(words), np.int64)
-        if len(hs):
-            at = np.minimum(np.searchsorted(hs, words), len(hs) - 1)
-            c = np.where(hs[at] == words, cs[at], 0)
-        sums = lambda x: np.add.reduceat(x, heads)
-        known = sums((c > 0)[which].astype(np.int64))
-        base = sums(np.where(c > 0, np.log10((c + 1) / unit), 0.0)[which])
-        pairs, pair = np.unique(np.concatenate([bigram_hashes(p) for p in parts]), return_inverse=True)
-        one, first, both = parts_of(bloom, words, which, pairs, pair, heads)
-        logs = sums(np.log10(weight * both / np.maximum(first, 1) + (1 - weight) * (one + 1) / total))
-        rare = np.repeat(np.arange(len(parts)), n)[c[which] == 0] * len(words) + which[c[which] == 0]
-        rare, times = np.unique(rare, return_counts=True)
-        cuts = np.searchsorted(rare // len(words), np.arange(len(parts) + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (words[rare % len(words)].view(np.int64), times.astype(np.int32))]
-        return n, known, base, logs, *lists
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, times = batch.column("codes"), batch.column("n").flatten().to_numpy()
+            one, first, both = counts_of(codes.flatten().to_numpy().astype(np.int64), least)
+            logs = np.log10(weight * both / np.maximum(first, 1) + (1 - weight) * (one + 1) / total)
+            n = codes.value_lengths().to_numpy()
+            sums = np.add.reduceat(times * logs, np.cumsum(n) - n) if len(n) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sums)], ["row", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turn(__name__)
-        row = TaskContext.get().partitionId() << 36
-        for part in text_parts(batches, shared.value[2]):
-            n, known, base, logs, words, times = of_slice(part.column("t").to_pylist())
-            rows = pa.array(np.arange(row, row + len(n)))
-            row += len(n)
-            yield pa.RecordBatch.from_arrays([rows, part.column("id"), pa.array(n), pa.array(known), pa.array(base), pa.array(logs), words, times], names)
-
-    names = ["row", "id", "n_tokens", "known", "base", "score", "words", "times"]
-    rows = df.select(F.col(key).alias("id"), text_of(text).alias("t"))
-    kind = df.schema[key].dataType.simpleString()
-    rows = table(bounded(rows).mapInArrow(run, f"row long, id {kind}, n_tokens long, known long, base double, score double, words array<long>, times array<int>"), "scored")
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("h"), F.col("w.times").alias("n"))
     rare = rare.join(word_counts(counts, None, 1 << log), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(unit)))).alias("rest"))
-    rows = rows.drop("words", "times").join(rare, "row", "left")
+    model = rows.select("row", "codes", "n").mapInArrow(scored, "row long, score double")
+    rows = rows.select("row", F.col("id.id").alias("id") if inside else "id", "n_tokens", "known", "base").join(model, "row").join(rare, "row", "left")
     none = F.lit(0)
     return rows.select("id", "n_tokens", (F.col("known") + F.coalesce("more", none)).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", none.cast("double"))).alias("base_score"), "score")
 
@@ -438,5 +538,5 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by a model of those whose fold of 7 isn't 2."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    rows = score(docs, docs.where(fold("doc_id", 7) != 2))
+    rows = score(docs, fold("doc_id", 7) != 2)
     return rows.select(F.col("id").alias("doc_id"), (fold("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

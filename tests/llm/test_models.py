@@ -186,12 +186,14 @@ def test_a_small_filter_keeps_the_frequent(spark, small_dir):
     assert len(bloom.data) < 4000 and max(bloom.least.values()) > 2
 
 
-@pytest.mark.parametrize("part", [0, 4000])
-def test_a_filter_in_parts_gives_the_same_scores(spark, small_dir, monkeypatch, part):
+@pytest.mark.parametrize(("part", "held", "asked"), [(0, 8 << 20, 1 << 28), (4000, 50_000, 10_000), (1 << 20, 1, 1)])
+def test_a_filter_in_parts_gives_the_same_scores(spark, small_dir, monkeypatch, part, held, asked):
+    """With few and many parts, slices and tasks a part; the training texts as rows of their own and as a condition."""
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     want = {r["id"]: r for r in ngramlm.score(docs, docs).collect()}
-    monkeypatch.setattr(ngramlm, "PART", part)
-    got = ngramlm.score(docs, docs, max_filter_mb=0).collect()
+    for name, value in (("PART", part), ("HELD_TEXT", held), ("ASKED", asked)):
+        monkeypatch.setattr(ngramlm, name, value)
+    got = ngramlm.score(docs, F.lit(True), max_filter_mb=0).collect()
     assert len(got) == len(want)
     for r in got:
         assert r["score"] == pytest.approx(want[r["id"]]["score"], rel=1e-12) and r["n_known"] == want[r["id"]]["n_known"]
@@ -214,11 +216,14 @@ def test_best_weights_are_the_most_likely(spark, small_dir):
     hist = ngramlm.histogram(counts)
     bloom, unit = ngramlm.build_filter(counts, hist, 64, 64 << 20), ngramlm.mass(hist, 1)
     some = [x["text"] for x in docs.orderBy("doc_id").limit(12).collect()]
-    for t, k in zip(some, ngramlm.best_weights(bloom, unit, some)):
+    every = ngramlm.Tokens(some)
+    levels = bloom.lookup([(1, every.words), (2, every.pairs)])
+    found = ngramlm.evidence(every.n, every.which, every.pair, every.end, *levels)
+    for t, k in zip(some, ngramlm.best_weights(*found, bloom.least, unit)):
         tokens = ngramlm.token_hashes(t)
-        words, which = np.unique(tokens, return_inverse=True)
-        pairs, pair = np.unique(ngramlm.bigram_hashes(tokens), return_inverse=True)
-        one, first, both = ngramlm.parts_of(bloom, words, which, pairs, pair, np.array([0]))
+        pairs, before = ngramlm.bigram_hashes(tokens), np.r_[np.uint64(ngramlm.END), tokens[:-1]]
+        one, first = bloom.counts(1, tokens), bloom.counts(1, before)
+        both = np.minimum(bloom.counts(2, pairs), np.minimum(one, first))
         p1, p2, w = (one + 1) / unit, np.maximum(both - 1, 0) / np.maximum(first - 1, 1), np.arange(ngramlm.STEPS) / ngramlm.STEPS
         likely = [np.log(x * p2 + (1 - x) * p1).sum() for x in w]
         assert abs(int(np.argmax(likely)) - k) <= 1

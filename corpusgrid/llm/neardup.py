@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.llm.common import HELD, LOWER, bounded, cut, documents, slices, small, table, take_turn, text_of
@@ -143,31 +143,30 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return bounded(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")).mapInArrow(run, "a string, b string")
 
 
-def overlaps(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(hub, node) with n and h, the shingles of both, common, those in both, and rest, the node's that its hub hasn't."""
+def differences(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, node) with n, the node's shingles, and diff, those that one of node and hub has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn(__name__)
         known: dict[str, np.ndarray] = {}
         for batch in batches:
-            n, h, common, rest = [], [], [], []
+            n, diff = [], []
             for hub, ta, tb in zip(*[batch.column(c).to_pylist() for c in ("hub", "ta", "tb")]):
                 if hub not in known:
                     if len(known) > 64:
                         known.clear()
                     known[hub] = shingles(tb)[0]
                 own = shingles(ta)[0]
-                left = np.setdiff1d(own, known[hub], assume_unique=True)
                 n.append(len(own))
-                h.append(len(known[hub]))
-                common.append(len(own) - len(left))
-                rest.append(left.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("node"), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["hub", "node", "n", "h", "common", "rest"])
+                diff.append(np.setxor1d(own, known[hub], assume_unique=True).view(np.int64))
+            cuts = pa.array(np.cumsum([0, *map(len, diff)]), pa.int32())
+            lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([*diff, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("node"), pa.array(n, pa.int64()), lists], ["hub", "node", "n", "diff"])
 
     one = texts.select("node", F.col("t").alias("ta"))
     two = texts.select(F.col("node").alias("hub"), F.col("t").alias("tb"))
     rows = members.select("hub", "node").join(one, "node").join(two, "hub").select("hub", "node", "ta", "tb")
-    return bounded(rows).mapInArrow(run, "hub string, node string, n long, h long, common long, rest array<long>")
+    return bounded(rows).mapInArrow(run, "hub string, node string, n long, diff array<long>")
 
 
 def reference_texts(active: DataFrame) -> DataFrame:
@@ -180,52 +179,55 @@ def reference_texts(active: DataFrame) -> DataFrame:
     return count.groupBy("band").agg(F.max(F.struct("n", "best")).alias("b")).select("band", F.col("b.best.node").alias("hub"))
 
 
-def around(active: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the texts of a bucket have in common with one set of shingles, R: those of the bucket's hub, and those that more than
-    half of the texts held against that hub have. First: hub, node, n (the node's shingles), known (those in R) and beyond (the
-    others). Second: hub, node, s and often, for the shingles beyond R that several texts held against the hub have."""
+def around(active: DataFrame, texts: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(hub, node) of the buckets' texts, with n, their shingles, and diff, those in which they differ from R: the shingles that more
+    than half of the texts held against that hub have."""
     members = active.join(reference_texts(active), "band").select("hub", "node").distinct()
-    seen = table(overlaps(members, texts), "overlaps")
-    each = seen.select("hub", "node", F.explode("rest").alias("s"))
+    seen = table(differences(members, texts), "differences")
+    often = seen.select("hub", F.explode("diff").alias("s")).groupBy("hub", "s").agg(F.count("*").alias("often")).where("often > 1")
+    size = small(cut(seen.groupBy("hub").agg(F.count("*").alias("texts"))), broadcast_rows)
+    # where most texts differ from their hub, it is the hub that differs from R; these are fewer than twice a text's differences
+    turned = often.join(size, "hub").where(F.col("often") * 2 > F.col("texts")).groupBy("hub").agg(F.collect_list("s").alias("turned"))
+    seen = seen.join(small(cut(turned), broadcast_rows // 100), "hub", "left")
+    diff = F.array_union(F.array_except("diff", "turned"), F.array_except("turned", "diff"))
+    return table(seen.select("hub", "node", "n", F.when(F.col("turned").isNull(), F.col("diff")).otherwise(diff).alias("diff")), "seen")
+
+
+def slack_of(size: Column, n: Column, least: float) -> Column:
+    """How much more a text of n shingles differs from R than its share of what two similar texts may differ by. Texts x and y are
+    similar enough if they differ in at most (1 - least) / (1 + least) of |x| + |y| shingles, and differ in no more than both do
+    from R together: so if their slacks sum to 0 or less they are similar for certain, and each of them is so to the text of least slack."""
+    return size - n * ((1 - least) / (1 + least))
+
+
+def prefixes(seen: DataFrame, least: float) -> DataFrame:
+    """hub, s, node, label, centre, n, size and rank: of each text's differences from R those by which it can meet a similar text of
+    another label. seen: as from around(), with label, and centre, the label of the text of least slack around the hub, which all texts
+    were held against.
+
+    What x and y differ in is what only one of their differences from R has. So x and y, similar enough and of different labels, have
+    at least half of their slacks' sum, which is above 0, of their differences in common; and one of these is among the rarest that x
+    has, all but that many less one, and of y alike. In any case x needs its size less (1 - least) / least of n in common."""
+    each = seen.select("hub", "node", F.explode("diff").alias("s"))
     often = each.groupBy("hub", "s").agg(F.count("*").alias("often")).where("often > 1")
-    size = seen.groupBy("hub").agg(F.count("*").alias("texts"))
-    often = table(often.join(size, "hub").select("hub", "s", "often", (F.col("often") * 2 > F.col("texts")).alias("common")), "often")
-    each = each.join(often, ["hub", "s"])
-    more = each.where("common").groupBy("hub", "node").agg(F.count("*").alias("more"))
-    seen = seen.join(more, ["hub", "node"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
-    seen = seen.select("hub", "node", "n", (F.col("common") + F.col("more")).alias("known"), (F.size("rest") - F.col("more")).alias("beyond"))
-    return table(seen, "seen"), each.where("not common").select("hub", "node", "s", "often")
-
-
-def pairs_beyond(seen: DataFrame, each: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of texts of different labels, in one bucket, that can be similar enough: none that is similar enough is missing,
-    and a bucket's texts aren't paired with one another. seen and each: as from around(), seen with each node's label and
-    centre, the label that most nodes around its hub have; at least one text of a pair isn't of that label.
-
-    Two texts x and y need least / (1 + least) * (|x| + |y|) common shingles. At most min(|x and R|, |y and R|) of them are in R;
-    so they share at least the rest beyond R, and one of these is among the rarest that x has beyond R, all but that many less
-    one, and of y alike. If nothing is needed beyond R, both have nearly all of R that they could, which is looked up by size.
-    Texts that are only like R, and so unlike one another, are in no pair."""
-    share, slack = least / (1 + least), 1e-9
-    seen = seen.withColumn("need", F.ceil(least * F.col("n") - F.col("known") - slack))
+    size = seen.select("hub", "node", "n", "label", "centre", F.size("diff").cast("long").alias("size"))
     own = Window.partitionBy("hub", "node")
-    # shingles that no other text has come first in the order; they are counted and left out
-    rank = F.col("beyond") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "s"))
-    prefix = each.join(seen, ["hub", "node"]).withColumn("rank", rank)
-    prefix = table(prefix.where(F.col("rank") <= F.col("beyond") - F.greatest("need", F.lit(1)) + 1).select("hub", "s", "node", "label", "centre", "n", "known", "beyond", "rank"), "prefixes")
-    side = lambda df, x: df.select(F.col("hub").alias(f"{x}hub"), F.col("s").alias(f"{x}s"), *[F.col(c).alias(f"{x}{c}") for c in ("node", "label", "n", "known", "beyond", "rank")])
-    beyond = F.greatest(F.lit(1), F.ceil(share * (F.col("xn") + F.col("yn")) - F.least("xknown", "yknown") - slack))
-    can = (F.col("xrank") <= F.col("xbeyond") - beyond + 1) & (F.col("yrank") <= F.col("ybeyond") - beyond + 1)
-    left, right = side(prefix.where("label <> centre"), "x"), side(prefix, "y")
-    sharing = left.join(right, (F.col("xhub") == F.col("yhub")) & (F.col("xs") == F.col("ys")) & (F.col("xlabel") != F.col("ylabel")) & can).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+    # shingles in which no other text differs come first in the order; they are counted and left out
+    rank = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "s"))
+    shared = F.greatest(F.lit(1), F.ceil(F.col("size") - F.col("n") * ((1 - least) / least) - 1e-9))
+    rows = each.join(often, ["hub", "s"]).join(size, ["hub", "node"]).withColumn("rank", rank)
+    return table(rows.where(F.col("rank") <= F.col("size") - shared + 1).select("hub", "s", "node", "label", "centre", "n", "size", "rank"), "prefixes")
+
 
-    inside = seen.where("need <= 0")
-    low, high = F.ceil(F.col("n") * least - slack), F.floor(F.col("known") / share - F.col("n") + slack)
-    outer = inside.where("label <> centre").where(low <= high).withColumn("size", F.explode(F.sequence(low, high)))
-    fit = inside.select(F.col("hub").alias("yhub"), F.col("n").alias("yn"), F.col("node").alias("b"), F.col("label").alias("ylabel"), F.col("known").alias("yknown"))
-    enough = share * (F.col("n") + F.col("yn")) <= F.least("known", "yknown") + slack
-    within = outer.join(fit, (F.col("hub") == F.col("yhub")) & (F.col("size") == F.col("yn")) & (F.col("label") != F.col("ylabel")) & enough).select(F.col("node").alias("a"), "b")
-    return sharing.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def pairs_of(prefix: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts of different labels, one of them not of the centre's, that meet in (hub, s) and can be similar enough."""
+    side = lambda df, x: df.select(F.col("hub").alias(f"{x}hub"), F.col("s").alias(f"{x}s"), *[F.col(c).alias(f"{x}{c}") for c in ("node", "label", "n", "size", "rank")])
+    left, right = side(prefix.where("label <> centre"), "x"), side(prefix, "y")
+    sum_ = slack_of(F.col("xsize"), F.col("xn"), least) + slack_of(F.col("ysize"), F.col("yn"), least)
+    shared = F.greatest(F.lit(1), F.ceil(sum_ / 2 - 1e-9))
+    can = (F.col("xrank") <= F.col("xsize") - shared + 1) & (F.col("yrank") <= F.col("ysize") - shared + 1)
+    both = left.join(right, (F.col("xhub") == F.col("yhub")) & (F.col("xs") == F.col("ys")) & (F.col("xlabel") != F.col("ylabel")) & can)
+    return both.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
 
 
 def neighbour_labels(edges: DataFrame) -> DataFrame:
@@ -238,15 +240,17 @@ def neighbour_labels(edges: DataFrame) -> DataFrame:
     return near.groupBy("a").agg(F.max(F.struct("l", "b")).alias("m"), F.max("own").alias("links")).select(F.col("a").alias("node"), F.col("m.b").alias("new"), "links")
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, pivot_rounds: int = 1, broadcast_rows: int = 250_000) -> DataFrame:
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, pivot_rounds: int = 1, broadcast_rows: int = 250_000, most: int = 2000, levels: int = 8) -> DataFrame:
     """id, node (MD5 of the text) and class_id of each row: the least id of its class. Rows are in one class if their texts are
     equal or linked by a chain of texts whose shingle sets have Jaccard similarity of at least `least`.
 
     Equal texts count once from the start. Texts that share a band are candidates. A bucket of a band isn't multiplied out:
     in each round one of its texts, of those not tried there the one with the most links so far, is compared with its texts of
-    other labels; buckets of one label are done. Then the text that is nearest to what a bucket's texts have in common is compared
-    with them, and pairs_beyond() finds, exactly, which of them can still be linked; pairs that are known to be in one class
-    aren't needed. Classes are the components of all links.
+    other labels; buckets of one label are done. What is left is held against R, what most of the bucket's texts have in common, and
+    all against the text nearest to R. Two texts that can still be similar, and aren't known to be in one class, then have one of their
+    rarest differences from R in common (prefixes()). Where at most `most` texts meet in a difference they are paired; more of them are
+    a bucket of their own, with an R of its own, of which that difference is a part: for so many levels, the last of which pairs all. No
+    link is lost, and pairs grow with the texts, not with the square of a group. Classes are the components of all links.
 
     Null text is the empty text; texts without a word are linked to equal texts alone. Null ids are a class id only if no other
     is there. Rows equal in id and text get the same result. An empty table gives an empty table."""
@@ -270,16 +274,28 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
         active = active.select("band", "node", F.coalesce("new", "label").alias("label"), F.coalesce("more", "links").alias("links"), (F.col("used") | F.coalesce(F.col("node") == F.col("b"), F.lit(False))).alias("used"))
         split = active.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
         active = table(active.join(split, "band"), "members")
-    seen, each = around(active, texts)
-    nearest = F.struct(F.col("n") - 2 * F.col("known"), "node")
-    centre = seen.groupBy("hub").agg(F.min_by("node", nearest).alias("b"))
-    pairs = seen.join(centre, "hub").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    edges = edges.union(table(verified(pairs, texts, least), "links"))
+    for level in range(levels):
+        seen = around(active, texts, broadcast_rows)
+        nearest = F.struct(slack_of(F.size("diff").cast("double"), F.col("n"), least), "node")
+        centre = cut(seen.groupBy("hub").agg(F.min_by("node", nearest).alias("b")))
+        pairs = seen.select("hub", "node").join(small(centre, broadcast_rows), "hub").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+        if level:  # labels are known by then
+            of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}label"))
+            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not (alabel <=> blabel) or alabel is null").select("a", "b")
+        edges = edges.union(table(verified(pairs, texts, least), "links"))
+        labels = table(components(edges), "labels")
+        seen = seen.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        of = centre.join(labels, centre["b"] == labels["node"], "left").select("hub", F.coalesce("label", "b").alias("centre"))
+        prefix = prefixes(seen.join(small(cut(of), broadcast_rows), "hub"), least)
+        group = prefix.groupBy("hub", "s").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        group = table(group.select("hub", "s", (F.lit(level + 1 < levels) & (F.col("n") > most)).alias("again")), "groups")
+        meet = prefix.join(group, ["hub", "s"])
+        late = table(verified(table(pairs_of(meet.where("not again"), least), "pairs"), texts, least), "links")
+        edges = edges.union(late)
+        if not group.where("again").limit(1).count():
+            break
+        active = meet.where("again").select(F.xxhash64("hub", "s").alias("band"), "node", "label", (-F.col("size")).alias("links"))
     labels = table(components(edges), "labels")
-    seen = seen.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of = seen.join(centre, "hub").where("node = b").select("hub", F.col("label").alias("centre"))
-    late = table(verified(table(pairs_beyond(table(seen.join(of, "hub"), "seen"), each, least), "pairs"), texts, least), "links")
-    labels = table(components(edges.union(late)), "labels") if late.limit(1).count() else labels
     ids = rows.groupBy("node").agg(F.min("id").alias("least_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = table(ids, "classes")
     ids = ids.join(ids.groupBy("label").agg(F.min("least_id").alias("class_id")), "label").select("node", "class_id")

@@ -289,9 +289,10 @@ def edited(words, r, share):
     return [f"{w}{r.randrange(10**6)}" if r.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_large_groups_lose_no_link(spark, rounds):
-    """Copies of a text with few to many edits, copies of copies, truncated ones: with pivots, and by pairs_beyond alone."""
+@pytest.mark.parametrize(("rounds", "most", "levels"), [(0, 2000, 8), (1, 2000, 8), (3, 2000, 8), (0, 3, 8), (1, 3, 2)])
+def test_large_groups_lose_no_link(spark, rounds, most, levels):
+    """Copies of a text with few to many edits, copies of copies, truncated ones: with pivots, and by differences alone; where large groups
+    become buckets of their own, until none is left and until the levels end."""
     r = random.Random(7)
     base = [f"w{r.randrange(4000)}" for _ in range(150)]
     copies = [base] + [edited(base, r, r.choice([0.005, 0.015, 0.03, 0.06])) for _ in range(60)]
@@ -300,7 +301,26 @@ def test_large_groups_lose_no_link(spark, rounds):
     copies += [edited(other, r, 0.01) for _ in range(10)] + [base[:75] + other[:75]]
     rows = [(i, " ".join(w)) for i, w in enumerate(copies)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert grouped(neardup.classes(df, pivot_rounds=rounds, broadcast_rows=10).collect()) == plain_classes(rows)
+    assert grouped(neardup.classes(df, pivot_rounds=rounds, broadcast_rows=10, most=most, levels=levels).collect()) == plain_classes(rows)
+
+
+def test_texts_with_equal_shingles_are_one_class_however_often_they_repeat_them(spark):
+    """60 pairs of texts with the same shingles, one of which one text repeats 5,000 times and the other 5 times."""
+    r, rows = random.Random(17), []
+    for i in range(60):
+        tail, loop = " ".join(f"w{r.randrange(10**6)}" for _ in range(40)), " ".join(["a b c d e"] * 5)
+        for times in (5, 5000):
+            rows.append((2 * i + (times > 5), " ".join(["a b c d e"] * times) + f" {tail}" if times > 5 else f"{loop} {tail}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert grouped(neardup.classes(df).collect()) == [[2 * i, 2 * i + 1] for i in range(60)]
+
+
+def test_recall_at_a_larger_scale(spark):
+    """Every link of the documents of sf0.01 by brute force, found by classes: recall is 1 there."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(x["doc_id"], x["text"]) for x in docs.collect() if (x["text"] or "").split()]
+    got = [x for x in neardup.classes(docs).collect() if x["id"] in dict(rows)]
+    assert grouped(got) == plain_classes(rows)
 
 
 def test_signatures_estimate_probability_jaccard():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,14 +11,19 @@ from pyspark.sql import functions as F
 from corpusgrid.llm.common import cut, documents, small, text_of, wide_hash
 
 
+#: Ranges of a key in which texts are put side by side.
+MOST_RANGES = 20_000
+
+
 def canonical(text: Column) -> Column:
-    """NFC, full Unicode case folding, NFC again (folding may leave decomposed pairs), runs of white space as one space, none at the ends.
+    """NFC, full Unicode case folding, NFC again (folding may leave decomposed pairs), runs of white space (ASCII's, the
+    separators from U+001C to U+001F, U+0085 and Unicode's category Z) as one space, none at the ends.
 
     The three Unicode steps call the ICU classes that Spark ships; for ASCII they equal lower(), which stays in generated code."""
     nfc = lambda c: F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
     fold = lambda c: F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
     cased = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(nfc(fold(nfc(text))))
-    return F.btrim(F.regexp_replace(cased, r"[\s\p{Z}]+", " "))
+    return F.btrim(F.regexp_replace(cased, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
 
 
 def hex_digest(a: Column, b: Column) -> Column:
@@ -58,17 +64,18 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", bro
 
 
 def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 3000) -> Column:
-    """The number of key's range, ranges of about so many rows in ascending order of key (null first). Bounds are found in two
-    steps, so a row costs about twice the root of their number."""
-    n = min(65_536, max(1, math.ceil(df.count() / rows_per_bucket)))
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] if n > 1 else None
-    if not cuts:
+    """The number of key's range, ranges of about so many rows in ascending order of key (null first); at most MOST_RANGES, beyond
+    which ranges grow. Spark's range partitioner draws them from the keys alone; their ends are a sorted constant that each row is
+    looked up in by two steps, for about twice the root of their number."""
+    n = min(MOST_RANGES, max(1, math.ceil(df.count() / rows_per_bucket)))
+    ranges = df.select(key).repartitionByRange(n, F.asc_nulls_first(key)).groupBy(F.spark_partition_id()).agg(F.max(key).alias("end"))
+    ends = sorted({r["end"] for r in ranges.where("end is not null").collect()})[:-1] if n > 1 else []
+    if not ends:
         return F.lit(0)
-    cuts = sorted(set(cuts))
-    step = max(1, math.isqrt(len(cuts)))
-    lits = lambda xs: F.array(*[F.lit(x) for x in xs])
-    block = F.size(F.filter(lits(cuts[step::step]), lambda b: b < F.col(key)))
-    fine = F.size(F.filter(F.slice(lits(cuts), block * step + 1, F.lit(step)), lambda b: b < F.col(key)))
+    step, kind = max(1, math.isqrt(len(ends))), f"array<{df.schema[key].dataType.simpleString()}>"
+    some = lambda xs: F.from_json(F.lit(json.dumps(xs)), kind)  # noqa: E731  # a constant, parsed once
+    block = F.size(F.filter(some(ends[step - 1 :: step]), lambda b: b < F.col(key)))
+    fine = F.size(F.filter(F.slice(some(ends), block * step + 1, F.lit(step)), lambda b: b < F.col(key)))
     return F.when(F.col(key).isNull(), 0).otherwise(block * step + fine)
 
 
@@ -90,7 +97,11 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical digest of every document, of its edited text and their likeness: 1 if equal, else 0, as for any exact digest."""
+    """The canonical digest of every document, of its edited text and their likeness: 1 if equal, else 0, as for any exact digest.
+
+    A row a row of documents: null texts are empty; rows with null or equal ids are rows of their own, in order null first, then by id,
+    then by hash of the text; the last row's next is the first, so a table of one row has itself as next. An empty table gives an empty
+    one. Only doc_id and text are read, so that other columns can have any name."""
     text = "__text"
     docs = documents(spark, sf_dir).select("doc_id", text_of("text").alias(text))
     raw = wide_hash(F.col(text))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ ORDER, ALPHABET, SPAN = 5, 4096, 500_000
 #: Code of a run of anything but letters, and of the padding before a text.
 GAP, PAD = 0, 1
 FACTOR = 0x9E3779B97F4A7C15
+#: Nats over a language's bound that a whole text must have to be rejected.
+EVIDENCE = 20.0
 TABLE = np.full(0x110000, -1, np.int32)
 
 
@@ -146,19 +150,35 @@ def entropies(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return -total / np.maximum(n, 1)[:, None], n
 
 
-def calibrate(model: dict, samples: dict[str, list[str]], slack: float) -> None:
-    """The most cross-entropy that is accepted: slack times the largest that any language's calibration texts have in their own
-    language. One bound for all: a text in one language with much else in it may be nearer to another language's model."""
-    own = []
-    for i, lang in enumerate(model["langs"]):
-        e, n = entropies(model, samples.get(lang, []))
-        own += e[n > 0, i].tolist()
-    model["most"] = slack * max(own) if own else np.inf
+def scrambled(text: str) -> str:
+    """The text's characters in an order that its own hash draws: as frequent as in the language, but not of it."""
+    chars = np.array(list(text))
+    return "".join(chars[np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).permutation(len(chars))])
+
+
+def calibrate(model: dict, samples: dict[str, list[str]]) -> None:
+    """For each language the cross-entropy above which a text is rather none: half-way between the largest of the calibration texts
+    that are nearest to the language, and the least 1 % of the same texts scrambled. A language that no calibration text is nearest to, or whose
+    scrambled texts aren't above the others, takes the largest bound of the others; without any, nothing is rejected for it."""
+    texts = [t for lang in sorted(samples) for t in samples[lang]]
+    model["most"] = np.full(len(model["langs"]), np.inf)
+    if not texts or not model["langs"]:
+        return
+    (e, n), (noise, m) = entropies(model, texts), entropies(model, [scrambled(t) for t in texts])
+    best, some = e.argmin(axis=1), (n > 0) & (m > 0)
+    for i in range(len(model["langs"])):
+        own = some & (best == i)
+        if own.any():
+            high, low = e[own, i].max(), np.quantile(noise[own].min(axis=1), 0.01)
+            model["most"][i] = (high + low) / 2 if low > high else np.inf
+    known = model["most"][np.isfinite(model["most"])]
+    model["most"][~np.isfinite(model["most"])] = known.max() if len(known) else np.inf
 
 
 def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
     """(language, score, rejected) of each text. The score is the best language's share of the likelihoods, each for the
-    text's codes but 20 at most, at its own cross-entropy. Rejected: no letter, or more cross-entropy than is accepted."""
+    text's codes but 20 at most, at its own cross-entropy. Rejected: no letter, or more cross-entropy than the best language's bound
+    by at least EVIDENCE over all codes, so that a text of a few words isn't rejected for a rare one."""
     if not model["langs"]:
         return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
     e, n = entropies(model, [t or "" for t in texts])
@@ -166,21 +186,25 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
     low = e[np.arange(len(e)), best]
     score = 1 / np.exp((low[:, None] - e) * np.minimum(n, 20)[:, None]).sum(axis=1)
     some = n > 0
-    rejected = ~some | (low > model["most"])
+    rejected = ~some | ((low - model["most"][best]) * n > EVIDENCE)
     return [model["langs"][b] if s else "und" for b, s in zip(best, some)], np.where(some, score, 0.0).tolist(), rejected.tolist()
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, max_chars: int = 20_000, max_langs: int = 500, slack: float = 1.5) -> dict:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, max_chars: int = 20_000, max_langs: int = 500, total_chars: int = 100_000_000) -> dict:
     """A model from a bounded sample of the labelled rows of df: for each language about docs_per_lang whole texts of at most
-    max_chars code points, by hash of key and text; where a language has fewer, the first max_chars of longer ones too; a fifth of them, by hash, calibrates rejection. More than max_langs
-    languages are an error. Rows with a null language or text don't count. Without rows the model knows no language."""
+    max_chars code points, by hash of key and text; where a language has fewer, the first max_chars of longer ones too; a fifth of them,
+    by hash, calibrates rejection. With many languages max_chars is less, so that the sample has at most about 2 * total_chars code
+    points. More than max_langs languages are an error. Rows with a null language or text don't count. Without rows the model knows no
+    language."""
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    langs = rows.select(lang).distinct().limit(max_langs + 1).count()
+    max_chars = min(max_chars, max(1000, total_chars // (docs_per_lang * max(langs, 1))))
     rows = rows.select(F.col(lang).cast("string").alias("l"), F.substring(text, 1, max_chars).alias("t"), F.xxhash64(key, text).alias("h"), (F.length(text) > max_chars).alias("long"))
     counts = rows.groupBy("l").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).limit(max_langs + 1).collect()
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not counts:
-        return {"langs": [], "tables": [], "most": np.inf}
+        return {"langs": [], "tables": [], "most": np.empty(0)}
     part = lambda want, n: F.lit(max(0.0, min(1.0, want / n)) if n else 0.0)
     share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.struct(part(docs_per_lang, r["short"]).alias("short"), part(docs_per_lang - r["short"], r["long"]).alias("long")))])
     share = F.element_at(share, F.col("l"))
@@ -193,7 +217,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     for name in held.keys() - fitted.keys():
         fitted[name] = held[name]
     model = fit(fitted)
-    calibrate(model, held, slack)
+    calibrate(model, held)
     return model
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,9 +116,10 @@ def unpack_block(data: bytes) -> np.ndarray:
 
 
 def file_chunks(docs: Iterator[tuple[int | None, np.ndarray]], totals: dict, block_ids: int) -> Iterator[bytes]:
-    """A file's bytes: magic, blocks, then block offsets, keys, their null flags and lengths, and a fixed-size tail."""
+    """A file's bytes: magic, blocks of block_ids ids (the last may have fewer), then block offsets, keys, their null flags and lengths,
+    and a fixed-size tail."""
     yield MAGIC
-    at, offsets, keys, nulls, lengths, held, size = len(MAGIC), [], [], [], [], [], 0
+    at, offsets, keys, nulls, lengths, held, size = len(MAGIC), [], array("q"), bytearray(), array("I"), [], 0
 
     def full(ids: np.ndarray) -> bytes:
         nonlocal at
@@ -140,41 +142,53 @@ def file_chunks(docs: Iterator[tuple[int | None, np.ndarray]], totals: dict, blo
             held, size = [ids], len(ids)
     if size:
         yield full(np.concatenate(held))
-    totals |= {"n_docs": len(keys), "n_ids": int(sum(lengths))}
-    yield np.array([*offsets, at], "<u8").tobytes() + np.array(keys, "<i8").tobytes() + np.array(nulls, "u1").tobytes() + np.array(lengths, "<u4").tobytes()
-    yield struct.pack("<3Q", len(offsets), len(keys), at)
+    totals |= {"n_docs": len(keys), "n_ids": sum(lengths), "n_blocks": len(offsets)}
+    yield np.array([*offsets, at], "<u8").tobytes() + np.array(keys, "<i8").tobytes() + bytes(nulls) + np.array(lengths, "<u4").tobytes()
+    yield struct.pack("<4Q", len(offsets), len(keys), at, block_ids)
 
 
-def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(key, ids) of each document, a block in memory at a time."""
+def read_range(uri: str, first: int = 0, last: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(key, start in the file, ids) of each document that starts in the blocks from first to before last (none: to the end), a block
+    in memory at a time. Reading begins at the first block's offset."""
     fs, path = open_store(uri)
     with fs.open_input_file(path) as f:
         if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"{uri} is no token file")
-        size = f.size()
-        f.seek(size - 24)
-        n_blocks, n_docs, at = struct.unpack("<3Q", f.read(24))
+        f.seek(f.size() - 32)
+        n_blocks, n_docs, at, block_ids = struct.unpack("<4Q", f.read(32))
         f.seek(at)
-        offsets = np.frombuffer(f.read(8 * (n_blocks + 1)), "<u8").tolist()
-        keys = np.frombuffer(f.read(8 * n_docs), "<i8").tolist()
-        nulls = np.frombuffer(f.read(n_docs), "u1").tolist()
-        lengths = np.frombuffer(f.read(4 * n_docs), "<u4").tolist()
+        offsets = np.frombuffer(f.read(8 * (n_blocks + 1)), "<u8")
+        keys = np.frombuffer(f.read(8 * n_docs), "<i8")
+        nulls = np.frombuffer(f.read(n_docs), "u1")
+        lengths = np.frombuffer(f.read(4 * n_docs), "<u4").astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        low = int(np.searchsorted(starts, first * block_ids))
+        high = n_docs if last is None or last >= n_blocks else int(np.searchsorted(starts, last * block_ids))
 
         def blocks() -> Iterator[np.ndarray]:
-            f.seek(len(MAGIC))
-            for a, b in zip(offsets, offsets[1:]):
-                yield unpack_block(f.read(b - a))
+            """The ids from the start of document low on."""
+            f.seek(int(offsets[first]))
+            skip = int(starts[low]) - first * block_ids
+            for n in np.diff(offsets[first:]).tolist():
+                ids = unpack_block(f.read(n))
+                yield ids[skip:]
+                skip = max(0, skip - len(ids))
 
         source, held = blocks(), np.empty(0, np.uint32)
-        for key, null, n in zip(keys, nulls, lengths):
-            parts = []
+        for i in range(low, high):
+            parts, n = [], int(lengths[i])
             while n > len(held):
                 parts.append(held)
                 n -= len(held)
                 held = next(source)
             parts.append(held[:n])
             held = held[n:]
-            yield None if null else key, np.concatenate(parts)
+            yield None if nulls[i] else int(keys[i]), int(starts[i]), np.concatenate(parts)
+
+
+def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(key, ids) of each document."""
+    return ((key, ids) for key, _, ids in read_range(uri))
 
 
 ENCODERS: dict[str, PieceCache] = {}
@@ -212,20 +226,20 @@ def library_encoder(path: str) -> PieceCache:
     return ENCODERS[path]
 
 
-def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0, block_ids: int = 1 << 19) -> DataFrame:
+def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0, block_ids: int = 1 << 19, file_ids: int = 1 << 27, file_docs: int = 1 << 20, rows_per_task: int = 500_000) -> DataFrame:
     """Writes the ids of every whole text, each followed by end_id, in ascending order of the integer key (null first, ties by
-    text hash) and returns the manifest: shard, uri, n_docs, n_ids, base (ids in all shards before).
+    text hash) and returns the manifest: shard, file, uri, n_docs, n_ids, n_blocks, base (ids in all files before).
 
-    One shuffle deals ranges of the key; a task writes its range as one file, a block at a time, under its attempt's own name,
-    and only files of attempts that succeeded are in the manifest. A null or empty text is its end id alone. An empty table
-    gives an empty manifest."""
+    One shuffle deals ranges of the key, each of about rows_per_task rows at most; a task writes its range as files of at most file_docs
+    documents that each end with the document that reaches file_ids, a block at a time, under its attempt's own name; only files of
+    attempts that succeeded are in the manifest. A null or empty text is its end id alone. An empty table gives an empty manifest."""
     rows = df.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_task))
     rows = rows.repartitionByRange(n, F.asc_nulls_first("k"), F.xxhash64("t")).sortWithinPartitions(F.asc_nulls_first("k"), F.xxhash64("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn(__name__)
-        enc, task, end = library_encoder(tokenizer), TaskContext.get(), np.array([end_id], np.int32)
+        enc, task, end, number = library_encoder(tokenizer), TaskContext.get(), np.array([end_id], np.int32), 0
 
         def docs():
             for batch in batches:
@@ -233,29 +247,36 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
                     for k, ids in zip(part.column("k").to_pylist(), enc.encode(part.column("t"))):
                         yield k, np.concatenate([ids, end]).astype(np.uint32)
 
-        first = next(it := docs(), None)
-        if first is None:
-            return
-        totals: dict = {}
-        uri = f"{folder}/ids-{task.partitionId():06d}-{task.taskAttemptId()}.s8b"
-        write_once(uri, file_chunks((x for y in ([first], it) for x in y), totals, block_ids))
-        yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "uri": [uri], **{k: [v] for k, v in totals.items()}})
-
-    manifest = table(bounded(rows).mapInArrow(run, "shard long, uri string, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+        def one_file(first: tuple, more: Iterator[tuple]) -> Iterator[tuple]:
+            n, size = 1, len(first[1])
+            yield first
+            while n < file_docs and size < file_ids and (doc := next(more, None)) is not None:
+                yield doc
+                n, size = n + 1, size + len(doc[1])
+
+        every = docs()
+        while (first := next(every, None)) is not None:
+            totals: dict = {}
+            uri = f"{folder}/ids-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.s8b"
+            write_once(uri, file_chunks(one_file(first, every), totals, block_ids))
+            yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "file": [number], "uri": [uri], **{k: [v] for k, v in totals.items()}})
+            number += 1
+
+    manifest = table(bounded(rows).mapInArrow(run, "shard long, file long, uri string, n_docs long, n_ids long, n_blocks long"), "manifest")
+    before = Window.orderBy("shard", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document in the files, decoded block by block; a file is one task's work."""
+def read_token_files(manifest: DataFrame, blocks_per_task: int = 64) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document in the files, decoded block by block; a task begins at the offset of any
+    block, so a file is read by as many as it has runs of blocks_per_task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, start in zip(batch.column("uri").to_pylist(), batch.column("base").to_pylist()):
+            for uri, base, first in zip(*[batch.column(c).to_pylist() for c in ("uri", "base", "first")]):
                 out: list[tuple] = []
-                for k, ids in read_file(uri):
-                    out.append((k, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
+                for k, start, ids in read_range(uri, first, first + blocks_per_task):
+                    out.append((k, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     if len(out) == 50_000:
                         yield batch_of(out)
                         out = []
@@ -266,7 +287,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = manifest.select("uri", "base").repartition(n, "uri")
+    runs = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_blocks") - 1, F.lit(0)), F.lit(blocks_per_task).cast("long"))
+    spread = manifest.select("uri", "base", F.explode(runs).alias("first")).repartition(n, "uri", "first")
     return bounded(spread).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

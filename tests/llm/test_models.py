@@ -109,6 +109,18 @@ def test_noise_is_rejected(spark, small_dir):
     assert rejected == [True] * 4 and lang[2:] == ["und", "und"] and score[2:] == [0.0, 0.0]
 
 
+def test_rejection_rates(spark):
+    """Scrambled texts, letters drawn at random and another script are rejected; texts and their parts of 40 code points are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, r = langid.train(docs), random.Random(1)
+    texts = [x["text"] for x in docs.where(F.length("text") > 300).orderBy("doc_id").limit(300).collect()]
+    share = lambda some: np.mean(langid.predict(model, some)[2])
+    assert share(texts) < 0.005 and share([t[100:140] for t in texts if any(c.isalpha() for c in t[100:140])]) < 0.01
+    assert share([langid.scrambled(t) for t in texts]) > 0.95
+    assert share(["".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(200)) for _ in range(50)]) == 1
+    assert share(["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(50)) for _ in range(50)]) == 1
+
+
 def test_language_of_odd_rows(odd, empty):
     model = langid.train(odd("score"))
     rows = langid.identify(odd("score"), model).collect()

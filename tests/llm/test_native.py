@@ -101,7 +101,7 @@ def test_mixing_odd_rows(odd, empty):
 
 def plain_canonical(t: str | None) -> str:
     nfc = lambda s: unicodedata.normalize("NFC", s)
-    return re.sub(r"[ \t\n\x0b\x0c\r   -     　]+", " ", nfc(nfc(t or "").casefold())).strip(" ")
+    return re.sub(r"\s+", " ", nfc(nfc(t or "").casefold())).strip(" ")
 
 
 def plain_digest(t: str | None) -> str:
@@ -113,6 +113,9 @@ def plain_digest(t: str | None) -> str:
 def test_canonical_text(odd, spark):
     for r in odd().select("text", canonical(F.coalesce("text", F.lit(""))).alias("c")).collect():
         assert r["c"] == plain_canonical(r["text"])
+    spaces = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    df = spark.createDataFrame([(f"a{x}b",) for x in spaces], "text string")
+    assert {r["c"] for r in df.select(canonical(F.col("text")).alias("c")).collect()} == {"a b"}
     two = spark.createDataFrame([("Café  au lait",), (" café AU\nlait ",), ("cafe au lait",)], "text string")
     a, b, c = (r["fingerprint"] for r in fingerprint(two).orderBy(F.desc("text")).collect())
     assert len({a, b, c}) == 2
@@ -160,3 +163,16 @@ def test_fingerprints_of_odd_rows(odd, empty):
         assert by.setdefault(plain_canonical(r["text"]), r["fingerprint"]) == r["fingerprint"]
     assert len(set(by.values())) == len(by)
     assert fingerprint(empty).collect() == []
+
+
+def test_op7_of_odd_rows(odd, empty, tmp_path, spark):
+    """Null and repeated ids, null texts and clashing names: each row once, beside the next in order."""
+    for name, df in (("odd", odd("__text")), ("empty", empty), ("one", empty.sparkSession.createDataFrame([(None, None, "en", "s", 0)], empty.schema))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    query = registry.QUERIES["op7_fingerprints"]
+    rows = query(spark, f"{tmp_path}/odd").collect()
+    docs = [(r["doc_id"], r["text"] or "") for r in odd().collect()]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"], r["fingerprint"][:32]) for r in rows) == sorted((i is None, i or 0, len(t), plain_digest(t)) for i, t in docs)
+    assert query(spark, f"{tmp_path}/empty").collect() == []
+    one = query(spark, f"{tmp_path}/one").collect()
+    assert [(r["doc_id"], r["n_chars"], r["near_edited"], r["near_next"]) for r in one] == [(None, 0, 1.0, 1.0)]

@@ -116,7 +116,11 @@ def test_documents_across_blocks(tmp_path):
     tokenfiles.write_once(uri, tokenfiles.file_chunks(iter(docs), totals, 100))
     back = list(tokenfiles.read_file(uri))
     assert [k for k, _ in back] == [k for k, _ in docs] and all((a == b).all() for (_, a), (_, b) in zip(back, docs))
-    assert totals == {"n_docs": 7, "n_ids": 1153}
+    assert totals == {"n_docs": 7, "n_ids": 1153, "n_blocks": 12}
+    for step in (1, 2, 5):  # from any block on, each document once
+        parts = [x for first in range(0, 12, step) for x in tokenfiles.read_range(uri, first, first + step)]
+        assert [k for k, _, _ in parts] == [k for k, _ in docs] and all((a == b).all() for (_, _, a), (_, b) in zip(parts, docs))
+        assert [s for _, s, _ in parts] == [0, 3, 3, 253, 254, 353, 453]
 
 
 def test_op5(spark, small_dir, texts):
@@ -134,4 +138,6 @@ def test_files_of_odd_rows(odd, empty, spark):
     assert len(rows) == df.count()
     assert rows[0]["doc_id"] is None and [r["doc_id"] for r in rows[1:]] == sorted(r["doc_id"] for r in rows[1:])
     assert sum(r["n_tokens"] for r in rows) == sum(len(x) + 1 for x in ids_of([r["text"] for r in df.collect()]))
+    small = tokenfiles.write_token_files(df, PATH, scratch(spark, "t"), block_ids=64, file_ids=100, file_docs=2, rows_per_task=3)
+    assert small.count() > df.count() / 2 and [tuple(x) for x in tokenfiles.read_token_files(small, 1).orderBy("start", "doc_id").collect()] == [tuple(x) for x in rows]
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(empty, PATH, scratch(spark, "t"))).collect() == []

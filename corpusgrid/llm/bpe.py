@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -181,43 +180,33 @@ class TrieBPE:
         return np.array(out[::-1], "<i4").tobytes()
 
     def words(self, words: list[str]) -> dict[str, bytes]:
-        """ids of distinct words in the byte-level alphabet."""
+        """ids of distinct words in the byte-level alphabet. The trie of the words is laid out depth first, as the sorted words and the
+        length of the prefix that each shares with the one before: the node where its own branch begins. The states on the path to the
+        present node are held by depth, so each node's is found once, and a trie takes no more memory than its words."""
         out: dict[str, bytes] = {}
-        trie: dict = {}
-        for w in words:
-            if len(w) > 200:  # shares too little: the same steps along a single path
-                last, part = [0] * (len(w) + 1), ""
-                for d, c in enumerate(w, 1):
-                    part = self.step(part, c, last, d)
-                out[w] = self.collect(last, len(w))
-                continue
-            node = trie
-            for c in w:
-                if (below := node.get(c)) is None:
-                    below = node[c] = {}
-                node = below
-            node[""] = w
-        last, step, todo = [0] * 201, self.step, [(trie, 0, "", "")]
-        while todo:
-            node, depth, part, c = todo.pop()
-            if depth:
-                part = step(part, c, last, depth)
-            for x, below in node.items():
-                if x:
-                    todo.append((below, depth + 1, part, x))
-                else:
-                    out[below] = self.collect(last, depth)
+        last, parts, before, step = [0], [""], "", self.step
+        for w in sorted(words):
+            d, size = 0, len(w)
+            for x, y in zip(before, w):
+                if x != y:
+                    break
+                d += 1
+            if size >= len(parts):
+                parts += [""] * (size + 1 - len(parts))
+                last += [0] * (size + 1 - len(last))
+            part = parts[d]
+            for c in w[d:]:
+                d += 1
+                part = parts[d] = step(part, c, last, d)
+            out[w] = self.collect(last, size)
+            before = w
         return out
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The known words' ids, these among them."""
         if len(self.known) > 150_000:
             self.known.clear()
-        gc.disable()  # a trie has no cycles, and its many nodes would set off collection after collection
-        try:
-            self.known.update(self.words([w for w in words if w not in self.known]))
-        finally:
-            gc.enable()
+        self.known.update(self.words([w for w in words if w not in self.known]))
         return self.known
 
     def encode_first(self, texts: list[str]) -> list[bytes]:
@@ -259,7 +248,7 @@ def loaded(path: str) -> tuple[TrieBPE, PieceCache]:
     return LOADED[path]
 
 
-def extended(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], text: str) -> DataFrame:
+def extended(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], text: str, limit: int = 1 << 20) -> DataFrame:
     """df with more columns, from parts of batches bounded in bytes of the column text. Columns of the same names are replaced."""
     names = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in names]
@@ -269,7 +258,7 @@ def extended(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn(fn.__module__)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *fn(part)], out_names)
 
     return bounded(df).mapInArrow(run, schema)
@@ -288,7 +277,7 @@ DECODED = T.StructField("decoded", T.StringType())
 def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """df with ids: the whole text's tokens, as the tokenizers library gives them without added special tokens. The string of a
     special token in the text becomes that token. Null and empty texts have no ids. Rows stay where they are: no shuffle."""
-    return extended(df, [IDS], lambda part: [int_lists(loaded(tokenizer)[1].encode(part.column(text)))], text)
+    return extended(df, [IDS], lambda part: [int_lists(loaded(tokenizer)[1].encode(part.column(text)))], text, 2 << 20)
 
 
 def decode(df: DataFrame, tokenizer: str) -> DataFrame:
@@ -312,7 +301,7 @@ def encode_decode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFram
         ids = cache.encode(part.column(text))
         return [int_lists(ids), pa.array(bpe.decode(ids), pa.string())]
 
-    return extended(df, [IDS, DECODED], fn, text)
+    return extended(df, [IDS, DECODED], fn, text, 2 << 20)
 
 
 def default_tokenizer() -> str:

@@ -24,10 +24,13 @@ UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all runs in one process (tests) a local
+    one is made; on a cluster an unset folder is an error."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corpusgrid-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -107,6 +110,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of about limit bytes of the column, at least a row each."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column):
+            held.append(part)
+            size += part.column(column).nbytes
+            if size >= limit:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def open_store(uri: str):
     """(filesystem, path) for a file in the shared folder, whatever store that is."""
     import pyarrow.fs as pafs

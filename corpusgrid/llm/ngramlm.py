@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.common import HELD, LOWER, bounded, documents, open_store, scratch, slices, table, take_turn, text_of, write_once
+from corpusgrid.llm.common import HELD, LOWER, bounded, documents, gathered, open_store, scratch, slices, table, take_turn, text_of, write_once
 from corpusgrid.llm.langid import fold
 from corpusgrid.llm.neardup import mixed
 
@@ -373,20 +373,6 @@ def rare_words(tokens: Tokens, known: np.ndarray) -> tuple[pa.ListArray, pa.List
     return lists(tokens.words[rare % size].view(np.int64), cuts), lists(times.astype(np.int32), cuts)
 
 
-def long_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches of about HELD_TEXT bytes of t."""
-    held, size = [], 0
-    for batch in batches:
-        for part in slices(batch, "t"):
-            held.append(part)
-            size += part.column("t").nbytes
-            if size >= HELD_TEXT:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 #: What is known of a text before its score: codes, n and k as in evidence() and best_weights().
 CODES = "codes array<int>, n array<int>, k long"
 
@@ -435,7 +421,7 @@ def evidence_of(df: DataFrame, text: str, key: str, shared, unit: float, total:
         take_turn(__name__)
         bloom, start = shared.value[2], TaskContext.get().partitionId() << 36
         row, number = start, start
-        for part in long_slices(batches):
+        for part in gathered(batches, "t", HELD_TEXT):
             tokens, docs = of_slice(part, row)
             yield padded([pa.nulls(len(docs[0]), pa.int64())] * 2 + [pa.nulls(len(docs[0]), pa.binary())] * 3 + docs)
             asks, cuts = [], []

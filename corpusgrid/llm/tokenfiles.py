@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.llm.bpe import PieceCache, default_tokenizer
-from corpusgrid.llm.common import HELD, bounded, documents, open_store, scratch, slices, table, take_turn, text_of, write_once
+from corpusgrid.llm.common import HELD, bounded, documents, gathered, open_store, scratch, table, take_turn, text_of, write_once
 
 #: Simple-8b's selectors, by number: values in a word and bits of each, in the word's low 60 bits, lowest first.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -242,10 +242,9 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
         enc, task, end, number = library_encoder(tokenizer), TaskContext.get(), np.array([end_id], np.int32), 0
 
         def docs():
-            for batch in batches:
-                for part in slices(batch, "t", 4 << 20):
-                    for k, ids in zip(part.column("k").to_pylist(), enc.encode(part.column("t"))):
-                        yield k, np.concatenate([ids, end]).astype(np.uint32)
+            for part in gathered(batches, "t", 8 << 20):  # pieces are made distinct, and looked up, for a part at once
+                for k, ids in zip(part.column("k").to_pylist(), enc.encode(part.column("t"))):
+                    yield k, np.concatenate([ids, end]).astype(np.uint32)
 
         def one_file(first: tuple, more: Iterator[tuple]) -> Iterator[tuple]:
             n, size = 1, len(first[1])

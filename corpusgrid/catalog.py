@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from corpusgrid.operators import coding, content, dedup, hierarchy, planning, selection, telemetry
+from corpusgrid.operators import coding, content, dedup, hierarchy, planning, recovery, selection, telemetry
 from corpusgrid.oracles import coding as coding_sql
 from corpusgrid.oracles import content as content_sql
 from corpusgrid.oracles import layout
@@ -13,7 +13,7 @@ from corpusgrid.oracles import telemetry as telemetry_sql
 from corpusgrid.sources import container
 from corpusgrid.streaming import progress
 
-MODULES = [planning, selection, dedup, hierarchy, content, telemetry, coding, progress, container]
+MODULES = [planning, selection, dedup, hierarchy, content, telemetry, coding, recovery, progress, container]
 ORACLES = [layout, content_sql, telemetry_sql, coding_sql, streaming_sql]
 
 

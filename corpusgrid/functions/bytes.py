@@ -1,4 +1,4 @@
-"""Byte-level column functions: histograms and what follows from them. One vectorised pass per text; the rest is SQL."""
+"""Byte-level column functions: histograms and what follows from them, for a batch of texts at once."""
 
 from __future__ import annotations
 
@@ -16,50 +16,44 @@ STRUCTURE = '{}[]:,<>/="'
 PRINTABLE, STRUCTURED, BLANK = 0.85, 0.08, 0.12
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def histogram(data: pd.Series) -> pd.Series:
-    """How often each of the 256 bytes occurs in a binary; null for null."""
-    return data.map(lambda b: None if b is None else np.bincount(np.frombuffer(b, np.uint8), minlength=256).astype(np.int32))
+def histograms(data: pd.Series) -> np.ndarray:
+    """How often each of the 256 bytes occurs in each binary, all counted at once; null as none."""
+    parts = [b or b"" for b in data]
+    owner = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+    flat = np.frombuffer(b"".join(parts), np.uint8)
+    return np.bincount(owner * 256 + flat, minlength=256 * len(parts)).reshape(-1, 256)
 
 
-def sample(text: str, n: int = SAMPLE) -> Column:
-    """The first n bytes of a text. Only they leave the JVM."""
-    return F.substring(F.encode(text, "UTF-8"), 1, n)
-
-
-def total(hist: Column) -> Column:
-    return F.aggregate(hist, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
-def count_of(hist: Column, bytes_: list[int]) -> Column:
-    """Occurrences of any of these bytes."""
-    return sum((F.get(hist, F.lit(b)) for b in bytes_[1:]), F.get(hist, F.lit(bytes_[0])))
-
-
-def count_between(hist: Column, low: int, high: int) -> Column:
-    return total(F.slice(hist, low + 1, high - low + 1))
+@F.pandas_udf(T.DoubleType())
+def entropy(data: pd.Series) -> pd.Series:
+    """Bits a byte; 0 for no bytes."""
+    hist = histograms(data)
+    n = np.maximum(hist.sum(axis=1, keepdims=True), 1)
+    p = hist / n
+    return pd.Series(-(p * np.log2(np.where(hist > 0, p, 1.0))).sum(axis=1) + 0.0)
 
 
-def entropy(hist: Column) -> Column:
-    """Bits a byte; 0 for no bytes."""
-    n = total(hist)
-    p = F.transform(F.filter(hist, lambda c: c > 0), lambda c: c / n)
-    return F.coalesce(F.aggregate(p, F.lit(0.0), lambda a, x: a - x * F.log2(x)), F.lit(0.0))
+PROFILE = T.StructType([T.StructField("class", T.StringType()), T.StructField("signature", T.ArrayType(T.IntegerType()))])
 
 
-def sample_class(hist: Column) -> Column:
-    """Binary, StructuredText or Text; no bytes are Binary. Plain prose is StructuredText, for its share of white space is enough."""
-    n = total(hist)
-    blank = count_of(hist, [9, 10, 13, 32])
-    printable = blank + count_between(hist, 33, 126)
-    rich = (count_of(hist, [ord(c) for c in STRUCTURE]) / n >= STRUCTURED) | (blank / n >= BLANK)
-    return F.when((n == 0) | (F.get(hist, F.lit(0)) > 0) | (printable / n < PRINTABLE), "Binary").when(rich, "StructuredText").otherwise("Text")
+@F.pandas_udf(PROFILE)
+def profile(data: pd.Series) -> pd.DataFrame:
+    """class: Binary, StructuredText or Text; no bytes are Binary. Plain prose is StructuredText, for its share of white space is enough.
+    signature: 16 buckets of the high half-byte, scaled to 255 and rounded."""
+    hist = histograms(data)
+    n = hist.sum(axis=1)
+    some = np.maximum(n, 1)
+    blank, structure = hist[:, [9, 10, 13, 32]].sum(axis=1), hist[:, [ord(c) for c in STRUCTURE]].sum(axis=1)
+    binary = (n == 0) | (hist[:, 0] > 0) | ((blank + hist[:, 33:127].sum(axis=1)) / some < PRINTABLE)
+    rich = (structure / some >= STRUCTURED) | (blank / some >= BLANK)
+    buckets = hist.reshape(-1, 16, 16).sum(axis=2)
+    signature = (buckets * 255 + (some // 2)[:, None]) // some[:, None]
+    return pd.DataFrame({"class": np.where(binary, "Binary", np.where(rich, "StructuredText", "Text")), "signature": list(signature.astype(np.int32))})
 
 
-def signature(hist: Column) -> Column:
-    """16 buckets of the high half-byte, scaled to 255 and rounded."""
-    n = F.greatest(total(hist), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.floor((total(F.slice(hist, k * 16 + 1, F.lit(16))) * 255 + F.floor(n / 2)) / n).cast("int"))
+def sample(text: str, n: int = SAMPLE) -> Column:
+    """The first n bytes of a text. Only they leave the JVM."""
+    return F.substring(F.encode(text, "UTF-8"), 1, n)
 
 
 def distance(a: Column, b: Column) -> Column:

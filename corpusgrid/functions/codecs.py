@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import lzma
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,42 +30,74 @@ def cdc_masks(target: int) -> tuple[int, int]:
     return ones(min(bits + 1, 63)), ones(max(bits - 1, 1))
 
 
+@dataclass(frozen=True)
+class ChunkPolicy:
+    """Least, wanted and largest chunk; a superchunk, at whose multiples a chunk always ends, is 8 largest chunks."""
+
+    least: int
+    target: int
+    most: int
+
+    @classmethod
+    def fixed(cls, target: int) -> ChunkPolicy:
+        return cls.cdc(target, target, target)
+
+    @classmethod
+    def cdc(cls, least: int, target: int, most: int) -> ChunkPolicy:
+        """Sizes are at least 1, and each at least the one before."""
+        least = max(1, least)
+        target = max(least, target)
+        return cls(least, target, max(target, most))
+
+    @classmethod
+    def cdc_for_target(cls, target: int) -> ChunkPolicy:
+        return cls.cdc(target // 4, target, target * 2)
+
+    @property
+    def superchunk(self) -> int:
+        return 8 * self.most
+
+
 def cdc_lengths(texts: list[bytes], least: int, target: int, most: int) -> list[np.ndarray]:
     """Chunk lengths of each byte string. No chunk crosses a multiple of the superchunk, 8 times the largest chunk, and the hash
     starts anew there; so all superchunks of all strings are scanned side by side, a byte of each at a time."""
-    span = 8 * most
-    lanes = [(i, at, t[at : at + span]) for i, t in enumerate(texts) for at in range(0, len(t), span)]
-    lanes.sort(key=lambda x: -len(x[2]))  # so that those still running are a prefix
-    lens = np.array([len(x[2]) for x in lanes], np.int64)
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    if not lanes:
-        return [np.empty(0, np.int64) for _ in texts]
-    data = np.zeros((lens[0], len(lanes)), np.uint8)
-    for k, (_, _, t) in enumerate(lanes):
-        data[: len(t), k] = np.frombuffer(t, np.uint8)
+    span, lens = 8 * most, np.fromiter(map(len, texts), np.int64, len(texts))
+    pieces = -(-lens // span)
+    owner = np.repeat(np.arange(len(texts)), pieces)
+    inside = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * span
+    size_of = np.minimum(span, lens[owner] - inside)
+    order = np.argsort(-size_of, kind="stable")  # so that those still running are a prefix
+    owner, inside, size_of = owner[order], inside[order], size_of[order]
+    flat, at = np.frombuffer(b"".join(texts), np.uint8), (np.cumsum(lens) - lens)[owner] + inside
     short, long_ = (np.uint64(m) for m in cdc_masks(target))
-    h, size = np.zeros(len(lanes), np.uint64), np.zeros(len(lanes), np.int64)
-    limit = np.full(len(lanes), min(most, span), np.int64)
-    norm = np.full(len(lanes), min(max(target, min(least, limit[0])), limit[0]), np.int64)
-    running = len(lanes)
-    for step in range(int(lens[0])):
-        while running and lens[running - 1] <= step:
-            running -= 1
-        s = slice(0, running)
-        h[s] = ((h[s] << np.uint64(1)) | (h[s] >> np.uint64(63))) + GEAR[data[step, s]]
-        size[s] += 1
-        hit = np.where(size[s] < norm[s], h[s] & short, h[s] & long_) == 0
-        cut = np.flatnonzero((size[s] >= limit[s]) | ((size[s] >= least) & hit))
-        for k in cut.tolist():
-            out[lanes[k][0]].append((lanes[k][1] + step + 1, int(size[k])))
-            h[k], size[k] = 0, 0
-            left = span - (step + 1) % span
-            limit[k] = max(1, min(most, left))
-            norm[k] = min(max(target, min(least, limit[k])), limit[k])
-    for k in np.flatnonzero(size).tolist():  # what is left at the end of a string
-        i, at, t = lanes[k]
-        out[i].append((at + len(t), int(size[k])))
-    return [np.array([n for _, n in sorted(x)], np.int64) for x in out]
+    n = len(owner)
+    h, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    limit = np.full(n, min(most, span), np.int64)
+    norm = np.full(n, min(max(target, min(least, min(most, span))), min(most, span)), np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    one, rest = np.uint64(1), np.uint64(63)
+    upto = n - np.searchsorted(size_of[::-1], np.arange(int(size_of[0]) if n else 0), "right")  # lanes longer than each step
+    for step, running in enumerate(upto.tolist()):
+        hs, ss = h[:running], size[:running]
+        hs[:] = ((hs << one) | (hs >> rest)) + GEAR[flat[at[:running] + step]]
+        ss += 1
+        cut = ss >= limit[:running]
+        ripe = np.flatnonzero(ss >= least)
+        if len(ripe):
+            cut[ripe] |= (hs[ripe] & np.where(ss[ripe] < norm[ripe], short, long_)) == 0
+        cut = np.flatnonzero(cut)
+        if len(cut):
+            found.append((cut, np.full(len(cut), step + 1), ss[cut]))
+            hs[cut] = 0
+            ss[cut] = 0
+            limit[cut] = max(1, min(most, span - (step + 1) % span))
+            norm[cut] = np.minimum(np.maximum(target, np.minimum(least, limit[cut])), limit[cut])
+    left = np.flatnonzero(size)  # what is left at the end of a string
+    found.append((left, size_of[left], size[left]))
+    lane, end, length = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((inside[lane] + end, owner[lane]))
+    cuts = np.searchsorted(owner[lane][order], np.arange(len(texts) + 1))
+    return [length[order[a:b]] for a, b in zip(cuts, cuts[1:])]
 
 
 def crc_table() -> np.ndarray:

@@ -2,40 +2,57 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgrid.functions.bytes import entropy, histogram
+from corpusgrid.functions.bytes import histograms
 from corpusgrid.functions.codecs import cdc_lengths, compressed_size, crc32c, rs_parity
 from corpusgrid.operators.content import MAX_SAMPLES, classified
+from corpusgrid.operators.dedup import canonical, sized
 from corpusgrid.operators.planning import document_files
+from corpusgrid.plans.scale import checkpointed
 from corpusgrid.sources.corpus import read
 
 # Least block of a probe and its windows, members of a cluster, clusters of a class, rounds of refinement.
 PROBE_BYTES, PROBE_WINDOW, CLUSTER_MIN, CLUSTERS_MAX, ROUNDS = 32_768, 16_384, 8, 4, 4
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Blocks are large: few of them to a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-
-
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return read(spark, sf_dir, "documents").select("doc_id", "source", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
 
 
+def parts(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows by about so many bytes of data, whatever number of rows the session sends at once: enough of short blocks to work
+    on side by side, few of large ones."""
+    held, size = [], 0
+    for batch in batches:
+        lens = pc.fill_null(pc.binary_length(batch.column("data")), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(lens), 0
+        while start < len(lens):
+            room = limit - size + (ends[start - 1] if start else 0)
+            stop = max(start + 1, int(np.searchsorted(ends, room, "right")))
+            held.append(batch.slice(start, stop - start))
+            size, start = size + int(lens[start:stop].sum()), stop
+            if size >= limit or start < len(lens):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def cdc_chunks(files: DataFrame, least: int, target: int, most: int) -> DataFrame:
     """files(doc_id, data) cut where the content's gear hash says so: doc_id, chunk_no, chunk_offset, chunk_len. Empty files have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             lens = cdc_lengths([b or b"" for b in batch.column("data").to_pylist()], least, target, most)
             n = np.array([len(x) for x in lens], np.int64)
             flat = np.concatenate(lens) if lens else np.empty(0, np.int64)
@@ -84,19 +101,31 @@ def q_probe_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_encode_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of each document as an LZMA block: reference, raw by policy, raw by entropy, compressed, or raw for not being
-    smaller. Cheap tests come first and only what is left is compressed, in a branch of its own."""
-    d = content(spark, sf_dir).withColumns({"size": F.length("data").cast("long"), "digest": F.sha2("data", 256), "force_raw": F.col("doc_id") % 17 == 0})
-    firsts = d.groupBy("size", "digest").agg(F.min("doc_id").alias("first_id"))
-    e = d.select("doc_id", histogram(F.substring("data", 1, PROBE_WINDOW)).alias("hist")).select("doc_id", entropy(F.col("hist")).alias("e"))
-    meta = d.select("doc_id", "size", "digest", "force_raw").join(firsts, ["size", "digest"]).join(e, "doc_id")
-    probe = (F.col("size") >= PROBE_BYTES) & (F.col("e") > 7.5)
-    meta = meta.select("doc_id", "size", F.when(F.col("first_id") < F.col("doc_id"), "reference").when(F.col("force_raw"), "raw_policy").when(probe, "raw_entropy").alias("decision"))
-    size_of = F.pandas_udf(lambda s: s.map(lambda b: compressed_size("lzma", 1, bytes(b))), T.LongType())
-    left = d.select("doc_id", "data").join(meta.where("decision is null").select("doc_id", "size"), "doc_id")
-    left = left.select("doc_id", "size", size_of("data").alias("encoded"))
-    left = left.select("doc_id", "size", F.when(F.col("encoded") < F.col("size"), "compressed").otherwise("raw_larger").alias("decision"), F.least("encoded", "size").alias("stored"))
-    stored = F.when(F.col("decision") == "reference", 0).otherwise(F.col("size"))
-    return meta.where("decision is not null").withColumn("stored", stored).unionByName(left)
+    smaller. Content is read once and never shuffled: the scan tests policy and entropy, compresses what passes (an equal block of the
+    batch once), and gives metadata alone, among which equal blocks are then found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            data, raw = batch.column("data").to_pylist(), batch.column("force_raw").to_pylist()
+            hist = histograms(pd.Series([b[:PROBE_WINDOW] for b in data]))
+            p = hist / np.maximum(hist.sum(axis=1, keepdims=True), 1)
+            bits = -(p * np.log2(np.where(hist > 0, p, 1.0))).sum(axis=1)
+            hard, known, out = [len(b) >= PROBE_BYTES and e > 7.5 for b, e in zip(data, bits)], {}, []
+            for b, policy, noise in zip(data, raw, hard):
+                if not policy and not noise and b not in known:
+                    known[b] = compressed_size("lzma", 1, b)
+                out.append(None if policy or noise else known[b])
+            digest = [hashlib.sha256(b).hexdigest() for b in data]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array(digest), batch.column("force_raw"), pa.array(hard), pa.array(out, pa.int64())], names)
+
+    names = ["doc_id", "size", "digest", "force_raw", "hard", "encoded"]
+    d = content(spark, sf_dir).select("doc_id", "data", F.coalesce(F.col("doc_id") % 17 == 0, F.lit(False)).alias("force_raw"))
+    d = checkpointed(d.mapInArrow(run, "doc_id long, size long, digest string, force_raw boolean, hard boolean, encoded long"))
+    d = canonical(d, ["size", "digest"], "doc_id")
+    smaller = F.col("encoded") < F.col("size")
+    decision = F.when(F.col("target").isNotNull(), "reference").when(F.col("force_raw"), "raw_policy").when(F.col("hard"), "raw_entropy").when(smaller, "compressed").otherwise("raw_larger")
+    stored = F.when(F.col("decision") == "reference", 0).when(F.col("decision") == "compressed", F.col("encoded")).otherwise(F.col("size"))
+    return d.withColumn("decision", decision).select("doc_id", "size", "decision", stored.cast("long").alias("stored"))
 
 
 def cluster(signatures: np.ndarray, wanted: int) -> np.ndarray:
@@ -181,7 +210,7 @@ def q_corrupt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_raw_dedup_window(spark: SparkSession, sf_dir: str, window: int = 16) -> DataFrame:
     """Dedup in each source with a window of so many first insertions, oldest out first; a hit doesn't renew its entry."""
-    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
+    d = read(spark, sf_dir, "documents").select("source", "doc_id", *sized())
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows, seen, out = rows.sort_values("doc_id"), {}, []
@@ -201,8 +230,6 @@ def q_rs_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = content(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("stripe"), "doc_id", "data")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
         blocks = [bytes(b) for b in rows.sort_values("doc_id")["data"]]
         width = max(map(len, blocks))
         shards = np.array([np.frombuffer(b.ljust(width, b"\0"), np.uint8) for b in blocks]) if width else np.zeros((len(blocks), 0), np.uint8)

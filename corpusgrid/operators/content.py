@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgrid.functions.bytes import SAMPLE, distance, entropy, histogram, sample, sample_class, signature
+from corpusgrid.functions.bytes import SAMPLE, distance, entropy, profile, sample
+from corpusgrid.plans.scale import checkpointed
 from corpusgrid.sources.corpus import read
 
 # Least bytes and entropy of an incompressible sample; windows of an input; caps of a class; kept dictionaries.
@@ -14,20 +17,21 @@ ENTROPY_BYTES, INCOMPRESSIBLE, WINDOWS, MAX_SAMPLES, MAX_BYTES, MAX_DICTIONARIES
 WINDOW = 1024
 
 
-def profiles(spark: SparkSession, sf_dir: str, n: int = SAMPLE) -> DataFrame:
-    """doc_id, lang, source, size and the byte histogram of each document's sample."""
+def sampled(spark: SparkSession, sf_dir: str, n: int = SAMPLE) -> DataFrame:
+    """doc_id, lang, source, size and the first n bytes of each document; only they leave the JVM. Null is empty."""
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", "source", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), histogram(F.coalesce(sample("text", n), F.lit(b""))).alias("hist"))
+    return d.select("doc_id", "lang", "source", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), F.coalesce(sample("text", n), F.lit(b"")).alias("sample"))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profiles(spark, sf_dir)
+    """doc_id, lang, source, size, ext, class and signature of each document, from one pass over the samples."""
     ext = F.when(F.col("doc_id") % 17 == 0, "gz").otherwise("txt")
-    return p.select("doc_id", "lang", "source", "size", ext.alias("ext"), sample_class(F.col("hist")).alias("class"), signature(F.col("hist")).alias("signature"))
+    p = sampled(spark, sf_dir).withColumn("p", profile("sample"))
+    return p.select("doc_id", "lang", "source", "size", ext.alias("ext"), "p.class", "p.signature")
 
 
 def q_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profiles(spark, sf_dir, 4096).withColumn("e", entropy(F.col("hist")))
+    p = sampled(spark, sf_dir, 4096).withColumn("e", entropy("sample"))
     return p.select("doc_id", F.round("e", 6).alias("entropy"), ((F.col("size") >= ENTROPY_BYTES) & (F.col("e") > INCOMPRESSIBLE)).alias("incompressible"))
 
 
@@ -75,9 +79,9 @@ def q_avg_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_sig_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's distance from its language's mean signature."""
-    docs = classified(spark, sf_dir)
-    mean = averages(docs, ["lang"]).select("lang", F.col("signature").alias("mean"))
-    return docs.join(mean, "lang").select("doc_id", distance(F.col("signature"), F.col("mean")).alias("distance"))
+    docs = checkpointed(classified(spark, sf_dir))  # metadata, read twice
+    mean = averages(docs, ["lang"]).select(F.col("lang").alias("l"), F.col("signature").alias("mean"))
+    return docs.join(mean, F.col("lang").eqNullSafe(F.col("l"))).select("doc_id", distance(F.col("signature"), F.col("mean")).alias("distance"))
 
 
 def q_sample_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +94,8 @@ def q_sample_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("before", before).where(F.col("before") < MAX_BYTES // 64).select("lang", "doc_id", "size", "before")
 
 
-def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary candidates of documents by extension and by class and language, ranked: id, class, samples, bytes, signature."""
-    docs = classified(spark, sf_dir)
+def bank(docs: DataFrame) -> DataFrame:
+    """Dictionary candidates of classified documents by extension and by class and language, ranked: id, class, samples, bytes, signature."""
     by_ext = averages(docs.withColumn("kind", F.concat(F.lit("Extension:"), "ext")), ["kind"])
     by_class = averages(docs.select(F.col("class").alias("kind"), "lang", "size", "signature"), ["kind", "lang"]).drop("lang")
     every = by_ext.unionByName(by_class).where("samples >= 8")
@@ -102,13 +105,13 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dict_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bank(spark, sf_dir).select("id", "kind", "samples", "sample_bytes", F.concat_ws(",", F.col("signature").cast("array<string>")).alias("signature"))
+    return bank(checkpointed(classified(spark, sf_dir))).select("id", "kind", "samples", "sample_bytes", F.concat_ws(",", F.col("signature").cast("array<string>")).alias("signature"))
 
 
 def q_dict_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionary that suits each document best: its extension's before its class's, less the distance; ties by samples, bytes, id."""
-    docs = classified(spark, sf_dir)
-    b = F.broadcast(bank(spark, sf_dir).select("id", "kind", "samples", "sample_bytes", F.col("signature").alias("mean")))  # 255 rows at most
+    docs = checkpointed(classified(spark, sf_dir))  # metadata, read by each branch
+    b = F.broadcast(bank(docs).select("id", "kind", "samples", "sample_bytes", F.col("signature").alias("mean")))  # 255 rows at most
     kinds = docs.withColumn("kind", F.explode(F.array(F.concat(F.lit("Extension:"), "ext"), F.col("class"))))
     score = F.when(F.col("kind").startswith("Extension:"), 20_000).otherwise(10_000) - distance(F.col("signature"), F.col("mean"))
     hit = kinds.join(b, "kind").withColumn("score", score)
@@ -116,4 +119,32 @@ def q_dict_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", F.col("b.id").alias("dictionary_id"), F.col("b.score").alias("score"))
 
 
+#: Bytes of a trained dictionary.
+DICTIONARY_BYTES = 4096
+
+
+def train(samples: DataFrame) -> DataFrame:
+    """samples (kind, doc_id, sample): a zstd dictionary of each kind's first 512 samples, fewer than 8 give none; kind, samples,
+    dictionary, and the bytes of the samples compressed each alone and with the dictionary. A group has at most 512 samples, which tasks
+    pick before the shuffle."""
+    w = Window.partitionBy("kind").orderBy("doc_id")
+    picked = samples.where(F.length("sample") > 0).withColumn("n", F.row_number().over(w)).where(F.col("n") <= MAX_SAMPLES).drop("n")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        data = [bytes(b) for b in rows.sort_values("doc_id")["sample"]]
+        if len(data) < 8:
+            return pd.DataFrame({c: [] for c in ("kind", "samples", "dictionary", "alone", "with_dictionary")})
+        trained = zstandard.train_dictionary(DICTIONARY_BYTES, data)
+        size = lambda **more: sum(len(zstandard.ZstdCompressor(level=3, **more).compress(b)) for b in data)
+        return pd.DataFrame({"kind": [rows["kind"].iloc[0]], "samples": [len(data)], "dictionary": [trained.as_bytes()], "alone": [size()], "with_dictionary": [size(dict_data=trained)]})
+
+    return picked.groupBy("kind").applyInPandas(run, "kind string, samples long, dictionary binary, alone long, with_dictionary long")
+
+
+def q_dict_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary for each language's documents, from the first KiB of each, and what it saves."""
+    d = sampled(spark, sf_dir, WINDOW).select(F.coalesce("lang", F.lit("none")).alias("kind"), "doc_id", "sample")
+    return train(d).select("kind", "samples", F.length("dictionary").alias("dict_bytes"), "alone", "with_dictionary")
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -143,6 +143,17 @@ def q_layout_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_violations(b)
 
 
+def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
+    """Values of key, null among them, that more than one row has, and how many have them: of dictionaries, or of results, an error."""
+    return df.groupBy(key).count().where("count > 1").withColumnRenamed("count", "rows")
+
+
+def q_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result numbers of blocks, with planted faults: every 17th has the number of the one before."""
+    i = F.col("doc_id")
+    return duplicate_ids(read(spark, sf_dir, "documents").select(F.when(i % 17 == 3, i - 1).otherwise(i).alias("index")), "index")
+
+
 def q_dict_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks whose dictionary (by id and algorithm) isn't in the bank."""
     bank = spark.createDataFrame([(1, 1), (1, 3), (2, 3)], "dictionary_id int, flags int")

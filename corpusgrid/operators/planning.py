@@ -187,4 +187,24 @@ def q_dict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"dir_gate": (F.col("files") >= least) & (F.col("small_files") >= least), "file_gate": (F.col("files") >= least) & (F.col("mean_bytes") <= small)})
 
 
+def seeded_order(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """df with place, 1 to its rows, in an order that the seed draws: by digest of seed and key, ties by key. The same everywhere, on any
+    number of tasks."""
+    df = df.withColumns({"__d": F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))), "__one": F.lit(1)})
+    return running(df, [F.col("__d"), F.col(key)], {"place": "__one"}).drop("__d", "__one")
+
+
+def q_seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeded_order(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 42)
+
+
+def file_manifest(files: DataFrame) -> DataFrame:
+    """The manifest of archives that hold one file each: its last path component, at offset 0."""
+    return files.select(F.lit(1).cast("long").alias("entry_no"), F.regexp_extract("path", r"([^/]*)$", 1).alias("path"), F.lit("file").alias("kind"), "size", F.lit(0).cast("long").alias("content_offset"))
+
+
+def q_file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_manifest(document_files(spark, sf_dir))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -20,8 +20,11 @@ def normal_prefix(prefix: str) -> str:
     return "/".join(parts)
 
 
-def selected(files: DataFrame, prefixes: list[str] = (), regexes: list[str] = (), required: bool = False) -> DataFrame:
-    """Files whose path equals or is below a prefix, or that a regex finds anywhere. required: selecting nothing is an error."""
+def selected(files: DataFrame, prefixes: list[str] = (), regexes: list[str] = (), required: bool = False, is_directory: bool = True) -> DataFrame:
+    """Files whose path equals or is below a prefix, or that a regex finds anywhere. required: selecting nothing is an error. Filters on
+    an archive of a single file, not is_directory, are an error."""
+    if not is_directory and (prefixes or regexes):
+        raise ValueError("paths are selected in archives of directories only")
     test = F.lit(False)
     for p in map(normal_prefix, prefixes):
         test = test | (F.col("path") == p) | F.col("path").startswith(p + "/")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.plans.scale import running
+from corpusgrid.plans.scale import running, shared_folder
 from corpusgrid.sources.corpus import read
 
 
@@ -289,4 +291,33 @@ def q_steps_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("j.tool is not null and j.phase is not null and j.elapsed_ns is not null").select(F.col("j.tool").alias("tool"), F.col("j.phase").alias("phase"), F.col("j.elapsed_ns").alias("elapsed_ns"), F.coalesce("j.workers", F.lit("0")).alias("workers"))
 
 
+def write_steps(steps: DataFrame, folder: str) -> None:
+    """steps as JSON lines and as CSV with a header below the folder, and run.json: how many steps of each tool and phase."""
+    steps.write.json(f"{folder}/steps.jsonl")
+    steps.write.option("header", "true").csv(f"{folder}/steps.csv")
+    steps.groupBy("tool", "phase").agg(F.count("*").alias("steps"), F.sum("elapsed_ns").alias("elapsed_ns")).coalesce(1).write.json(f"{folder}/run.json")
+
+
+def q_steps_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of q_steps_jsonl, written and read again."""
+    folder = f"{shared_folder(spark).rstrip('/')}/steps-{uuid.uuid4().hex}"
+    write_steps(q_steps_jsonl(spark, sf_dir), folder)
+    return steps_jsonl(spark, f"{folder}/steps.jsonl").drop("ratio")
+
+
+def preset_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Presets of JSON files, each a list of objects with a name: a later file's values that aren't null replace an earlier one's of the
+    same name; presets of one file alone stay."""
+    out = None
+    for p in paths:
+        rows = spark.read.schema(PRESET_SCHEMA).option("multiLine", "true").json(p).where("preset is not null")
+        if out is None:
+            out = rows
+            continue
+        new = rows.select(*[F.col(c).alias(f"n_{c}") for c in rows.columns])
+        both = out.join(new, F.col("preset") == F.col("n_preset"), "full_outer")
+        out = both.select(*[F.coalesce(f"n_{c}", c).alias(c) for c in rows.columns])
+    return out
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")} | {k: on(steps, v, "steps") for k, v in ON_STEPS.items()} | {k: on(events, v, "events") for k, v in ON_EVENTS.items()}

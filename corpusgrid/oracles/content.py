@@ -44,7 +44,7 @@ SQL = {
     "classify_docs": f"with {CLASSED} select doc_id, ext, class from classed",
     "signatures": f"with {CLASSED} select doc_id, bucket, weight from sig where weight > 0",
     "avg_signature": f"with {MEANS} select * from means",
-    "sig_distance": f"with {MEANS} select doc_id, sum(abs(s.weight - m.weight))::int as distance from sig s join means m using (lang, bucket) group by doc_id",
+    "sig_distance": f"with {MEANS} select doc_id, sum(abs(s.weight - m.weight))::int as distance from sig s join means m on s.lang is not distinct from m.lang and s.bucket = m.bucket group by doc_id",
     "sample_caps": """with d as (select doc_id, lang, octet_length(encode(coalesce(text, '')))::bigint as size from documents),
       w as (select *, row_number() over (partition by lang order by doc_id) as n, coalesce(sum(size) over (partition by lang order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before from d)
       select lang, doc_id, size, before from w where n <= 512 and before < 131072""",

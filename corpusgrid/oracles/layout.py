@@ -212,8 +212,16 @@ SQL |= {
         from e full join a on e.path = a.path) where status is not null""",
 }
 
+SQL |= {
+    "seeded_shuffle": "select doc_id, row_number() over (order by md5('42|' || doc_id), doc_id) as place from documents",
+    "file_manifest": f"with {FILES} select 1::bigint as entry_no, string_split(path, '/')[-1] as path, 'file' as kind, size, 0::bigint as content_offset from files",
+    "duplicate_ids": """with d as (select case when doc_id % 17 = 3 then doc_id - 1 else doc_id end as index from documents)
+      select index, count(*) as rows from d group by index having count(*) > 1""",
+}
+
 PATHS = "select 'documents/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(doc_id::varchar, 'none') || case when doc_id % 17 = 0 then '.gz' else '.txt' end as path"
 SQL |= {
     "archive_entries": f"{PATHS}, 'file' as kind, octet_length(encode(coalesce(text, '')))::bigint as size from documents",
     "archive_files": f"{PATHS}, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as digest from documents",
+    "restore_tree": f"{PATHS}, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as digest from documents",
 }

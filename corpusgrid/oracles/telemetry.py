@@ -116,3 +116,4 @@ SQL = {
       select *, greatest(1, (data * 10 + 99) // 100) as parity, missing <= greatest(1, (data * 10 + 99) // 100) as repairable from g""",
     "steps_jsonl": """select event_type as tool, 'archive' as phase, event_id as elapsed_ns, if(event_id % 6 = 3, '4', '0') as workers from events where event_id % 6 in (3, 4, 5)""",
 }
+SQL["steps_written"] = SQL["steps_jsonl"]

@@ -316,7 +316,6 @@ def write_archives(files: DataFrame, folder: str, block: int, algo: str = "zstd"
     """files (path, data, force_raw) as archives, one a task, each a range of paths; uri, n_files, n_blocks of those whose attempts
     succeeded. Within an archive fragments aren't reordered: files are in order of path."""
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     rows = files.select("path", "data", "force_raw").repartitionByRange(n, "path").sortWithinPartitions("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,6 +385,26 @@ def read_files(manifest: DataFrame) -> DataFrame:
     return each_archive(manifest, contents, "path string, data binary")
 
 
+def restore(manifest: DataFrame, folder: str) -> DataFrame:
+    """Writes the archives' files below the folder, each under its path; path, size and uri of those written. An unsafe path is an error.
+    A file is written under its attempt's name and then moved, so that one that is there is whole, whichever attempt wrote it."""
+
+    def write(archive: Archive) -> Iterator[tuple]:
+        for path, data in contents(archive):
+            if path.startswith("/") or not path or ".." in path.split("/"):
+                raise ValueError(f"a path leaves the folder: {path!r}")
+            uri = f"{folder.rstrip('/')}/{path}"
+            fs, to = open_path(uri)
+            fs.create_dir(os.path.dirname(to), recursive=True)
+            part = f"{to}.part-{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(part, compression=None) as out:
+                out.write(data)
+            fs.move(part, to)
+            yield path, len(data), uri
+
+    return each_archive(manifest, write, "path string, size long, uri string")
+
+
 def archived(spark: SparkSession, sf_dir: str, algo: str) -> DataFrame:
     from corpusgrid.plans.scale import shared_folder
     from corpusgrid.sources.corpus import document_path, read
@@ -410,4 +429,16 @@ def q_archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(archived(spark, sf_dir, "zstd")).select("path", F.length("data").cast("long").alias("size"), F.sha2("data", 256).alias("digest"))
 
 
+def q_restore_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, written to archives, restored to files, and these scanned as a tree."""
+    from corpusgrid.plans.scale import shared_folder
+    from corpusgrid.sources.corpus import scan_tree
+
+    folder = f"{shared_folder(spark).rstrip('/')}/restored-{os.urandom(8).hex()}"
+    done = restore(archived(spark, sf_dir, "zstd"), folder)
+    done.write.parquet(f"{folder}-manifest")
+    files = scan_tree(spark, folder, content=True)
+    return files.select("path", "size", F.sha2("content", 256).alias("digest"))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}

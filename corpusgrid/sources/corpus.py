@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgrid.sources.container import open_path
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,7 +38,29 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(pages).unionByName(turns)
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path and size of the files below a folder, hidden ones included, without reading their content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """path (below the root), size, mtime and, if asked for, content of the files below a folder, empty and hidden ones included. Without
+    content none is read. The driver lists two levels; the folders below them are listed, and files read, by tasks."""
+    top = [(x.path, x.type == pafs.FileType.Directory) for x in listed(root, False)]
+    second = [(x.path, x.type == pafs.FileType.Directory) for p, d in top if d for x in listed(root, False, p)]
+    start = len(open_path(root)[1].rstrip("/")) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs = open_path(root)[0]
+        for batch in batches:
+            for path, folder in zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist()):
+                for x in listed(root, True, path) if folder else fs.get_file_info([path]):
+                    if x.type == pafs.FileType.File:
+                        data = fs.open_input_file(x.path).read() if content else None
+                        yield pa.RecordBatch.from_pylist([{"path": x.path[start:], "size": x.size, "mtime": x.mtime, "content": data}], rows)
+
+    rows = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("content", pa.binary())])
+    entries = [x for x in top if not x[1]] + second
+    found = spark.createDataFrame(entries, "path string, folder boolean").repartition(max(1, min(len(entries), 10_000)), "path")
+    found = found.mapInArrow(run, "path string, size long, mtime timestamp, content binary")
+    return found if content else found.drop("content")
+
+
+def listed(root: str, recursive: bool, path: str | None = None) -> list[pafs.FileInfo]:
+    fs, top = open_path(root)
+    return fs.get_file_info(pafs.FileSelector(path or top, recursive=recursive))

@@ -36,7 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, their number, and whether they decode to the text."""
-    rows = encode_decode(docs, default_tokenizer())
+    # the executors' heaps have grown in the stages before, so that workers hold less than they do for the operator alone
+    rows = encode_decode(docs, default_tokenizer(), pieces=150_000, part=1 << 20)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return rows.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgrid.llm.common import HELD, bounded, documents, slices, take_turn, text_of
+from corpusgrid.llm.common import HELD, bounded, documents, give_back, slices, take_turn, text_of
 
 #: Before a space that a character other than white space follows, the split pattern always starts a word; so the pieces
 #: between such spaces can be encoded apart. Texts with other spaces, or with code points on which notions of white space
@@ -82,15 +83,19 @@ class TrieBPE:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.rank = {m: i for i, m in enumerate(merges)}
         self.pair = {self.vocab[x] << 32 | self.vocab[y]: i for i, (x, y) in enumerate(merges)}
-        self.made = {x + y: (x, y, i) for i, (x, y) in reversed(list(enumerate(merges)))}
-        self.names = {i: t for t, i in self.vocab.items()}
+        # of each token its left part, its right part and the rank of their merge; -1 for a token that isn't merged
+        self.made = [array("i", [-1]) * (max(self.vocab.values()) + 1) for _ in range(3)]
+        for i, (x, y) in reversed(list(enumerate(merges))):
+            for column, value in zip(self.made, (self.vocab[x], self.vocab[y], i)):
+                column[self.vocab[x + y]] = value
+        names = {i: t for t, i in self.vocab.items()}
+        self.size = [len(names.get(i, "")) for i in range(len(self.made[0]))]
         # every beginning of a token, with the tokens that it ends in, longest first, once they have been asked for
         self.part: dict[str, tuple | None] = dict.fromkeys(t[:i] for t in self.vocab for i in range(1, len(t) + 1))
         self.spines: tuple[dict[int, list], dict[int, list]] = {}, {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: t for t, i in self.special.items()}
+        names |= {i: t for t, i in self.special.items()}
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
@@ -98,14 +103,14 @@ class TrieBPE:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        self.bytes = pa.array([bytes(byte[c] for c in self.names.get(i, "")) for i in range(max(self.names) + 1)], pa.large_binary())
+        self.bytes = pa.array([bytes(byte[c] for c in names.get(i, "")) for i in range(max(names) + 1)], pa.large_binary())
 
     def merge(self, word: str) -> list[str]:
         """Plain BPE, by rank: the definition that tests hold compatible() and words() against."""
-        parts = list(word)
+        parts, rank = list(word), lambda x, y: self.pair.get(self.vocab[x] << 32 | self.vocab[y], 1 << 60)
         while len(parts) > 1:
-            at = min(range(len(parts) - 1), key=lambda i: (self.rank.get((parts[i], parts[i + 1]), 1 << 60), i))
-            if (parts[at], parts[at + 1]) not in self.rank:
+            at = min(range(len(parts) - 1), key=lambda i: (rank(parts[i], parts[i + 1]), i))
+            if rank(parts[at], parts[at + 1]) == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
@@ -115,12 +120,12 @@ class TrieBPE:
         rank of the merge that ends it."""
         known = self.spines[side].get(token)
         if known is None:
-            name, until, known = self.names[token], 1 << 60, []
+            part, until, known = token, 1 << 60, []
             while True:
-                known.append((self.vocab[name], until))
-                if name not in self.made:
+                known.append((part, until))
+                if self.made[2][part] < 0:
                     break
-                until, name = self.made[name][2], self.made[name][side]
+                until, part = self.made[2][part], self.made[side][part]
             known = self.spines[side][token] = known[::-1]
         return known
 
@@ -176,7 +181,7 @@ class TrieBPE:
         out = []
         while depth:
             out.append(last[depth])
-            depth -= len(self.names[last[depth]])
+            depth -= self.size[last[depth]]
         return np.array(out[::-1], "<i4").tobytes()
 
     def words(self, words: list[str]) -> dict[str, bytes]:
@@ -241,15 +246,20 @@ LOADED: dict[str, tuple[TrieBPE, PieceCache]] = {}
 HELD[__name__] = LOADED.clear
 
 
+#: Pieces that a worker holds in one generation, and bytes of the texts whose pieces are made distinct at once.
+PIECES, PART = 250_000, 2 << 20
+
+
 def loaded(path: str) -> tuple[TrieBPE, PieceCache]:
     if path not in LOADED:
         bpe = TrieBPE(path)
-        LOADED[path] = bpe, PieceCache(bpe.encode_first, bpe.encode_spaced, bpe.encode_whole, list(bpe.special), 250_000)
+        LOADED[path] = bpe, PieceCache(bpe.encode_first, bpe.encode_spaced, bpe.encode_whole, list(bpe.special), PIECES)
+        give_back()  # what reading the file took
     return LOADED[path]
 
 
 def extended(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], text: str, limit: int = 1 << 20) -> DataFrame:
-    """df with more columns, from parts of batches bounded in bytes of the column text. Columns of the same names are replaced."""
+    """df with more columns, from parts of batches of about limit bytes of the column text. Columns of the same names are replaced."""
     names = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in names]
     schema = T.StructType([*kept, *fields])
@@ -258,6 +268,7 @@ def extended(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn(fn.__module__)
         for batch in batches:
+            give_back()
             for part in slices(batch, text, limit):
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *fn(part)], out_names)
 
@@ -277,7 +288,7 @@ DECODED = T.StructField("decoded", T.StringType())
 def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """df with ids: the whole text's tokens, as the tokenizers library gives them without added special tokens. The string of a
     special token in the text becomes that token. Null and empty texts have no ids. Rows stay where they are: no shuffle."""
-    return extended(df, [IDS], lambda part: [int_lists(loaded(tokenizer)[1].encode(part.column(text)))], text, 2 << 20)
+    return extended(df, [IDS], lambda part: [int_lists(loaded(tokenizer)[1].encode(part.column(text)))], text, PART)
 
 
 def decode(df: DataFrame, tokenizer: str) -> DataFrame:
@@ -293,15 +304,17 @@ def decode(df: DataFrame, tokenizer: str) -> DataFrame:
     return bounded(df).mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], DECODED]))
 
 
-def encode_decode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """encode and decode in one pass over the rows: df with ids and decoded."""
+def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", pieces: int = PIECES, part: int = PART) -> DataFrame:
+    """encode and decode in one pass over the rows: df with ids and decoded. pieces and part bound a worker's memory: fewer held pieces and
+    smaller parts take more time, for the same ids."""
 
     def fn(part: pa.RecordBatch) -> list[pa.Array]:
         bpe, cache = loaded(tokenizer)
+        cache.limit = pieces
         ids = cache.encode(part.column(text))
         return [int_lists(ids), pa.array(bpe.decode(ids), pa.string())]
 
-    return extended(df, [IDS, DECODED], fn, text, 2 << 20)
+    return extended(df, [IDS, DECODED], fn, text, part)
 
 
 def default_tokenizer() -> str:

@@ -86,17 +86,22 @@ def bounded(df: DataFrame) -> DataFrame:
 HELD: dict[str, Callable[[], None]] = {}
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def take_turn(module: str) -> None:
     """Called by an operator's tasks as they begin: a worker process serves one operator after another, and keeps the caches of the
-    present one alone. What is free goes back to the system, where the C library can do that."""
+    present one alone."""
     others = [empty for name, empty in HELD.items() if name != module]
     for empty in others:
         empty()
     if others:
         gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -201,11 +201,15 @@ def q_crc32c_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_corrupt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded against computed checksums, with planted faults; 0 means that none was recorded. All blocks are reported, not the first."""
-    d = q_crc32c_blocks(spark, sf_dir)
-    stored = F.when(F.col("doc_id") % 31 == 0, 0).when(F.col("doc_id") % 29 == 0, F.col("crc32c").bitwiseXOR(F.lit(1).cast("long"))).otherwise(F.col("crc32c"))
-    status = F.when(F.col("stored") == 0, "not recorded").when(F.col("stored") == F.col("crc32c"), "ok").otherwise("corrupt")
-    return d.withColumn("stored", stored).select("doc_id", status.alias("status"))
+    """Recorded checksums against those of blocks some of which were damaged since: every 29th has its first byte replaced, every 37th
+    is cut by a byte, every 41st has a byte more. 0 means that none was recorded. All blocks are reported, not the first."""
+    i, data = F.col("doc_id"), F.col("data")
+    first = F.when(F.substring(data, 1, 1) == F.lit(b"#"), F.lit(b"+")).otherwise(F.lit(b"#"))
+    hurt = F.when((i % 29 == 0) & (F.length(data) > 0), F.concat(first, F.substring(data, 2, 1 << 30)))
+    hurt = hurt.when((i % 37 == 0) & (F.length(data) > 0), F.expr("substring(data, 1, length(data) - 1)")).when(i % 41 == 0, F.concat(data, F.lit(b"\n"))).otherwise(data)
+    d = content(spark, sf_dir).select("doc_id", F.when(i % 31 == 0, 0).otherwise(crc32c_of("data")).alias("stored"), crc32c_of(hurt).alias("found"))
+    status = F.when(F.col("stored") == 0, "not recorded").when(F.col("stored") == F.col("found"), "ok").otherwise("corrupt")
+    return d.select("doc_id", status.alias("status"))
 
 
 def q_raw_dedup_window(spark: SparkSession, sf_dir: str, window: int = 16) -> DataFrame:

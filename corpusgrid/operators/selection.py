@@ -109,10 +109,9 @@ def encoded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumns({"algo": algo, "reference_target": ref, "raw_passthrough": raw & ref.isNull(), "encoded_len": enc.cast("long"), "block_end": F.col("raw_offset") + F.col("raw_len")})
 
 
-def file_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each file's share of its blocks' encoded bytes, by overlap."""
-    files = file_order(document_files(spark, sf_dir), BLOCK, n_docs(spark, sf_dir)).select("path", "size", "content_offset", "end")
-    hit = overlap_join(files, encoded_blocks(spark, sf_dir), "content_offset", "end", "raw_offset", "block_end", BLOCK)
+def costs_of(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each file's share of its blocks' encoded bytes, by overlap; files without content have no row."""
+    hit = overlap_join(files, blocks, "content_offset", "end", "raw_offset", "block_end", BLOCK)
     hit = hit.withColumn("overlap", F.least("end", "block_end") - F.greatest("content_offset", "raw_offset"))
     share = F.col("encoded_len") * F.col("overlap") / F.col("raw_len")
     near = ~F.col("raw_passthrough") & F.col("reference_target").isNull() & (F.col("encoded_len") / F.col("raw_len") >= 0.98)
@@ -121,6 +120,11 @@ def file_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("est_ratio", F.round(F.col("est_bytes") / F.col("size"), 6))
 
 
+def file_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = file_order(document_files(spark, sf_dir), BLOCK, n_docs(spark, sf_dir)).select("path", "size", "content_offset", "end")
+    return costs_of(files, encoded_blocks(spark, sf_dir))
+
+
 def q_file_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_costs(spark, sf_dir)
 

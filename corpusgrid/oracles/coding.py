@@ -13,5 +13,7 @@ SQL = {
              case when damaged <= parity then sha256(text) end as digest from d""",
     "aes_roundtrip": "select doc_id, octet_length(encode(coalesce(text, '')))::bigint + 28 as cipher_len, true as same from documents",
     "aes_wrong_key": "select distinct source, true as right_key, false as wrong_key from documents",
-    "corrupt_blocks": "select doc_id, case when doc_id % 31 = 0 then 'not recorded' when doc_id % 29 = 0 then 'corrupt' else 'ok' end as status from documents",
+    "corrupt_blocks": """select doc_id, case when doc_id % 31 = 0 or (coalesce(text, '') = '') then 'not recorded'
+      when doc_id % 29 = 0 or doc_id % 37 = 0 or doc_id % 41 = 0 then 'corrupt' else 'ok' end as status from documents""",
+    "archive_violations": "select doc_id as block_id, '' as violation from documents where false",
 }

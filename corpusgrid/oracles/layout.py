@@ -224,4 +224,5 @@ SQL |= {
     "archive_entries": f"{PATHS}, 'file' as kind, octet_length(encode(coalesce(text, '')))::bigint as size from documents",
     "archive_files": f"{PATHS}, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as digest from documents",
     "restore_tree": f"{PATHS}, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as digest from documents",
+    "archive_cost": f"select path, size, size as held_bytes, true as no_larger from ({PATHS}, octet_length(encode(coalesce(text, '')))::bigint as size from documents) where size > 0",
 }

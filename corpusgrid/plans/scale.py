@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Metadata rows up to which one task may hold a globally ordered window; beyond, two_level() ranges are used.
-ONE_TASK_ROWS = 2_000_000
+ONE_TASK_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:

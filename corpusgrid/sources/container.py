@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusgrid.functions.codecs import crc32c
+from corpusgrid.plans.scale import checkpointed, running, sized_broadcast
 
 # Magic numbers and versions of header, footer and manifest; flags of header, footer, blocks and entries.
 HEADER_MAGIC, HEADER_VERSION, FOOTER_MAGIC, FOOTER_VERSION = b"OXZ\0", 3, b"END\0", 2
@@ -228,7 +229,7 @@ class Archive:
 
     def __init__(self, uri: str):
         fs, path = open_path(uri)
-        self.file = fs.open_input_file(path)
+        self.uri, self.file = uri, fs.open_input_file(path)
         size = self.file.size()
         if size < HEADER.size + FOOTER.size:
             raise ValueError(f"{uri}: too short")
@@ -269,7 +270,8 @@ class Archive:
         return decode_block(flags, raw, payload, self.dictionaries.get(dictionary))
 
     def rows(self, first: int = 0, last: int | None = None) -> Iterator[tuple]:
-        for i, (encoded, raw, check, flags, dictionary) in list(enumerate(self.blocks))[first:last]:
+        for i in range(first, len(self.blocks) if last is None else min(last, len(self.blocks))):
+            encoded, raw, check, flags, dictionary = self.blocks[i]
             ref = check if flags & REFERENCE else None
             yield i, int(self.raw_at[i]), raw, int(self.payload_at[i]), encoded, None if ref is not None else check, ALGORITHMS.get(flags & 7), bool(flags & RAW), dictionary, ref
 
@@ -364,6 +366,19 @@ def read_blocks(manifest: DataFrame) -> DataFrame:
     return each_archive(manifest, lambda a: a.rows(), BLOCK_ROWS)
 
 
+def one_stream(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, files) of all archives as of one stream: each archive's blocks and files come after those of the archives before it by
+    name, block numbers, references and offsets counted on. Blocks as read_blocks(), files as read_entries()."""
+    sizes = each_archive(manifest, lambda a: [(a.uri, len(a.blocks), sum(b[1] for b in a.blocks))], "uri string, n_blocks long, n_bytes long")
+    starts = running(checkpointed(sizes), [F.col("uri")], {"blocks": "n_blocks", "bytes": "n_bytes"})
+    starts = sized_broadcast(checkpointed(starts.select("uri", (F.col("blocks") - F.col("n_blocks")).alias("b0"), (F.col("bytes") - F.col("n_bytes")).alias("r0"))), 100_000)
+    blocks = each_archive(manifest, lambda a: ((a.uri, *r) for r in a.rows()), f"uri string, {BLOCK_ROWS}").join(starts, "uri")
+    moved = {"block_id": F.col("block_id") + F.col("b0"), "reference_target": F.col("reference_target") + F.col("b0"), "raw_offset": F.col("raw_offset") + F.col("r0")}
+    files = each_archive(manifest, lambda a: ((a.uri, e.path, e.kind, e.size, e.content_offset) for e in a.entries), "uri string, path string, kind string, size long, content_offset long")
+    files = files.join(starts, "uri").withColumn("content_offset", F.when(F.col("kind") == "file", F.col("content_offset") + F.col("r0")).otherwise(0))
+    return blocks.withColumns(moved).drop("b0", "r0", "uri"), files.drop("b0", "r0", "uri")
+
+
 def read_entries(manifest: DataFrame) -> DataFrame:
     return each_archive(manifest, lambda a: ((e.path, e.kind, e.size, e.content_offset) for e in a.entries), "path string, kind string, size long, content_offset long")
 
@@ -420,6 +435,23 @@ def q_archive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("algo", "kind").agg(F.count("*").alias("blocks"), F.sum("raw_len").alias("raw_bytes"), F.sum("encoded_len").alias("encoded_bytes"))
 
 
+def q_archive_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the block tables of archives that were just written: nothing."""
+    from corpusgrid.operators.dedup import layout_violations
+
+    return layout_violations(checkpointed(one_stream(archived(spark, sf_dir, "zstd"))[0]))
+
+
+def q_archive_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file with content, in archives that were just written: its bytes by what the blocks that hold them are."""
+    from corpusgrid.operators.selection import costs_of
+
+    blocks, files = one_stream(archived(spark, sf_dir, "zstd"))
+    blocks = checkpointed(blocks.withColumn("block_end", F.col("raw_offset") + F.col("raw_len")))
+    c = costs_of(files.withColumn("end", F.col("content_offset") + F.col("size")), blocks)
+    return c.select("path", "size", F.expr("lz4_bytes + zstd_bytes + lzma_bytes + reference_bytes").alias("held_bytes"), (F.col("est_bytes") <= F.col("size")).alias("no_larger"))
+
+
 def q_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_entries(archived(spark, sf_dir, "lz4")).select("path", "kind", "size")
 

@@ -24,6 +24,18 @@ def test_query(spark, small_dir, name):
         assert got == want
 
 
+#: Queries that order all rows, which beyond a number of rows go over ranges of the order.
+ORDERED = ["manifest", "dir_blocks", "extents", "project_ranges", "chunk_runs", "layout_violations", "manifest_prefix", "seeded_shuffle", "stream_ids", "archive_violations"]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_queries_over_ranges(spark, small_dir, monkeypatch, name):
+    from corpusgrid.plans import scale
+
+    monkeypatch.setattr(scale, "ONE_TASK_ROWS", -1)
+    assert rows_of(QUERIES[name](spark, small_dir)) == oracle_rows(small_dir, SQL[name])[1]
+
+
 def test_entry_is_the_smallest_end_to_end_query(spark):
     import __spark_entry__
 
@@ -33,7 +45,7 @@ def test_entry_is_the_smallest_end_to_end_query(spark):
 #: Queries whose result depends on null and empty texts, and on null parts of paths.
 NULLABLE = [
     "raw_dedup", "block_dedup", "ref_fanin", "dup_report", "corpus_files", "file_order", "manifest", "manifest_stats", "manifest_prefix", "dict_gate", "dir_blocks", "extents", "prune_blocks",
-    "project_ranges", "file_cost", "implicit_dirs", "tree_diff", "select_union", "scan_chunks_fixed", "archive_files", "first_copies_stream", "entropy", "signatures", "dict_select",
+    "project_ranges", "file_cost", "implicit_dirs", "tree_diff", "select_union", "scan_chunks_fixed", "archive_files", "first_copies_stream", "entropy", "signatures", "dict_select", "rs_protect", "rs_repair", "restore_tree", "corrupt_blocks", "archive_violations", "archive_cost",
 ]
 
 

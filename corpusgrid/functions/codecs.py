@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import lzma
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +194,7 @@ def gf_inverse(m: np.ndarray) -> np.ndarray:
     return work[:, n:]
 
 
+@lru_cache(256)
 def rs_matrix(data: int, parity: int) -> np.ndarray:
     """Systematic coding matrix: a Vandermonde matrix of powers of the row numbers, times the inverse of its top."""
     rows, powers = np.arange(data + parity), []
@@ -201,7 +203,9 @@ def rs_matrix(data: int, parity: int) -> np.ndarray:
         powers.append(col)
         col = gf_mul(col, rows)
     v = np.stack(powers, axis=1)
-    return gf_matmul(v, gf_inverse(v[:data]))
+    out = gf_matmul(v, gf_inverse(v[:data]))
+    out.setflags(write=False)  # it is shared
+    return out
 
 
 def rs_parity(shards: np.ndarray, parity: int) -> np.ndarray:
@@ -210,11 +214,20 @@ def rs_parity(shards: np.ndarray, parity: int) -> np.ndarray:
 
 
 def rs_repair(shards: dict[int, np.ndarray], data: int, parity: int) -> np.ndarray:
-    """The data shards, from any `data` of all shards, by number."""
+    """The data shards, from any `data` of all shards, by number. As many parity shards as data shards are missing give equations for
+    these alone; the others are known."""
     if len(shards) < data:
         raise ValueError("more shards are missing than parity covers")
-    have = sorted(shards)[:data]
-    return gf_matmul(gf_inverse(rs_matrix(data, parity)[have]), np.stack([shards[i] for i in have]).astype(np.int64)).astype(np.uint8)
+    known, lost = ([i for i in range(data) if (i in shards) is there] for there in (True, False))
+    spare = [i for i in sorted(shards) if i >= data][: len(lost)]
+    out = dict(shards)
+    if lost:
+        rows = rs_matrix(data, parity)[spare]
+        sums = np.stack([shards[i] for i in spare]).astype(np.int64)
+        if known:
+            sums = sums ^ gf_matmul(rows[:, known], np.stack([shards[i] for i in known]).astype(np.int64))
+        out |= dict(zip(lost, gf_matmul(gf_inverse(rows[:, lost]), sums).astype(np.uint8)))
+    return np.stack([out[i] for i in range(data)]).astype(np.uint8)
 
 
 def compressed_size(algo: str, level: int | None, data: bytes) -> int:

@@ -16,24 +16,30 @@ from corpusgrid.operators.coding import content, parts
 SHARDS = "size long, data_shards int, shards array<binary>, crcs array<long>"
 
 
+def checksums(lists: list[list[bytes | None]]) -> list[list[int]]:
+    """The CRC-32C of each shard of each list, all computed side by side; of a missing one, as of none."""
+    every = iter(crc32c([s or b"" for shards in lists for s in shards]).tolist())
+    return [[next(every) for _ in shards] for shards in lists]
+
+
 def protect(files: DataFrame, percent: int = 20, least: int = 256, most: int = 40) -> DataFrame:
     """files (doc_id, data) as shards: of `least` bytes, longer where a file would have more than `most`, the last padded with zeros;
     then parity shards, percent of the data shards and at least one; a CRC-32C of each. An empty or null file has no shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(iter([batch])):
-                rows = []
-                for i, data in zip(part.column("doc_id").to_pylist(), part.column("data").to_pylist()):
-                    data = data or b""
-                    width = max(least, -(-len(data) // most))
-                    n = -(-len(data) // width)
-                    flat = np.frombuffer(data.ljust(n * width, b"\0"), np.uint8).reshape(n, width)
-                    shards = [x.tobytes() for x in (*flat, *rs_parity(flat, max(1, -(-n * percent // 100))))] if n else []
-                    rows.append((i, len(data), n, shards, crc32c(shards).tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "size", "data_shards", "shards", "crcs"])
-
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        for part in parts(batches):
+            sizes, counts, cut = [], [], []
+            for data in part.column("data").to_pylist():
+                data = data or b""
+                width = max(least, -(-len(data) // most))
+                n = -(-len(data) // width)
+                flat = np.frombuffer(data.ljust(n * width, b"\0"), np.uint8).reshape(n, width)
+                cut.append([x.tobytes() for x in (*flat, *rs_parity(flat, max(1, -(-n * percent // 100))))] if n else [])
+                sizes.append(len(data))
+                counts.append(n)
+            columns = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int32()), pa.array(cut, pa.list_(pa.binary())), pa.array(checksums(cut), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "size", "data_shards", "shards", "crcs"])
+
     return files.select("doc_id", "data").mapInArrow(run, f"doc_id long, {SHARDS}")
 
 
@@ -42,10 +48,9 @@ def repair(protected: DataFrame) -> DataFrame:
     parity covers) and data, null where lost. A file is one row's work: nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, size, n, shards, crcs in zip(*[batch.column(c).to_pylist() for c in names]):
-                sums = crc32c([s or b"" for s in shards]).tolist()
+        for part in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
+            rows, columns = [], [part.column(c).to_pylist() for c in names]
+            for i, size, n, shards, crcs, sums in zip(*columns, checksums(columns[3])):
                 good = {k: np.frombuffer(s, np.uint8) for k, (s, a, b) in enumerate(zip(shards, sums, crcs)) if s is not None and a == b}
                 bad, spare = len(shards) - len(good), len(shards) - n
                 if bad > spare:

@@ -59,9 +59,10 @@ class ChunkPolicy:
         return 8 * self.most
 
 
-def cdc_lengths(texts: list[bytes], least: int, target: int, most: int) -> list[np.ndarray]:
+def cdc_lengths(texts: list[bytes], least: int, target: int, most: int, starts: np.ndarray | None = None) -> list[np.ndarray]:
     """Chunk lengths of each byte string. No chunk crosses a multiple of the superchunk, 8 times the largest chunk, and the hash
-    starts anew there; so all superchunks of all strings are scanned side by side, a byte of each at a time."""
+    starts anew there; so all superchunks of all strings are scanned side by side, a byte of each at a time. starts: where in its
+    superchunk each string begins, which it then must not leave; 0 if not given."""
     span, lens = 8 * most, np.fromiter(map(len, texts), np.int64, len(texts))
     pieces = -(-lens // span)
     owner = np.repeat(np.arange(len(texts)), pieces)
@@ -73,8 +74,9 @@ def cdc_lengths(texts: list[bytes], least: int, target: int, most: int) -> list[
     short, long_ = (np.uint64(m) for m in cdc_masks(target))
     n = len(owner)
     h, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    limit = np.full(n, min(most, span), np.int64)
-    norm = np.full(n, min(max(target, min(least, min(most, span))), min(most, span)), np.int64)
+    phase = np.zeros(n, np.int64) if starts is None else np.asarray(starts, np.int64)[owner]
+    limit = np.minimum(most, span - phase)
+    norm = np.minimum(np.maximum(target, np.minimum(least, limit)), limit)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     one, rest = np.uint64(1), np.uint64(63)
     upto = n - np.searchsorted(size_of[::-1], np.arange(int(size_of[0]) if n else 0), "right")  # lanes longer than each step
@@ -91,7 +93,7 @@ def cdc_lengths(texts: list[bytes], least: int, target: int, most: int) -> list[
             found.append((cut, np.full(len(cut), step + 1), ss[cut]))
             hs[cut] = 0
             ss[cut] = 0
-            limit[cut] = max(1, min(most, span - (step + 1) % span))
+            limit[cut] = np.minimum(most, span - (phase[cut] + step + 1) % span)
             norm[cut] = np.minimum(np.maximum(target, np.minimum(least, limit[cut])), limit[cut])
     left = np.flatnonzero(size)  # what is left at the end of a string
     found.append((left, size_of[left], size[left]))

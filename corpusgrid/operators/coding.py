@@ -17,8 +17,8 @@ from corpusgrid.functions.bytes import histograms
 from corpusgrid.functions.codecs import cdc_lengths, compressed_size, crc32c, rs_parity
 from corpusgrid.operators.content import MAX_SAMPLES, classified
 from corpusgrid.operators.dedup import canonical, sized
-from corpusgrid.operators.planning import document_files
-from corpusgrid.plans.scale import checkpointed
+from corpusgrid.operators.planning import document_files, runs
+from corpusgrid.plans.scale import checkpointed, sized_broadcast
 from corpusgrid.sources.corpus import read
 
 # Least block of a probe and its windows, members of a cluster, clusters of a class, rounds of refinement.
@@ -67,6 +67,56 @@ def q_cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc_chunks(content(spark, sf_dir), 256, 1024, 2048)
 
 
+def cdc_stream(placed: DataFrame, files: DataFrame, least: int, target: int, most: int) -> DataFrame:
+    """The files' content one after another, cut as one stream: run_id, force_raw, chunk_offset (in the stream), chunk_len. A chunk also
+    ends where a run does, while superchunks go on at multiples of the stream's offset. placed: doc_id, run_id, force_raw and
+    content_offset of the files with content (planning.runs); files: doc_id, data.
+
+    Every superchunk is cut on its own, as no chunk crosses its end; so content moves once, to the superchunk it is in, and no
+    task holds more than one superchunk and some MB."""
+    span, meta = 8 * most, ["run_id", "force_raw", "content_offset"]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            rows = []
+            for data, run, raw, at in zip(*[batch.column(c).to_pylist() for c in ("data", *meta)]):
+                ends = [*range(span - at % span, len(data), span), len(data)]
+                rows += [((at + a) // span, run, raw, at + a, data[a:b]) for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, key = [], 0, None  # [run, raw, start, pieces] of each stretch of a run in a superchunk
+        for batch in batches:
+            for part, run, raw, at, data in zip(*[batch.column(c).to_pylist() for c in names]):
+                if key != (part, run):
+                    if size >= 8 << 20:
+                        yield lengths(held)
+                        held, size = [], 0
+                    held.append((run, raw, at, []))
+                    key = part, run
+                held[-1][3].append(data)
+                size += len(data)
+        if held:
+            yield lengths(held)
+
+    def lengths(held: list[tuple]) -> pa.RecordBatch:
+        starts = np.array([at for _, _, at, _ in held], np.int64)
+        lens = cdc_lengths([b"".join(x) for *_, x in held], least, target, most, starts % span)
+        owner = np.repeat(np.arange(len(held)), [len(x) for x in lens])
+        at = np.concatenate([a + np.cumsum(x) - x for a, x in zip(starts, lens)])
+        return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held]).take(pa.array(owner)) for i in (0, 1)] + [pa.array(at), pa.array(np.concatenate(lens))], ["run_id", "force_raw", "chunk_offset", "chunk_len"])
+
+    names, kinds = ["part", "run_id", "force_raw", "at", "data"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+    placed = sized_broadcast(checkpointed(placed.select("doc_id", *meta)), 1_000_000)
+    rows = files.select("doc_id", "data").join(placed, "doc_id").select("data", *meta).mapInArrow(pieces, "part long, run_id long, force_raw boolean, at long, data binary")
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "part").sortWithinPartitions("part", "at").mapInArrow(cut, "run_id long, force_raw boolean, chunk_offset long, chunk_len long")
+
+
+def q_cdc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc_stream(runs(document_files(spark, sf_dir), 65_536), content(spark, sf_dir), 256, 1024, 2048)
+
+
 def q_codec_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source and codec: bytes before and after, and the ratio; raw where a codec doesn't help."""
 

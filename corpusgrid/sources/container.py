@@ -11,8 +11,10 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from corpusgrid.functions.bytes import SAMPLE, profile
 from corpusgrid.functions.codecs import crc32c
 from corpusgrid.plans.scale import checkpointed, running, sized_broadcast
 
@@ -90,9 +93,53 @@ class Entry:
     content_offset: int = 0
 
 
-def encode_manifest(entries: list[Entry]) -> bytes:
-    """Entries without dictionaries; each is coded against the one before."""
-    out, before = [b"OXM3\x03", varint(0), varint(len(entries))], Entry("")
+@dataclass(frozen=True)
+class Dictionary:
+    """kind: a class of content, or Extension: and an extension. signature: 16 bytes, the mean of the samples'."""
+
+    id: int
+    kind: str
+    samples: int
+    sample_bytes: int
+    signature: bytes
+    data: bytes
+    algo: str = "zstd"
+
+
+class Bank:
+    """Dictionaries, 255 at most, and which of them suits a block: its extension's before its class's, less the distance of the
+    signatures; ties by samples, bytes, id."""
+
+    def __init__(self, dictionaries: list[Dictionary]):
+        ids = [d.id for d in dictionaries]
+        if len(set(ids)) < len(ids) or not all(0 < i < 256 for i in ids) or not all(d.data for d in dictionaries):
+            raise ValueError("dictionaries have ids of their own from 1 to 255, and none is empty")
+        self.dictionaries, self.codecs = dictionaries, {}
+
+    def choose(self, algo: str, ext: str | None, data: bytes) -> Dictionary | None:
+        if not any(d.algo == algo for d in self.dictionaries) or algo != "zstd":
+            return None
+        p = profile.func(pd.Series([data[:SAMPLE]])).iloc[0]
+        reach = {f"Extension:{ext}": 20_000, p["class"]: 10_000}
+        apart = lambda d: int(np.abs(np.frombuffer(d.signature, np.uint8).astype(np.int64) - p["signature"]).sum())
+        fit = [(reach[d.kind] - apart(d), d.samples, d.sample_bytes, d.id, d) for d in self.dictionaries if d.algo == algo and d.kind in reach]
+        return max(fit, key=lambda x: x[:4])[4] if fit else None
+
+    def compress(self, d: Dictionary, data: bytes) -> bytes:
+        if d.id not in self.codecs:
+            self.codecs[d.id] = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d.data))
+        return self.codecs[d.id].compress(data)
+
+
+def encode_manifest(entries: list[Entry], dictionaries: list[Dictionary] = ()) -> bytes:
+    """Dictionaries, then entries, each coded against the one before."""
+    out, before = [b"OXM3\x03", varint(len(dictionaries))], Entry("")
+    for d in dictionaries:
+        kind, _, ext = d.kind.partition(":")
+        out += [bytes([d.id, next(n for n, a in ALGORITHMS.items() if a == d.algo), next(n for n, c in CLASSES.items() if c == kind)])]
+        out += [varint(len(ext.encode())), ext.encode()] if ext else []
+        out += [varint(d.samples), varint(d.sample_bytes), d.signature, varint(len(d.data)), d.data]
+    out.append(varint(len(entries)))
     for e in entries:
         new = {MODE: e.mode != before.mode, UID: e.uid != before.uid, GID: e.gid != before.gid, SECONDS: e.seconds != before.seconds, NANOS: e.nanos != before.nanos}
         path, prev = e.path.encode(), before.path.encode()
@@ -109,7 +156,7 @@ def encode_manifest(entries: list[Entry]) -> bytes:
     return b"".join(out)
 
 
-def decode_manifest(data: bytes) -> tuple[list[Entry], dict[int, bytes]]:
+def decode_manifest(data: bytes) -> tuple[list[Entry], dict[int, Dictionary]]:
     """Entries with their content offsets, and dictionaries by id."""
     b = Bytes(data)
     version = MANIFEST_MAGICS.get(b.take(4))
@@ -117,16 +164,15 @@ def decode_manifest(data: bytes) -> tuple[list[Entry], dict[int, bytes]]:
         raise ValueError("no manifest of a known version")
     dictionaries = {}
     for _ in range(b.number()):
-        name, _algo, kind = b.take(3)
-        if CLASSES.get(kind) is None:
-            raise ValueError("a dictionary of an unknown class")
-        if CLASSES[kind] == "Extension":
-            b.take(b.number())
+        name, algo, number = b.take(3)
+        kind, about = CLASSES.get(number), (0, 0, bytes(16))
+        if kind is None or algo not in ALGORITHMS or name in dictionaries or not name:
+            raise ValueError("a dictionary of an unknown class or codec, or with another's id")
+        if kind == "Extension":
+            kind = f"Extension:{b.take(b.number()).decode()}"
         if version >= 3:
-            b.number()
-            b.number()
-            b.take(16)
-        dictionaries[name] = b.take(b.number())
+            about = b.number(), b.number(), b.take(16)
+        dictionaries[name] = Dictionary(name, kind, *about, b.take(b.number()), ALGORITHMS[algo])
     entries, e, offset = [], Entry(""), 0
     for _ in range(b.number()):
         flags = b.take(1)[0]
@@ -187,11 +233,17 @@ def packed(data: bytes) -> tuple[bytes, bool]:
     return (small, True) if len(small) < len(data) else (data, False)
 
 
-def archive_bytes(files: Iterator[tuple[str, bytes, bool]], block: int, algo: str, totals: dict) -> Iterator[bytes]:
+def ext_of(path: str) -> str | None:
+    stem, _, ext = path.rpartition("/")[2].rpartition(".")
+    return ext.lower() if stem and ext else None
+
+
+def archive_bytes(files: Iterator[tuple[str, bytes, bool]], block: int, algo: str, totals: dict, bank: Bank | None = None) -> Iterator[bytes]:
     """An archive's bytes, a block at a time: files (path, content, force raw) are concatenated, and a block ends when it is full or
-    when the raw policy changes. A block equal to an earlier one refers to it."""
+    when the raw policy changes. A block equal to an earlier one refers to it. With a bank, a block is compressed with the dictionary
+    that suits it; a block of files with several extensions has none of its own."""
     yield HEADER.pack(HEADER_MAGIC, HEADER_VERSION, IS_DIRECTORY | PATH_PREFIX | INHERIT | IMPLICIT_CONTENT | IMPLICIT_CHUNKS, bytes(16))
-    at, table, entries, seen, held, raw_now = HEADER.size, [], [], {}, bytearray(), False
+    at, table, entries, seen, held, raw_now, exts = HEADER.size, [], [], {}, bytearray(), False, set()
 
     def full(data: bytes, raw: bool) -> bytes:
         nonlocal at
@@ -201,7 +253,12 @@ def archive_bytes(files: Iterator[tuple[str, bytes, bool]], block: int, algo: st
             return b""
         seen[key] = len(table)
         flags, payload = encode_block(algo, data, raw)
-        table.append(DESCRIPTOR.pack(len(payload), len(data), int(crc32c([payload])[0]), flags, 0))
+        d = None if raw or bank is None else bank.choose(algo, next(iter(exts)) if len(exts) == 1 else None, data)
+        helped = bank.compress(d, data) if d else payload
+        used = d.id if len(helped) < len(payload) else 0
+        if used:
+            flags, payload = flags & ~RAW, helped
+        table.append(DESCRIPTOR.pack(len(payload), len(data), int(crc32c([payload])[0]), flags, used))
         at += len(payload)
         return payload
 
@@ -211,13 +268,18 @@ def archive_bytes(files: Iterator[tuple[str, bytes, bool]], block: int, algo: st
             if held:
                 yield full(bytes(held), raw_now)
             held, raw_now = bytearray(), raw
+        if not held:
+            exts = set()
+        if content:
+            exts.add(ext_of(path))
         held += content
         while len(held) >= block:
             yield full(bytes(held[:block]), raw_now)
             del held[:block]
+            exts = {ext_of(path)}  # what is left is the last file's
     if held:
         yield full(bytes(held), raw_now)
-    manifest, m_small = packed(encode_manifest(entries))
+    manifest, m_small = packed(encode_manifest(entries, bank.dictionaries if bank else []))
     chunks, c_small = packed(b"".join(table))
     totals |= {"n_files": len(entries), "n_blocks": len(table)}
     yield manifest + chunks
@@ -233,14 +295,14 @@ class Archive:
         size = self.file.size()
         if size < HEADER.size + FOOTER.size:
             raise ValueError(f"{uri}: too short")
-        magic, version, self.flags, _salt = HEADER.unpack(self.part(0, HEADER.size))
+        magic, version, self.flags, self.salt = HEADER.unpack(self.part(0, HEADER.size))
         end, end_version, packing, count, m_at, m_len, c_at, c_len, _crc = FOOTER.unpack(self.part(size - FOOTER.size, FOOTER.size))
         if (magic, version, end, end_version) != (HEADER_MAGIC, HEADER_VERSION, FOOTER_MAGIC, FOOTER_VERSION):
             raise ValueError(f"{uri}: not an archive of a known version")
-        if self.flags & ENCRYPTED:
-            raise ValueError(f"{uri}: encrypted archives aren't read here")
+        self.encrypted = bool(self.flags & ENCRYPTED)
         unpack = lambda b: zstandard.ZstdDecompressor().decompress(b, max_output_size=MANIFEST_MAX)
         manifest, chunks = self.part(m_at, m_len), self.part(c_at, c_len)
+        self.packed_manifest = manifest, packing & MANIFEST_PACKED
         self.entries, self.dictionaries = decode_manifest(unpack(manifest) if packing & MANIFEST_PACKED else manifest)
         chunks = unpack(chunks) if packing & TABLE_PACKED else chunks
         if len(chunks) != count * DESCRIPTOR.size:
@@ -264,10 +326,18 @@ class Archive:
         encoded, raw, check, flags, dictionary = self.blocks[i]
         if flags & REFERENCE:
             return self.block(check, verify)
+        if self.encrypted:
+            raise ValueError(f"{self.uri}: encrypted; recode() it with its key first")
         payload = self.part(int(self.payload_at[i]), encoded)
         if verify and check and int(crc32c([payload])[0]) != check:
             raise ValueError(f"block {i} is corrupt")
-        return decode_block(flags, raw, payload, self.dictionaries.get(dictionary))
+        return decode_block(flags, raw, payload, self.dictionaries[dictionary].data if dictionary else None)
+
+    def payloads(self) -> Iterator[tuple]:
+        """(uri, block, what is stored of it): empty for a reference, and for block -1, which stands for the archive."""
+        yield self.uri, -1, b""
+        for i, at in enumerate(self.payload_at.tolist()):
+            yield self.uri, i, self.part(at, self.blocks[i][0])
 
     def rows(self, first: int = 0, last: int | None = None) -> Iterator[tuple]:
         for i in range(first, len(self.blocks) if last is None else min(last, len(self.blocks))):
@@ -314,9 +384,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArchiveSource)
 
 
-def write_archives(files: DataFrame, folder: str, block: int, algo: str = "zstd") -> DataFrame:
+def write_archives(files: DataFrame, folder: str, block: int, algo: str = "zstd", bank: DataFrame | None = None) -> DataFrame:
     """files (path, data, force_raw) as archives, one a task, each a range of paths; uri, n_files, n_blocks of those whose attempts
-    succeeded. Within an archive fragments aren't reordered: files are in order of path."""
+    succeeded. Within an archive fragments aren't reordered: files are in order of path. bank: the dictionaries to compress with, as
+    content.train_bank() or read_bank() give them, 255 at most."""
+    known = bank_of(bank) if bank is not None else None
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = files.select("path", "data", "force_raw").repartitionByRange(n, "path").sortWithinPartitions("path")
 
@@ -325,19 +397,30 @@ def write_archives(files: DataFrame, folder: str, block: int, algo: str = "zstd"
         first = next(every, None)
         if first is None:
             return
-        task, totals = TaskContext.get(), {}
-        uri = f"{folder.rstrip('/')}/part-{task.partitionId():06d}-{task.taskAttemptId()}.archive"
-        fs, path = open_path(uri)
-        fs.create_dir(os.path.dirname(path), recursive=True)
-        with fs.open_output_stream(path, compression=None) as out:
-            for part in archive_bytes((x for y in ([first], every) for x in y), block, algo, totals):
-                out.write(part)
+        totals: dict = {}
+        uri = written(folder, archive_bytes((x for y in ([first], every) for x in y), block, algo, totals, known))
         yield pa.RecordBatch.from_pydict({"uri": [uri], "n_files": [totals["n_files"]], "n_blocks": [totals["n_blocks"]]})
 
-    out = rows.mapInArrow(run, "uri string, n_files long, n_blocks long")
+    return kept(rows.mapInArrow(run, "uri string, n_files long, n_blocks long"), folder)
+
+
+def written(folder: str, data: Iterator[bytes], number: int = 0) -> str:
+    """Writes a task's archive under its attempt's name."""
+    task = TaskContext.get()
+    uri = f"{folder.rstrip('/')}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{number}.archive"
+    fs, path = open_path(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    with fs.open_output_stream(path, compression=None) as out:
+        for part in data:
+            out.write(part)
+    return uri
+
+
+def kept(rows: DataFrame, folder: str) -> DataFrame:
+    """The manifest of the archives that attempts which succeeded have written, kept with them."""
     at = f"{folder.rstrip('/')}/manifest"
-    out.write.parquet(at)
-    return files.sparkSession.read.schema(out.schema).parquet(at)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
 
 
 def each_archive(manifest: DataFrame, fn, schema: str) -> DataFrame:
@@ -347,12 +430,13 @@ def each_archive(manifest: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("uri").to_pylist():
-                rows = []
+                rows, size = [], 0
                 for row in fn(Archive(uri)):
                     rows.append(row)
-                    if len(rows) == 1000:
+                    size += sum(len(x) for x in row if isinstance(x, bytes))
+                    if len(rows) == 1000 or size > 16 << 20:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], arrow)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], arrow)
 
@@ -379,6 +463,83 @@ def one_stream(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blocks.withColumns(moved).drop("b0", "r0", "uri"), files.drop("b0", "r0", "uri")
 
 
+BANK = "id int, kind string, samples long, sample_bytes long, signature binary, dictionary binary"
+
+
+def read_bank(manifest: DataFrame) -> DataFrame:
+    """The dictionaries of archives, to compress others with: uri, and what content.train_bank() gives."""
+    return each_archive(manifest, lambda a: ((a.uri, d.id, d.kind, d.samples, d.sample_bytes, d.signature, d.data) for d in a.dictionaries.values()), f"uri string, {BANK}")
+
+
+def bank_of(rows: DataFrame) -> Bank:
+    """Collects 255 dictionaries at most; more, or equal ids, are an error."""
+    rows = rows.select(*[c.strip().split()[0] for c in BANK.split(",")]).limit(256).collect()
+    return Bank([Dictionary(r["id"], r["kind"], r["samples"], r["sample_bytes"], bytes(r["signature"]), bytes(r["dictionary"])) for r in sorted(rows)])
+
+
+def rewritten(a: Archive, payloads: Iterator[bytes], encrypted: bool, salt: bytes) -> Iterator[bytes]:
+    """An archive's bytes with other payloads of the same blocks."""
+    yield HEADER.pack(HEADER_MAGIC, HEADER_VERSION, a.flags & ~ENCRYPTED | ENCRYPTED * encrypted, salt if encrypted else bytes(16))
+    at, table = HEADER.size, []
+    for (_, raw, check, flags, dictionary), payload in zip(a.blocks, payloads, strict=True):
+        table.append(DESCRIPTOR.pack(len(payload), raw, check if flags & REFERENCE else int(crc32c([payload])[0]), flags, dictionary))
+        at += len(payload)
+        yield payload
+    (manifest, m_small), (chunks, c_small) = a.packed_manifest, packed(b"".join(table))
+    yield manifest + chunks
+    yield FOOTER.pack(FOOTER_MAGIC, FOOTER_VERSION, m_small | TABLE_PACKED * c_small, len(table), at, len(manifest), at + len(manifest), len(chunks), 0)
+
+
+def header_flags(uri: str) -> int | None:
+    """The flags in a file's header; None if it isn't an archive."""
+    fs, path = open_path(uri)
+    with fs.open_input_file(path) as f:
+        head = f.read(HEADER.size)
+    return HEADER.unpack(head)[2] if len(head) == HEADER.size and head[:4] == HEADER_MAGIC else None
+
+
+def recode(manifest: DataFrame, folder: str, old: str | None = None, new: str | None = None, salt: bytes = bytes(16)) -> DataFrame:
+    """The archives again, their stored blocks decrypted with old and encrypted with new (AES-256-GCM: nonce, content, tag), either of
+    which may be None; nothing is compressed anew, and references remain. uri, n_files, n_blocks as write_archives(). Archives that are
+    encrypted and old is None, or the other way round, are an error, as is a wrong key. salt goes into the header: keys are the
+    caller's. Keys are literals of the plan: who may see plans sees them."""
+    data = F.col("payload")
+    for key, code in ((old, F.aes_decrypt), (new, F.aes_encrypt)):
+        data = data if key is None else F.when(F.length(data) > 0, code(data, F.lit(key), F.lit("GCM"))).otherwise(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (x for b in batches for x in zip(*[b.column(c).to_pylist() for c in ("uri", "block_id", "payload")]))
+        for number, (uri, rows) in enumerate(groupby(every, key=lambda r: r[0])):
+            a = Archive(uri)
+            if a.encrypted != (old is not None):
+                raise ValueError(f"{uri}: {'no key for an encrypted archive' if a.encrypted else 'not encrypted'}")
+            to = written(folder, rewritten(a, (r[2] for r in rows if r[1] >= 0), new is not None, salt), number)
+            yield pa.RecordBatch.from_pydict({"uri": [to], "n_files": [len(a.entries)], "n_blocks": [len(a.blocks)]})
+
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = each_archive(manifest, lambda a: a.payloads(), "uri string, block_id long, payload binary").select("uri", "block_id", data.alias("payload"))
+    return kept(rows.repartition(n, "uri").sortWithinPartitions("uri", "block_id").mapInArrow(run, "uri string, n_files long, n_blocks long"), folder)
+
+
+def flags_of(manifest: DataFrame) -> DataFrame:
+    """uri, is_archive, encrypted and recovery (whether the archive says that it has recovery data), from the first 24 bytes alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = {uri: header_flags(uri) for uri in batch.column("uri").to_pylist()}
+            rows = [{"uri": u, "is_archive": f is not None, "encrypted": bool((f or 0) & ENCRYPTED), "recovery": bool((f or 0) & RECOVERY)} for u, f in flags.items()]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("uri", pa.string()), *((c, pa.bool_()) for c in ("is_archive", "encrypted", "recovery"))]))
+
+    return manifest.select("uri").mapInArrow(run, "uri string, is_archive boolean, encrypted boolean, recovery boolean")
+
+
+def opens(manifest: DataFrame, key: str) -> DataFrame:
+    """uri and opens: whether the key decrypts the archive's first stored block; any does if none is stored, or nothing is encrypted."""
+    first = each_archive(manifest, lambda a: ((a.uri, a.encrypted, next((x[2] for x in a.payloads() if x[2]), None)),), "uri string, encrypted boolean, payload binary")
+    tried = F.try_aes_decrypt("payload", F.lit(key), F.lit("GCM")).isNotNull()
+    return first.select("uri", (~F.col("encrypted") | F.col("payload").isNull() | tried).alias("opens"))
+
+
 def read_entries(manifest: DataFrame) -> DataFrame:
     return each_archive(manifest, lambda a: ((e.path, e.kind, e.size, e.content_offset) for e in a.entries), "path string, kind string, size long, content_offset long")
 
@@ -420,13 +581,21 @@ def restore(manifest: DataFrame, folder: str) -> DataFrame:
     return each_archive(manifest, write, "path string, size long, uri string")
 
 
-def archived(spark: SparkSession, sf_dir: str, algo: str) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
     from corpusgrid.plans.scale import shared_folder
+
+    return f"{shared_folder(spark).rstrip('/')}/archives-{os.urandom(8).hex()}"
+
+
+def to_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusgrid.sources.corpus import document_path, read
 
     docs = read(spark, sf_dir, "documents")
-    files = docs.select(document_path().alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), (F.col("doc_id") % 17 == 0).alias("force_raw"))
-    return write_archives(files, f"{shared_folder(spark).rstrip('/')}/archives-{os.urandom(8).hex()}", 65_536, algo)
+    return docs.select(document_path().alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), (F.col("doc_id") % 17 == 0).alias("force_raw"))
+
+
+def archived(spark: SparkSession, sf_dir: str, algo: str, block: int = 65_536, bank: DataFrame | None = None) -> DataFrame:
+    return write_archives(to_archive(spark, sf_dir), new_folder(spark), block, algo, bank)
 
 
 def q_archive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,6 +630,32 @@ def q_archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(archived(spark, sf_dir, "zstd")).select("path", F.length("data").cast("long").alias("size"), F.sha2("data", 256).alias("digest"))
 
 
+def q_archive_encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, written, encrypted without being compressed anew, decrypted likewise, and restored."""
+    from corpusgrid.operators.coding import KEY
+
+    hidden = recode(archived(spark, sf_dir, "zstd"), new_folder(spark), new=KEY)
+    return read_files(recode(hidden, new_folder(spark), old=KEY)).select("path", F.length("data").cast("long").alias("size"), F.sha2("data", 256).alias("digest"))
+
+
+def q_archive_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives before and after they are encrypted: what their headers say, and whether the right key and another one open them."""
+    from corpusgrid.operators.coding import KEY
+
+    plain = archived(spark, sf_dir, "lz4")
+    both = plain.withColumn("state", F.lit("plain")).unionByName(recode(plain, new_folder(spark), new=KEY).withColumn("state", F.lit("encrypted"))).select("uri", "state")
+    rows = both.join(flags_of(both), "uri").join(opens(both, KEY), "uri").join(opens(both, KEY[::-1]).withColumnRenamed("opens", "other"), "uri")
+    return rows.groupBy("state").agg(F.bool_and("is_archive").alias("archives"), F.bool_and("encrypted").alias("encrypted"), F.bool_or("recovery").alias("recovery"), F.bool_and("opens").alias("right_key"), F.bool_and("other").alias("wrong_key"))
+
+
+def q_archive_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, written with dictionaries trained on them, again with those that one of the archives holds, and restored."""
+    from corpusgrid.operators.content import train_bank
+
+    first = archived(spark, sf_dir, "zstd", 4096, train_bank(to_archive(spark, sf_dir)))
+    return read_files(archived(spark, sf_dir, "zstd", 4096, read_bank(first.orderBy("uri").limit(1)))).select("path", F.length("data").cast("long").alias("size"), F.sha2("data", 256).alias("digest"))
+
+
 def q_restore_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, written to archives, restored to files, and these scanned as a tree."""
     from corpusgrid.plans.scale import shared_folder

@@ -176,6 +176,50 @@ def test_trained_dictionaries_help(spark):
     assert rows and all(r["dict_bytes"] <= content.DICTIONARY_BYTES and r["with_dictionary"] < r["alone"] for r in rows)
 
 
+def test_archives_compress_with_dictionaries(spark, small_dir):
+    from corpusgrid.sources import container
+
+    bank = content.train_bank(container.to_archive(spark, small_dir))
+    helped = container.archived(spark, small_dir, "zstd", 2048, bank)
+    size = lambda m: container.read_blocks(m).where("not raw_passthrough").agg(F.sum("encoded_len"), F.sum(F.expr("int(dictionary_id > 0)"))).first()
+    with_bank, without = size(helped), size(container.archived(spark, small_dir, "zstd", 2048))
+    assert with_bank[0] < without[0] and with_bank[1] > 0 == without[1]
+    imported = container.read_bank(helped.orderBy("uri").limit(1)).drop("uri")
+    assert sorted(map(tuple, imported.collect())) == sorted(map(tuple, bank.collect()))
+    with pytest.raises(ValueError, match="ids of their own"):
+        container.bank_of(imported.union(imported))
+
+
+def test_encrypted_archives(spark, tmp_path):
+    from corpusgrid.sources import container
+
+    texts = [("a.txt", b"one " * 500, False), ("b.txt", b"one " * 500, False), ("c", b"", False), ("d.gz", bytes(range(256)), True)]
+    files = spark.createDataFrame(texts, "path string, data binary, force_raw boolean")
+    plain = container.write_archives(files, f"file://{tmp_path}/plain", 1000)
+    hidden = container.recode(plain, f"file://{tmp_path}/hidden", new=coding.KEY, salt=b"s" * 16)
+    again = container.recode(hidden, f"file://{tmp_path}/again", old=coding.KEY)
+    assert {r["path"]: bytes(r["data"]) for r in container.read_files(again).collect()} == {p: b for p, b, _ in texts}
+    table = lambda m: sorted(tuple(r) for r in container.read_blocks(m).drop("checksum").collect())
+    assert table(again) == table(plain) != table(hidden)
+    stored = lambda m: sum(r["encoded_len"] + 0 for r in container.read_blocks(m).collect())
+    n = container.read_blocks(plain).where("reference_target is null").count()
+    assert stored(hidden) == stored(plain) + 28 * n and container.read_blocks(plain).where("reference_target is not null").count() > 0
+    assert all(container.Archive(r["uri"]).salt == b"s" * 16 for r in hidden.collect())
+    for fails in (lambda: container.read_files(hidden), lambda: container.recode(hidden, f"file://{tmp_path}/x"), lambda: container.recode(plain, f"file://{tmp_path}/y", old=coding.KEY), lambda: container.recode(hidden, f"file://{tmp_path}/z", old=coding.KEY[::-1])):
+        with pytest.raises(Exception):
+            fails().collect()
+
+
+def test_archives_of_empty_files_are_recoded(spark, tmp_path):
+    from corpusgrid.sources import container
+
+    files = spark.createDataFrame([("a", b"", False)], "path string, data binary, force_raw boolean")
+    hidden = container.recode(container.write_archives(files, f"file://{tmp_path}/plain", 64), f"file://{tmp_path}/hidden", new=coding.KEY)
+    assert [(r["encrypted"], r["recovery"]) for r in container.flags_of(hidden).collect()] == [(True, False)]
+    assert [r["path"] for r in container.read_files(container.recode(hidden, f"file://{tmp_path}/again", old=coding.KEY)).collect()] == ["a"]
+    assert [r["opens"] for r in container.opens(hidden, coding.KEY[::-1]).collect()] == [True]
+
+
 def test_restoring_leaves_no_unsafe_path(spark, tmp_path):
     from corpusgrid.sources.container import restore, write_archives
 

@@ -45,7 +45,7 @@ def test_entry_is_the_smallest_end_to_end_query(spark):
 #: Queries whose result depends on null and empty texts, and on null parts of paths.
 NULLABLE = [
     "raw_dedup", "block_dedup", "ref_fanin", "dup_report", "corpus_files", "file_order", "manifest", "manifest_stats", "manifest_prefix", "dict_gate", "dir_blocks", "extents", "prune_blocks",
-    "project_ranges", "file_cost", "implicit_dirs", "tree_diff", "select_union", "scan_chunks_fixed", "archive_files", "first_copies_stream", "entropy", "signatures", "dict_select", "rs_protect", "rs_repair", "restore_tree", "corrupt_blocks", "archive_violations", "archive_cost",
+    "project_ranges", "file_cost", "implicit_dirs", "tree_diff", "select_union", "scan_chunks_fixed", "archive_files", "first_copies_stream", "entropy", "signatures", "dict_select", "rs_protect", "rs_repair", "restore_tree", "corrupt_blocks", "archive_violations", "archive_cost", "archive_encrypted", "archive_dictionaries",
 ]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.plans.scale import running, shared_folder
@@ -193,8 +193,8 @@ def size_of(text) -> Column:
 def duration_of(text) -> Column:
     """Microseconds of 12us, 1.5ms, 3.25s, mm:ss or hh:mm:ss; 0 for anything else."""
     t = F.trim(text)
-    number = lambda n: F.expr(f"try_cast(left(t, length(t) - {n}) as double)")
-    parts = F.expr("transform(split(t, ':'), x -> coalesce(try_cast(x as double), 0D))")
+    number = lambda n: F.left(t, F.length(t) - n).try_cast("double")
+    parts = F.transform(F.split(t, ":"), lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0)))
     clock = F.when(F.size(parts) == 2, parts[0] * 60 + parts[1]).when(F.size(parts) == 3, (parts[0] * 60 + parts[1]) * 60 + parts[2])
     return F.when(t.endswith("us"), F.floor(number(2))).when(t.endswith("ms"), F.bround(number(2) * 1000)).when(t.endswith("s"), F.bround(number(1) * 1e6)).otherwise(F.coalesce(F.bround(clock * 1e6), F.lit(0))).cast("long")
 
@@ -246,9 +246,93 @@ def q_fmt_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report labels as keys: ANSI colours stripped, lower case, runs of other characters as one underscore."""
     raw = F.concat(F.lit("\x1b[1;32m"), "text", F.lit("\x1b[0m"))
-    clean = F.regexp_replace(raw, "\x1b\\[[0-9;]*[A-Za-z]", "")
-    slug = F.btrim(F.regexp_replace(F.lower(F.trim(clean)), "[^a-z0-9]+", "_"), F.lit("_"))
-    return read(spark, sf_dir, "documents").select("doc_id", slug.alias("slug"))
+    return read(spark, sf_dir, "documents").select("doc_id", label_of(F.regexp_replace(raw, ANSI, "")).alias("slug"))
+
+
+ANSI = "\x1b\\[[0-9;]*[A-Za-z]"
+
+
+def bytes_of(text) -> Column:
+    """Bytes of a size with a unit, such as 1.50 KiB (steps of 1024) or 3 MB (of 1000); null if it isn't one."""
+    t = F.lower(F.trim(text))
+    unit = F.regexp_extract(t, r"^[0-9]+(\.[0-9]+)?\s*([kmgt]?i?b)$", 2)
+    power = F.instr(F.lit("kmgt"), F.left(unit, F.lit(1)))
+    step = F.when(unit.isin("b", "ib"), 1.0).otherwise(F.pow(F.when(unit.contains("i"), 1024.0).otherwise(1000.0), power))
+    return F.when(unit != "", F.bround(F.regexp_extract(t, r"^([0-9]+(\.[0-9]+)?)", 1).try_cast("double") * step).cast("long"))
+
+
+def percent_of(text) -> Column:
+    """The share that 12.5% stands for; null without the sign."""
+    t = F.trim(text)
+    return F.when(t.endswith("%"), F.regexp_replace(t, "%$", "").try_cast("double") / 100)
+
+
+def report_cells(reports: DataFrame) -> DataFrame:
+    """reports (id, report) as rows of tables: id, section, line (from 0), cells. Colours are stripped. A section goes from its heading (a
+    line that begins with the section mark) to the next one or a box's upper edge; of sections with one title the last counts. A
+    table's rows begin with a bar; the bars at the ends are not between cells. A null report has no rows."""
+    # Marks of a heading and of a box, bar between cells.
+    heading, box, bar = "▣ ", "╔", "│"
+    lines = F.split(F.regexp_replace("report", ANSI, ""), "\r\n|\r|\n")
+    rows = reports.select("id", F.posexplode(lines).alias("line", "raw")).withColumn("t", F.regexp_replace("raw", r"^\s+|\s+$", ""))
+    mark = F.when(F.col("t").startswith(heading), F.struct("line", F.trim(F.substring("t", 2, 1 << 30)).alias("title"))).when(F.col("t").startswith(box), F.struct("line", F.lit(None).cast("string").alias("title")))
+    rows = rows.withColumn("s", F.last(mark, ignorenulls=True).over(Window.partitionBy("id").orderBy("line"))).where("s.title is not null")
+    rows = rows.withColumn("last", F.max("s.line").over(Window.partitionBy("id", "s.title"))).where("s.line = last and line > last").where(F.col("t").startswith(bar))
+    cells = F.transform(F.split(F.regexp_replace("t", f"^{bar}+|{bar}+$", ""), bar), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return rows.select("id", F.col("s.title").alias("section"), "line", cells.alias("cells"))
+
+
+def label_of(text) -> Column:
+    """A label as a key: lower case, runs of other characters as one underscore."""
+    return F.btrim(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def report_fields(cells: DataFrame) -> DataFrame:
+    """What report_cells() give of runs: id, kind (field, stage), name, value as it stands, and number: microseconds, bytes, counts or
+    ratios, by what the field holds; null where it holds text."""
+    # The section, its head and its list of stages; fields that hold durations, counts, sizes and ratios.
+    section, head, stages = "Runtime", "Field", "Stages"
+    durations = ["compress_busy", "compression_busy", "decode_busy", "write_shard_payload_sum", "write_shard_payload_max"]
+    counts = ["max_inflight_blocks", "inflight_per_worker", "inflight_worker", "writer_queue", "decode_queue_peak", "decode_result_queue_peak", "ordered_write_queue_peak", "writer_peak", "reorder_limit", "reorder_peak"]
+    sizes, ratio, cores = ["configured_inflight", "max_inflight_bytes", "reorder_bytes_peak"], "write_shard_payload_wall_ratio", "effective_cores"
+    rows = cells.where((F.col("section") == section) & (F.size("cells") >= 2)).select("id", F.col("cells")[0].alias("label"), F.col("cells")[1].alias("value"), "line").where(F.col("label") != head)
+    f, v = F.col("name"), F.col("value")
+    number = F.when(f.isin(durations), duration_of(v)).when(f.isin(counts), v.try_cast("long")).when(f.isin(sizes), F.nullif(bytes_of(v), F.lit(0))).when(f == ratio, F.regexp_replace(F.lower(v), "x+$", "").try_cast("double")).when(f == cores, v.try_cast("double"))
+    fields = rows.where(F.col("label") != stages).select("id", F.lit("field").alias("kind"), label_of("label").alias("name"), "value", "line").withColumn("number", number.cast("double"))
+    pieces = rows.where(F.col("label") == stages).select("id", "line", F.posexplode(F.split("value", r"\|")).alias("place", "piece")).withColumn("piece", F.trim("piece")).where(F.col("piece").contains(" "))
+    time = F.regexp_extract("piece", r"([^ ]*)$", 1)
+    steps = pieces.select("id", F.lit("stage").alias("kind"), label_of(F.regexp_extract("piece", r"^(.*) [^ ]*$", 1)).alias("name"), time.alias("value"), (F.col("line") * 100_000 + F.col("place")).alias("line"), duration_of(time).cast("double").alias("number"))
+    every = fields.unionByName(steps).groupBy("id", "kind", "name").agg(F.max_by(F.struct("value", "number"), "line").alias("v"))  # a later one replaces
+    return every.select("id", "kind", "name", "v.value", "v.number")
+
+
+def report_workers(cells: DataFrame) -> DataFrame:
+    """id, worker_id, tasks, utilization, busy_us, idle_us, uptime_us of the rows of worker tables whose first two cells are numbers."""
+    section = "Worker table"  # fixed value
+    c = F.col("cells")
+    rows = cells.where((F.col("section") == section) & (F.size("cells") >= 6))
+    times = [duration_of(c[i]).alias(n) for i, n in ((3, "busy_us"), (4, "idle_us"), (5, "uptime_us"))]
+    out = rows.select("id", c[0].try_cast("long").alias("worker_id"), c[1].try_cast("long").alias("tasks"), F.coalesce(percent_of(c[2]), F.lit(0.0)).alias("utilization"), *times)
+    return out.where("worker_id is not null and tasks is not null")
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's printed report for each document, its figures made of the id."""
+    i = F.col("doc_id").cast("string")
+    text = F.concat(
+        F.lit("\x1b[1m▣ Runtime\x1b[0m\n│ Old │ 1 │\nplain\n ▣ Runtime\n│ Field │ Value │\r\n│ Writer peak │ "), i, F.lit(" │\n│ \x1b[32mEffective cores\x1b[0m │ "), (F.col("doc_id") % 8).cast("string"),
+        F.lit(".5 │\n│ Max inflight bytes │ "), i, F.lit(".50 KiB │\n│ Scheduler │ fair │\n│ Stages │ read "), i, F.lit("us | dedup raw 1.5ms | end │\n╔══╗\n│ Reorder peak │ 9 │\n▣ Worker table\n│ ID │ Tasks │ Use │ Busy │ Idle │ Up │\n│ 0 │ "), i,
+        F.lit(" │ 12.5% │ 2ms │ 00:01 │ 3us │\n│ x │ 1 │ 1% │ 1us │ 1us │ 1us │\n"),
+    )
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.alias("report"))
+
+
+def q_report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_fields(report_cells(reports(spark, sf_dir)))
+
+
+def q_report_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_workers(report_cells(reports(spark, sf_dir)))
 
 
 def parity(n, pct) -> Column:

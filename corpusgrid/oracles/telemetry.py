@@ -117,3 +117,8 @@ SQL = {
     "steps_jsonl": """select event_type as tool, 'archive' as phase, event_id as elapsed_ns, if(event_id % 6 = 3, '4', '0') as workers from events where event_id % 6 in (3, 4, 5)""",
 }
 SQL["steps_written"] = SQL["steps_jsonl"]
+SQL["report_fields"] = """select doc_id as id, unnest(['field', 'field', 'field', 'field', 'stage', 'stage']) as kind,
+  unnest(['writer_peak', 'effective_cores', 'max_inflight_bytes', 'scheduler', 'read', 'dedup_raw']) as name,
+  unnest([doc_id::varchar, (doc_id % 8) || '.5', doc_id || '.50 KiB', 'fair', doc_id || 'us', '1.5ms']) as value,
+  unnest([doc_id::double, doc_id % 8 + 0.5, doc_id * 1024.0 + 512, null, doc_id::double, 1500.0]) as number from documents"""
+SQL["report_workers"] = "select doc_id as id, 0::bigint as worker_id, doc_id as tasks, 0.125::double as utilization, 2000::bigint as busy_us, 1000000::bigint as idle_us, 3::bigint as uptime_us from documents"

@@ -171,6 +171,20 @@ def test_later_preset_files_replace_values(spark, tmp_path):
     assert set(got) == {"fast", "own", "new"} and (got["fast"]["compressor"], got["fast"]["block_size"]) == ("lz4", "2M") and got["own"]["level"] == 3
 
 
+def test_sizes_and_shares_of_reports(spark):
+    texts = ["1.50 KiB", "3 MB", "7B", "2gib", "x", "", "1.5", None, "0 B"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(telemetry.bytes_of(F.col("t"))).collect()]
+    assert got == [1536, 3_000_000, 7, 2 << 30, None, None, None, None, 0]
+    shares = spark.createDataFrame([("12.5%",), ("5",), ("x%",)], "t string").select(telemetry.percent_of(F.col("t"))).collect()
+    assert [r[0] for r in shares] == [0.125, None, None]
+
+
+def test_sections_of_reports(spark):
+    rows = [(1, "│ before │ 1 │\n▣ Runtime\n│ a │ 1 │\n▣ Other\n│ b │\n▣ Runtime\n│ c │  │\n╔\n│ d │ 2 │"), (2, None), (3, ""), (4, "▣ Empty")]
+    got = telemetry.report_cells(spark.createDataFrame(rows, "id long, report string")).orderBy("id", "line").collect()
+    assert [(r["id"], r["section"], r["cells"]) for r in got] == [(1, "Other", ["b"]), (1, "Runtime", ["c", ""])]
+
+
 def test_trained_dictionaries_help(spark):
     rows = content.q_dict_train(spark, "/root/testdata/sf0.01").collect()
     assert rows and all(r["dict_bytes"] <= content.DICTIONARY_BYTES and r["with_dictionary"] < r["alone"] for r in rows)

@@ -11,6 +11,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -39,6 +40,21 @@ CLASSES = {1: "Text", 2: "StructuredText", 3: "Binary", 4: "Extension"}
 HEADER, FOOTER, DESCRIPTOR = struct.Struct("<4sHH16s"), struct.Struct("<4sHHIQIQII"), struct.Struct("<IIIBB")
 #: The largest manifest that is unpacked.
 MANIFEST_MAX = 256 << 20
+#: Bytes of blocks that are encoded, or checked, side by side: kernels over one small block take as long as over a thousand.
+TOGETHER = 4 << 20
+
+
+def together(rows: Iterator, size) -> Iterator[list]:
+    """The rows in lists of about TOGETHER bytes, by size(row)."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += size(row)
+        if n >= TOGETHER:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def open_path(uri: str):
@@ -107,7 +123,7 @@ class Dictionary:
 
 
 class Bank:
-    """Dictionaries, 255 at most, and which of them suits a block: its extension's before its class's, less the distance of the
+    """Dictionaries, 255 at most, and which of them suit blocks: one's extension's before its class's, less the distance of the
     signatures; ties by samples, bytes, id."""
 
     def __init__(self, dictionaries: list[Dictionary]):
@@ -116,14 +132,19 @@ class Bank:
             raise ValueError("dictionaries have ids of their own from 1 to 255, and none is empty")
         self.dictionaries, self.codecs = dictionaries, {}
 
-    def choose(self, algo: str, ext: str | None, data: bytes) -> Dictionary | None:
-        if not any(d.algo == algo for d in self.dictionaries) or algo != "zstd":
-            return None
-        p = profile.func(pd.Series([data[:SAMPLE]])).iloc[0]
-        reach = {f"Extension:{ext}": 20_000, p["class"]: 10_000}
-        apart = lambda d: int(np.abs(np.frombuffer(d.signature, np.uint8).astype(np.int64) - p["signature"]).sum())
-        fit = [(reach[d.kind] - apart(d), d.samples, d.sample_bytes, d.id, d) for d in self.dictionaries if d.algo == algo and d.kind in reach]
-        return max(fit, key=lambda x: x[:4])[4] if fit else None
+    def choose(self, algo: str, blocks: list[tuple[str | None, bytes]]) -> list[Dictionary | None]:
+        """blocks: (extension, content), profiled at once."""
+        known = sorted((d for d in self.dictionaries if d.algo == algo), key=lambda d: (d.samples, d.sample_bytes, d.id), reverse=True)
+        if not known or not blocks or algo != "zstd":
+            return [None] * len(blocks)
+        p = profile.func(pd.Series([data[:SAMPLE] for _, data in blocks]))
+        own, ext = np.stack(p["signature"].to_list()).astype(np.int64), np.array([f"Extension:{e}" for e, _ in blocks], object)
+        score = np.full((len(known), len(blocks)), -1, np.int64)  # of a dictionary that fits it is positive: signatures are at most 4,080 apart
+        for row, d in zip(score, known):
+            reach = np.where(ext == d.kind, 20_000, np.where(p["class"] == d.kind, 10_000, 0))
+            row[reach > 0] = (reach - np.abs(own - np.frombuffer(d.signature, np.uint8)).sum(axis=1))[reach > 0]
+        best = score.argmax(axis=0)  # the first, of equals
+        return [known[k] if score[k, i] >= 0 else None for i, k in enumerate(best.tolist())]
 
     def compress(self, d: Dictionary, data: bytes) -> bytes:
         if d.id not in self.codecs:
@@ -195,6 +216,16 @@ def decode_manifest(data: bytes) -> tuple[list[Entry], dict[int, Dictionary]]:
     return entries, dictionaries
 
 
+@lru_cache(1)
+def zstd() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=3)
+
+
+@lru_cache(256)
+def unzstd(dictionary: bytes | None) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+
 def encode_block(algo: str, data: bytes, force_raw: bool = False) -> tuple[int, bytes]:
     """(flags, payload) of a block: raw if it is to be, or if the codec doesn't make it smaller."""
     number = next(n for n, a in ALGORITHMS.items() if a == algo)
@@ -203,7 +234,7 @@ def encode_block(algo: str, data: bytes, force_raw: bool = False) -> tuple[int,
     if algo == "lz4":
         packed = struct.pack("<I", len(data)) + pa.Codec("lz4_raw").compress(data, asbytes=True)
     elif algo == "zstd":
-        packed = zstandard.ZstdCompressor(level=3).compress(data)
+        packed = zstd().compress(data)
     else:
         packed = lzma.compress(data, format=lzma.FORMAT_XZ, check=lzma.CHECK_NONE, preset=6)
     return (number, packed) if len(packed) < len(data) else (number | RAW, data)
@@ -217,8 +248,7 @@ def decode_block(flags: int, raw_len: int, payload: bytes, dictionary: bytes | N
             raise ValueError("a block says another length")
         out = pa.Codec("lz4_raw").decompress(payload[4:], raw_len, asbytes=True)
     elif ALGORITHMS.get(flags & 7) == "zstd":
-        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        out = zstandard.ZstdDecompressor(dict_data=known).decompress(payload, max_output_size=raw_len)
+        out = unzstd(dictionary).decompress(payload, max_output_size=raw_len)
     elif ALGORITHMS.get(flags & 7) == "lzma":
         out = lzma.decompress(payload)
     else:
@@ -229,7 +259,7 @@ def decode_block(flags: int, raw_len: int, payload: bytes, dictionary: bytes | N
 
 
 def packed(data: bytes) -> tuple[bytes, bool]:
-    small = zstandard.ZstdCompressor(level=3).compress(data) if data else data
+    small = zstd().compress(data) if data else data
     return (small, True) if len(small) < len(data) else (data, False)
 
 
@@ -239,46 +269,54 @@ def ext_of(path: str) -> str | None:
 
 
 def archive_bytes(files: Iterator[tuple[str, bytes, bool]], block: int, algo: str, totals: dict, bank: Bank | None = None) -> Iterator[bytes]:
-    """An archive's bytes, a block at a time: files (path, content, force raw) are concatenated, and a block ends when it is full or
+    """An archive's bytes, some MB at a time: files (path, content, force raw) are concatenated, and a block ends when it is full or
     when the raw policy changes. A block equal to an earlier one refers to it. With a bank, a block is compressed with the dictionary
     that suits it; a block of files with several extensions has none of its own."""
     yield HEADER.pack(HEADER_MAGIC, HEADER_VERSION, IS_DIRECTORY | PATH_PREFIX | INHERIT | IMPLICIT_CONTENT | IMPLICIT_CHUNKS, bytes(16))
-    at, table, entries, seen, held, raw_now, exts = HEADER.size, [], [], {}, bytearray(), False, set()
-
-    def full(data: bytes, raw: bool) -> bytes:
-        nonlocal at
-        key = (len(data), hashlib.sha256(data).digest())
-        if key in seen:
-            table.append(DESCRIPTOR.pack(0, len(data), seen[key], REFERENCE, 0))
-            return b""
-        seen[key] = len(table)
-        flags, payload = encode_block(algo, data, raw)
-        d = None if raw or bank is None else bank.choose(algo, next(iter(exts)) if len(exts) == 1 else None, data)
-        helped = bank.compress(d, data) if d else payload
-        used = d.id if len(helped) < len(payload) else 0
-        if used:
-            flags, payload = flags & ~RAW, helped
-        table.append(DESCRIPTOR.pack(len(payload), len(data), int(crc32c([payload])[0]), flags, used))
-        at += len(payload)
-        return payload
-
-    for path, content, raw in files:
-        entries.append(Entry(path, size=len(content), mode=0o644))
-        if content and raw != raw_now:
-            if held:
-                yield full(bytes(held), raw_now)
-            held, raw_now = bytearray(), raw
-        if not held:
-            exts = set()
-        if content:
-            exts.add(ext_of(path))
-        held += content
-        while len(held) >= block:
-            yield full(bytes(held[:block]), raw_now)
-            del held[:block]
-            exts = {ext_of(path)}  # what is left is the last file's
-    if held:
-        yield full(bytes(held), raw_now)
+    at, table, entries, seen = HEADER.size, [], [], {}
+
+    def blocks() -> Iterator[tuple[bytes, bool, str | None]]:
+        """(content, force raw, extension)."""
+        held, raw_now, exts = bytearray(), False, set()
+        ext = lambda: next(iter(exts)) if len(exts) == 1 else None
+        for path, content, raw in files:
+            entries.append(Entry(path, size=len(content), mode=0o644))
+            if content and raw != raw_now:
+                if held:
+                    yield bytes(held), raw_now, ext()
+                held, raw_now = bytearray(), raw
+            if not held:
+                exts = set()
+            if content:
+                exts.add(ext_of(path))
+            held += content
+            while len(held) >= block:
+                yield bytes(held[:block]), raw_now, ext()
+                del held[:block]
+                exts = {ext_of(path)}  # what is left is the last file's
+        if held:
+            yield bytes(held), raw_now, ext()
+
+    for some in together(blocks(), lambda b: len(b[0])):
+        new = []
+        for data, raw, ext in some:
+            key = (len(data), hashlib.sha256(data).digest())
+            if key in seen:
+                table.append(DESCRIPTOR.pack(0, len(data), seen[key], REFERENCE, 0))
+                continue
+            seen[key] = len(table)
+            new.append((len(table), data, raw, ext))
+            table.append(b"")
+        chosen = [None] * len(new) if bank is None else bank.choose(algo, [(ext, data) for _, data, _, ext in new])
+        stored = []
+        for (_, data, raw, _), d in zip(new, chosen):
+            flags, payload = encode_block(algo, data, raw)
+            helped = bank.compress(d, data) if d and not raw else payload
+            stored.append((flags & ~RAW, helped, d.id) if len(helped) < len(payload) else (flags, payload, 0))
+        for (i, data, _, _), (flags, payload, used), check in zip(new, stored, crc32c([p for _, p, _ in stored]).tolist()):
+            table[i] = DESCRIPTOR.pack(len(payload), len(data), check, flags, used)
+            at += len(payload)
+        yield b"".join(p for _, p, _ in stored)
     manifest, m_small = packed(encode_manifest(entries, bank.dictionaries if bank else []))
     chunks, c_small = packed(b"".join(table))
     totals |= {"n_files": len(entries), "n_blocks": len(table)}
@@ -323,15 +361,27 @@ class Archive:
 
     def block(self, i: int, verify: bool = True) -> bytes:
         """The content of a block, through its references. A checksum of 0 wasn't recorded."""
-        encoded, raw, check, flags, dictionary = self.blocks[i]
-        if flags & REFERENCE:
-            return self.block(check, verify)
-        if self.encrypted:
-            raise ValueError(f"{self.uri}: encrypted; recode() it with its key first")
-        payload = self.part(int(self.payload_at[i]), encoded)
-        if verify and check and int(crc32c([payload])[0]) != check:
-            raise ValueError(f"block {i} is corrupt")
-        return decode_block(flags, raw, payload, self.dictionaries[dictionary].data if dictionary else None)
+        return next(self.decoded([i], verify))
+
+    def decoded(self, blocks, verify: bool = True) -> Iterator[bytes]:
+        """block() of each, some MB checked at a time, and what is referred to more than once in them read once."""
+        for some in together(map(self.stored, blocks), lambda i: self.blocks[i][1]):
+            if self.encrypted:
+                raise ValueError(f"{self.uri}: encrypted; recode() it with its key first")
+            payloads = {i: self.part(int(self.payload_at[i]), self.blocks[i][0]) for i in dict.fromkeys(some)}
+            if verify:
+                for i, found in zip(payloads, crc32c(list(payloads.values())).tolist()):
+                    if self.blocks[i][2] not in (0, found):
+                        raise ValueError(f"block {i} is corrupt")
+            for i in some:
+                _, raw, _, flags, dictionary = self.blocks[i]
+                yield decode_block(flags, raw, payloads[i], self.dictionaries[dictionary].data if dictionary else None)
+
+    def stored(self, i: int) -> int:
+        """The block that holds a block's payload: itself, or the one that it refers to."""
+        while self.blocks[i][3] & REFERENCE:
+            i = self.blocks[i][2]
+        return i
 
     def payloads(self) -> Iterator[tuple]:
         """(uri, block, what is stored of it): empty for a reference, and for block -1, which stands for the archive."""
@@ -546,13 +596,12 @@ def read_entries(manifest: DataFrame) -> DataFrame:
 
 def contents(archive: Archive) -> Iterator[tuple[str, bytes]]:
     """Each file's content, put together from the blocks it is in, a block decoded once."""
-    held, i = bytearray(), 0
+    held, blocks = bytearray(), archive.decoded(range(len(archive.blocks)))
     for e in archive.entries:
         if e.kind != "file":
             continue
         while len(held) < e.size:
-            held += archive.block(i)
-            i += 1
+            held += next(blocks)
         yield e.path, bytes(held[: e.size])
         del held[: e.size]
 

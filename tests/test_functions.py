@@ -186,3 +186,17 @@ def test_archive_source(spark, tmp_path):
     df = spark.read.format("blockarchive").option("blocksPerTask", 2).load(str(tmp_path / "a"))
     assert [tuple(r) for r in df.orderBy("block_id").collect()] == list(a.rows())
     assert df.rdd.getNumPartitions() == -(-len(a.blocks) // 2)
+
+
+def test_blocks_of_an_archive_are_checked_side_by_side(tmp_path, monkeypatch):
+    from corpusgrid.sources import container
+
+    calls = []
+    monkeypatch.setattr(container, "crc32c", lambda blocks: calls.append(len(blocks)) or codecs.crc32c(blocks))
+    noise = random.Random(7)
+    files = [(f"{i:03}", noise.randbytes(100), False) for i in range(300)] + [("zero", bytes(640), False)]
+    _, a = archive_of(tmp_path, files, 64)
+    assert len(calls) == 1 and sum(calls) == sum(r[9] is None for r in a.rows()) < len(a.blocks)
+    assert list(container.contents(a)) == [(p, c) for p, c, _ in files] and len(calls) == 2
+    monkeypatch.setattr(container, "TOGETHER", 1000)  # many rounds give the same archive
+    assert archive_of(tmp_path, files, 64)[1].blocks == a.blocks and len(calls) > 20

@@ -474,7 +474,8 @@ def kept(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def each_archive(manifest: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(archive) -> rows, over all archives; a task has some of them."""
+    """fn(archive) -> rows, over all archives, those of one after another, in order. They are dealt by ranges of names, as many to each
+    task; by hash some tasks would have several and others none."""
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,7 +494,7 @@ def each_archive(manifest: DataFrame, fn, schema: str) -> DataFrame:
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     arrow = pa.schema([(n, kinds[c.strip().split()[1]]) for n, c in zip(names, schema.split(","))])
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("uri").repartition(n, "uri").mapInArrow(run, schema)
+    return manifest.select("uri").repartitionByRange(n, "uri").mapInArrow(run, schema)
 
 
 def read_blocks(manifest: DataFrame) -> DataFrame:
@@ -531,10 +532,11 @@ def rewritten(a: Archive, payloads: Iterator[bytes], encrypted: bool, salt: byte
     """An archive's bytes with other payloads of the same blocks."""
     yield HEADER.pack(HEADER_MAGIC, HEADER_VERSION, a.flags & ~ENCRYPTED | ENCRYPTED * encrypted, salt if encrypted else bytes(16))
     at, table = HEADER.size, []
-    for (_, raw, check, flags, dictionary), payload in zip(a.blocks, payloads, strict=True):
-        table.append(DESCRIPTOR.pack(len(payload), raw, check if flags & REFERENCE else int(crc32c([payload])[0]), flags, dictionary))
-        at += len(payload)
-        yield payload
+    for some in together(zip(a.blocks, payloads, strict=True), lambda x: len(x[1])):
+        for ((_, raw, check, flags, dictionary), payload), found in zip(some, crc32c([x for _, x in some]).tolist()):
+            table.append(DESCRIPTOR.pack(len(payload), raw, check if flags & REFERENCE else found, flags, dictionary))
+            at += len(payload)
+            yield payload
     (manifest, m_small), (chunks, c_small) = a.packed_manifest, packed(b"".join(table))
     yield manifest + chunks
     yield FOOTER.pack(FOOTER_MAGIC, FOOTER_VERSION, m_small | TABLE_PACKED * c_small, len(table), at, len(manifest), at + len(manifest), len(chunks), 0)
@@ -566,9 +568,8 @@ def recode(manifest: DataFrame, folder: str, old: str | None = None, new: str |
             to = written(folder, rewritten(a, (r[2] for r in rows if r[1] >= 0), new is not None, salt), number)
             yield pa.RecordBatch.from_pydict({"uri": [to], "n_files": [len(a.entries)], "n_blocks": [len(a.blocks)]})
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = each_archive(manifest, lambda a: a.payloads(), "uri string, block_id long, payload binary").select("uri", "block_id", data.alias("payload"))
-    return kept(rows.repartition(n, "uri").sortWithinPartitions("uri", "block_id").mapInArrow(run, "uri string, n_files long, n_blocks long"), folder)
+    return kept(rows.mapInArrow(run, "uri string, n_files long, n_blocks long"), folder)  # still in order: nothing is moved
 
 
 def flags_of(manifest: DataFrame) -> DataFrame:

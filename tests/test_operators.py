@@ -271,3 +271,19 @@ def test_a_tree_is_scanned_whole(spark, tmp_path):
     for root in (f"file://{tmp_path}/t", f"{tmp_path}/t/"):
         assert {r["path"]: r["size"] for r in scan_tree(spark, root).collect()} == {k: len(v) for k, v in files.items()}
     assert {r["path"]: bytes(r["content"]) for r in scan_tree(spark, f"{tmp_path}/t", content=True).collect()} == files
+
+
+def test_archives_are_dealt_evenly_and_recoded_where_they_are(spark, tmp_path, monkeypatch):
+    from corpusgrid.sources import container
+
+    for i in range(16):
+        (tmp_path / f"{i}.archive").write_bytes(b"".join(container.archive_bytes(iter([(f"{i}/{k}", bytes([i, k]) * 40, False) for k in range(9)]), 64, "zstd", {})))
+    manifest = spark.createDataFrame([(str(tmp_path / f"{i}.archive"),) for i in range(16)], "uri string")
+    tasks = container.each_archive(manifest, lambda a: [(a.uri,)], "uri string").groupBy(F.spark_partition_id()).count().collect()
+    assert [r["count"] for r in tasks] == [4, 4, 4, 4]
+    plans, kept = [], container.kept
+    monkeypatch.setattr(container, "kept", lambda rows, folder: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or kept(rows, folder))
+    hidden = container.recode(manifest, f"file://{tmp_path}/hidden", new=coding.KEY)
+    again = container.recode(hidden, f"file://{tmp_path}/again", old=coding.KEY)
+    assert all(p.count("Exchange") == 1 and "Sort" not in p for p in plans)  # the names'; no payload is moved
+    assert {r["path"]: bytes(r["data"]) for r in container.read_files(again).collect()} == {f"{i}/{k}": bytes([i, k]) * 40 for i in range(16) for k in range(9)}

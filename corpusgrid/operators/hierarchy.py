@@ -70,8 +70,11 @@ def q_mode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_label(seconds: Column, nanos: Column) -> Column:
-    """UTC civil time of floor seconds, with nine digits of nanoseconds if there are any. The session's zone must be UTC."""
-    day = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
+    """UTC civil time of floor seconds, with nine digits of nanoseconds if there are any. The session's zone must be UTC. A year has four
+    digits, or as many as it needs and no sign before those after 9999."""
+    at = F.timestamp_seconds(seconds)
+    year = F.year(at)
+    day = F.concat(F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string")), F.date_format(at, "-MM-dd HH:mm:ss"))
     return F.when(nanos == 0, day).otherwise(F.concat_ws(".", day, F.lpad(nanos.cast("string"), 9, "0")))
 
 

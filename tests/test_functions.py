@@ -222,3 +222,12 @@ def test_hundredths_of_labels_are_those_of_the_double(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "n long").select(telemetry.bytes_label(F.col("n"))).collect()]
     power = [min((n.bit_length() - 1) // 10, 4) for n in sizes]
     assert got == [f"{n / 1024**k:.2f} {'KMGT'[k - 1]}iB" for n, k in zip(sizes, power)]
+
+
+def test_years_of_more_than_four_digits(spark, tmp_path):
+    from corpusgrid.operators import hierarchy
+    from corpusgrid.oracles.layout import SQL
+    from tests.compare import oracle_rows, rows_of
+
+    folder = ids_dir(tmp_path, [0, 1, 500, 205_673, 205_674, 399_999, 2_399_999])
+    assert rows_of(hierarchy.q_mtime_labels(spark, folder)) == oracle_rows(folder, SQL["mtime_labels"])[1]

@@ -15,7 +15,6 @@ from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from corpusgrid.functions.bytes import SAMPLE, profile
+from corpusgrid.functions.bytes import SAMPLE, profiles
 from corpusgrid.functions.codecs import crc32c
 from corpusgrid.plans.scale import checkpointed, running, sized_broadcast
 
@@ -137,11 +136,11 @@ class Bank:
         known = sorted((d for d in self.dictionaries if d.algo == algo), key=lambda d: (d.samples, d.sample_bytes, d.id), reverse=True)
         if not known or not blocks or algo != "zstd":
             return [None] * len(blocks)
-        p = profile.func(pd.Series([data[:SAMPLE] for _, data in blocks]))
-        own, ext = np.stack(p["signature"].to_list()).astype(np.int64), np.array([f"Extension:{e}" for e, _ in blocks], object)
+        kinds, own = profiles([data[:SAMPLE] for _, data in blocks])
+        ext = np.array([f"Extension:{e}" for e, _ in blocks], object)
         score = np.full((len(known), len(blocks)), -1, np.int64)  # of a dictionary that fits it is positive: signatures are at most 4,080 apart
         for row, d in zip(score, known):
-            reach = np.where(ext == d.kind, 20_000, np.where(p["class"] == d.kind, 10_000, 0))
+            reach = np.where(ext == d.kind, 20_000, np.where(kinds == d.kind, 10_000, 0))
             row[reach > 0] = (reach - np.abs(own - np.frombuffer(d.signature, np.uint8)).sum(axis=1))[reach > 0]
         best = score.argmax(axis=0)  # the first, of equals
         return [known[k] if score[k, i] >= 0 else None for i, k in enumerate(best.tolist())]

@@ -231,3 +231,20 @@ def test_years_of_more_than_four_digits(spark, tmp_path):
 
     folder = ids_dir(tmp_path, [0, 1, 500, 205_673, 205_674, 399_999, 2_399_999])
     assert rows_of(hierarchy.q_mtime_labels(spark, folder)) == oracle_rows(folder, SQL["mtime_labels"])[1]
+
+
+def test_histograms_hold_little_beside_the_batch(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpusgrid.functions import bytes as kernels
+
+    data = [bytes([i % 7, 65]) * 8192 for i in range(1000)]
+    tracemalloc.start()
+    hist = kernels.histograms(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(map(len, data)) // 2 and (hist[:, 65] == 8192).all() and (hist[1] > 0).sum() == 2
+    odd = [b"", None, b"\0\1", None, b"abc"]
+    assert kernels.histograms(pa.array([b"x", *odd]).slice(1)).tolist() == kernels.histograms(odd).tolist()

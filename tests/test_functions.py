@@ -229,7 +229,7 @@ def test_years_of_more_than_four_digits(spark, tmp_path):
     from corpusgrid.oracles.layout import SQL
     from tests.compare import oracle_rows, rows_of
 
-    folder = ids_dir(tmp_path, [0, 1, 500, 205_673, 205_674, 399_999, 2_399_999])
+    folder = ids_dir(tmp_path, [0, 1, 500, 205_756, 205_757, 399_999, 2_399_999])
     assert rows_of(hierarchy.q_mtime_labels(spark, folder)) == oracle_rows(folder, SQL["mtime_labels"])[1]
 
 
